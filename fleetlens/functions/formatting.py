@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 # Unit limits and labels, date formats, bar widths.
@@ -34,14 +36,22 @@ def fixed(value: Column | str, digits: int) -> Column:
     """Decimal text of the double's exact value, ties away from zero.
 
     ``%.nf`` rounds the shortest decimal form instead (1.2345 is a little below
-    that), and ``format_number`` rounds ties to even; a tie is a value with
-    exactly ``digits + 1`` binary places.
+    that), and ``format_number`` rounds ties to even and does not round up values
+    below one last place. A tie is a value with exactly ``digits + 1`` binary
+    places.
     """
     value = _col(value).cast("double")
     scaled = F.abs(value * F.lit(float(2 ** (digits + 1))))
     is_tie = (scaled % 2) == 1
     exact = F.regexp_replace(F.format_number(value, digits), ",", "")
-    return F.when(is_tie, F.format_string(f"%.{digits}f", value)).otherwise(exact)
+    half = Decimal(5).scaleb(-digits - 1)
+    above_half = value >= float(half) if Decimal(float(half)) >= half else value > float(half)
+    one = f"{Decimal(1).scaleb(-digits):f}"
+    return (
+        F.when(is_tie, F.format_string(f"%.{digits}f", value))
+        .when(above_half & (value < float(one)), one)
+        .otherwise(exact)
+    )
 
 
 def human_bytes(size: Column | str, digits: int = 3) -> Column:

@@ -50,7 +50,9 @@ def jwt_payload(token: Column | str, mode: str = "failfast") -> Column:
     """
     token = _col(token)
     parts = F.split(token, r"\.")
-    body = F.unbase64(F.translate(F.get(parts, F.lit(1)), "-_", "+/")).cast("string")
+    part = F.translate(F.get(parts, F.lit(1)), "-_=", "+/")
+    padded = F.rpad(part, F.ceil(F.length(part) / 4).cast("int") * 4, F.lit("="))
+    body = F.try_to_binary(padded, F.lit("base64")).cast("string")
     payload = F.from_json(body, TOKEN_PAYLOAD, {"mode": "PERMISSIVE"})
     complete = F.lit(True)
     for field in TOKEN_PAYLOAD.names:

@@ -724,14 +724,14 @@ def stream_running_extrema(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark)
     gauges = _event_stream(spark, sf).withColumnRenamed("event_type", "gauge")
     _drain(metric_streams.stream_running_extrema(gauges, tie=["event_id"]), path, "update")
-    return spark.read.parquet(f"{path}/data").drop("batch")
+    return metric_streams.latest(spark.read.parquet(f"{path}/data"), ["gauge"])
 
 
 @query
 def stream_sample_counts(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark)
     _drain(metric_streams.stream_sample_counts(_event_stream(spark, sf), ["event_type"]), path, "update")
-    return spark.read.parquet(f"{path}/data").drop("batch")
+    return metric_streams.latest(spark.read.parquet(f"{path}/data"), ["event_type"])
 
 
 def _counter_stream(spark: SparkSession, sf: str, ms_only: bool) -> DataFrame:

@@ -39,6 +39,12 @@ def stream_sample_counts(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("seen"))
 
 
+def latest(updates: DataFrame, keys: Sequence[str], batch: str = "batch") -> DataFrame:
+    """The last row of each key among the stored batches of an update-mode stream."""
+    others = [c for c in updates.columns if c not in (*keys, batch)]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*others), batch).alias("_row")).select(*keys, "_row.*")
+
+
 def _in_time_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values("t", kind="stable", ignore_index=True)
 
