@@ -4,25 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The shape of a reply line.
+# The shape of a reply line, and per field its pattern, group and type.
 REPLY_LINE = r"^[0-9]+ bytes"
+_TIME = r"((?<=time=)[0-9]+(?:\.[0-9]+)?|[0-9]+\.[0-9]+) ([a-z]+)"
 REPLY_FIELDS = {
     "bytes": (r"([0-9]+) bytes", 1, "int"),
     "addr": (r"from (\S+):", 1, "string"),
     "seq": (r"(?:icmp_seq|seq)=([0-9]+) ", 1, "bigint"),
     "ttl": (r"ttl=([0-9]+) ", 1, "int"),
-    "time": (r"time=([0-9]+(?:\.[0-9]+)?) ([a-z]+)|([0-9]+\.[0-9]+) ([a-z]+)", (1, 3), "double"),
-    "time_unit": (r"time=([0-9]+(?:\.[0-9]+)?) ([a-z]+)|([0-9]+\.[0-9]+) ([a-z]+)", (2, 4), "string"),
+    "time": (_TIME, 1, "double"),
+    "time_unit": (_TIME, 2, "string"),
 }
 
 
-def _group(line: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(line, pattern, group), F.lit(""))
-
-
 def reply_field(line: Column, name: str) -> Column:
     """One field of a reply line, NULL where the line lacks it."""
     pattern, group, dtype = REPLY_FIELDS[name]
-    groups = group if isinstance(group, tuple) else (group,)
-    text = F.coalesce(*[_group(line, pattern, g) for g in groups])
-    return text.try_cast(dtype)
+    text = F.get(F.regexp_extract_all(line, F.lit(pattern), F.lit(group)), F.lit(0))
+    return text if dtype == "string" else text.try_cast(dtype)

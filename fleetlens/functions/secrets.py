@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F, types as T
 
 # Token payload fields.
@@ -20,21 +22,21 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def encrypt_column(text: Column | str, key: Column) -> Column:
-    """AES-CBC with a random IV: ``struct(text, iv)``, both base64.
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
-    The cipher text is computed once per row (it sits in a one-element array),
-    so the IV and the text belong together.
-    """
+
+def encrypt_column(text: Column | str, key: Column) -> Column:
+    """AES-CBC with a random IV: ``struct(text, iv)``, both base64, from one cipher text."""
     sealed = F.aes_encrypt(_col(text), key, F.lit("CBC"), F.lit("PKCS"))
-    both = F.transform(
-        F.array(sealed),
+    return _once(
+        sealed,
         lambda raw: F.struct(
             F.base64(F.substring(raw, 17, 2**31 - 1)).alias("text"),
             F.base64(F.substring(raw, 1, 16)).alias("iv"),
         ),
     )
-    return both[0]
 
 
 def decrypt_column(text: Column | str, iv: Column | str, key: Column) -> Column:
@@ -48,21 +50,21 @@ def jwt_payload(token: Column | str, mode: str = "failfast") -> Column:
 
     A malformed token raises, or gives NULL with ``mode="quarantine"``.
     """
-    token = _col(token)
-    parts = F.split(token, r"\.")
-    part = F.translate(F.get(parts, F.lit(1)), "-_=", "+/")
-    padded = F.rpad(part, F.ceil(F.length(part) / 4).cast("int") * 4, F.lit("="))
-    body = F.try_to_binary(padded, F.lit("base64")).cast("string")
-    payload = F.from_json(body, TOKEN_PAYLOAD, {"mode": "PERMISSIVE"})
-    complete = F.lit(True)
-    for field in TOKEN_PAYLOAD.names:
-        complete = complete & payload[field].isNotNull()
-    good = (F.size(parts) == 3) & F.coalesce(complete, F.lit(False))
-    if mode == "quarantine":
-        return F.when(good, payload)
-    if mode != "failfast":
+    if mode not in ("failfast", "quarantine"):
         raise ValueError(f"mode is failfast or quarantine, not {mode!r}")
-    return F.when(good, payload).otherwise(F.raise_error(F.lit("invalid token")))
+    invalid = F.raise_error(F.lit("invalid token")) if mode == "failfast" else F.lit(None)
+
+    def read(parts: Column) -> Column:
+        part = F.translate(F.get(parts, F.lit(1)), "-_=", "+/")
+        padded = F.rpad(part, F.ceil(F.length(part) / 4).cast("int") * 4, F.lit("="))
+        body = F.try_to_binary(padded, F.lit("base64")).cast("string")
+        return F.when(F.size(parts) == 3, F.from_json(body, TOKEN_PAYLOAD))
+
+    def check(payload: Column) -> Column:
+        missing = F.greatest(*[payload[name].isNull() for name in TOKEN_PAYLOAD.names])
+        return F.when(missing, invalid.cast(TOKEN_PAYLOAD)).otherwise(payload)
+
+    return _once(_once(F.split(_col(token), r"\."), read), check)
 
 
 def token_status(payload: Column | str, now: Column) -> Column:

@@ -22,12 +22,12 @@ def user_keychain(
     """Every key with its user and its 0-based position ``key_idx`` in the user's list.
 
     The list is a numbered table rather than an array, so a user may own any
-    number of keys. ``chunk`` defaults to ranges of the numeric ``key_id``.
+    number of keys. ``chunk`` defaults to ranges of the numeric ``key_id``. Keys
+    are numbered before the join, which keeps or drops a user's keys together.
     """
-    joined = join_users(keys, users, max_broadcast_rows)
     cell = chunk if chunk is not None else F.floor(F.col("key_id") / KEY_RANGE)
-    placed = numbered(joined, ["user_id"], ["key_id"], cell, "key_idx")
-    return placed.withColumn("key_idx", F.col("key_idx") - 1)
+    placed = numbered(keys, ["user_id"], ["key_id"], cell, "key_idx")
+    return join_users(placed.withColumn("key_idx", F.col("key_idx") - 1), users, max_broadcast_rows)
 
 
 def open_keychain(keychain: DataFrame, key: Column) -> DataFrame:

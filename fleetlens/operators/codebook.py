@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 _CODEBOOK = "symbol string, freq bigint, code string, bits int"
 _ENCODED = "data binary, pad int"
+_TABLE_BITS = 16
 
 
 def symbol_histogram(df: DataFrame, col: str) -> DataFrame:
@@ -76,24 +77,32 @@ def codebook(histogram: DataFrame) -> DataFrame:
 
 def encode_corpus(df: DataFrame, book: DataFrame, col: str) -> DataFrame:
     """Add ``data`` and ``pad``: the text's codes in whole bytes after ``pad`` zero bits."""
-
-    class Codes(dict):
-        def __missing__(self, point: int) -> str:
-            raise ValueError(f"no code for {chr(point)!r}")
-
-    codes = df.sparkSession.sparkContext.broadcast({ord(r.symbol): r.code for r in book.collect()})
+    shared = df.sparkSession.sparkContext.broadcast([(ord(r.symbol), int(r.code, 2), r.bits) for r in book.collect()])
+
+    def encode_one(text: str, codes: np.ndarray, sizes: np.ndarray) -> tuple[bytes, int]:
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        known = points < len(sizes)
+        if not known.all() or not (size := sizes[points]).all():
+            raise ValueError(f"no code for {next(c for c in text if ord(c) >= len(sizes) or not sizes[ord(c)])!r}")
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        pad = -total % 8
+        bits = np.zeros(pad + total, np.uint8)
+        shift = np.repeat(ends, size) - 1 - np.arange(total)
+        bits[pad:] = (np.repeat(codes[points], size) >> shift) & 1
+        return np.packbits(bits).tobytes(), pad
 
     @F.pandas_udf(_ENCODED)
-    def encode(texts: pd.Series) -> pd.DataFrame:
-        table = Codes(codes.value)
-        data, pads = [], []
-        for text in texts:
-            bits = None if text is None else text.translate(table)
-            pad = None if bits is None else -len(bits) % 8
-            pads.append(pad)
-            packed = None if bits is None else np.packbits(np.frombuffer(("0" * pad + bits).encode(), np.uint8) & 1)
-            data.append(None if packed is None else packed.tobytes())
-        return pd.DataFrame({"data": data, "pad": pd.array(pads, dtype="Int32")})
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        last = max((point for point, _, _ in shared.value), default=-1)
+        codes, sizes = np.zeros(last + 1, np.int64), np.zeros(last + 1, np.int64)
+        for point, code, size in shared.value:
+            codes[point], sizes[point] = code, size
+        for texts in batches:
+            packed = [(None, None) if t is None else encode_one(t, codes, sizes) for t in texts]
+            yield pd.DataFrame(
+                {"data": [d for d, _ in packed], "pad": pd.array([p for _, p in packed], dtype="Int32")}
+            )
 
     return df.withColumn("_encoded", encode(F.col(col))).select(*df.columns, "_encoded.*")
 
@@ -101,44 +110,54 @@ def encode_corpus(df: DataFrame, book: DataFrame, col: str) -> DataFrame:
 def decode_corpus(df: DataFrame, book: DataFrame, name: str = "decoded") -> DataFrame:
     """Add the text that ``data`` and ``pad`` encode.
 
-    Codes of one length are consecutive numbers, so the code starting at each
-    bit follows from comparing the next ``width`` bits with the first code of
-    each length; that is done for all bit positions at once.
+    A table tells symbol and length of the code that starts with any given
+    ``_TABLE_BITS`` bits; it is looked up for all bit positions at once, and
+    following the lengths from the first position gives the codes. The rare
+    longer codes are read bit by bit.
     """
-    rows = sorted((r.bits, r.code, r.symbol) for r in book.collect())
-    width = max((bits for bits, _, _ in rows), default=1)
-    if width > 63:
-        raise ValueError("codes longer than 63 bits")
-    firsts, lengths, offsets = [], [], []
-    for i, (bits, code, _) in enumerate(rows):
-        if not lengths or bits != lengths[-1]:
-            firsts.append(int(code, 2) << (width - bits))
-            lengths.append(bits)
-            offsets.append(i)
-    symbols = [symbol for _, _, symbol in rows]
-    shared = df.sparkSession.sparkContext.broadcast((firsts, lengths, offsets, symbols))
-
-    def decode_one(data: bytes, pad: int, tables: tuple) -> str:
-        first, length, offset, symbol = tables
-        bits = np.unpackbits(np.frombuffer(data, np.uint8))[pad:].astype(np.int64)
-        ahead, window = np.concatenate([bits, np.zeros(width, np.int64)]), np.zeros(len(bits), np.int64)
-        for k in range(width):
-            window = (window << 1) | ahead[k : k + len(bits)]
-        group = np.searchsorted(first, window, side="right") - 1
-        following = (np.arange(len(bits)) + length[group]).tolist()
-        at, starts = 0, []
-        while at < len(following):
+    shared = df.sparkSession.sparkContext.broadcast([(r.code, ord(r.symbol)) for r in book.collect()])
+
+    def tables(codes: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+        sizes, points, long = np.zeros(1 << _TABLE_BITS, np.uint8), np.zeros(1 << _TABLE_BITS, np.uint32), {}
+        for code, point in codes:
+            if len(code) > _TABLE_BITS:
+                long[code] = point
+                continue
+            first = int(code, 2) << (_TABLE_BITS - len(code))
+            span = slice(first, first + (1 << (_TABLE_BITS - len(code))))
+            sizes[span], points[span] = len(code), point
+        return sizes, points, long
+
+    def decode_one(data: bytes, pad: int, sizes: np.ndarray, points: np.ndarray, long: dict[str, int]) -> str:
+        bits = np.unpackbits(np.frombuffer(data, np.uint8))[pad:]
+        total = len(bits)
+        window = np.concatenate([bits, np.zeros(_TABLE_BITS, np.uint8)]).astype(np.uint16)
+        for half in (1, 2, 4, 8):
+            window = (window[:-half] << half) | window[half:]
+        size_at = sizes[window[:total]].tobytes()
+        at, starts, rare = 0, [], {}
+        while at < total:
             starts.append(at)
-            at = following[at]
-        group, window = group[starts], window[starts]
-        rank = offset[group] + ((window - first[group]) >> (width - length[group]))
-        return "".join([symbol[r] for r in rank.tolist()])
+            size = size_at[at]
+            if not size:
+                size = _TABLE_BITS + 1
+                while (code := "".join(map(str, bits[at : at + size]))) not in long:
+                    size += 1
+                    if at + size > total:
+                        raise ValueError("the data does not end with a code")
+                rare[len(starts) - 1] = long[code]
+            at += size
+        found = points[window[starts]] if starts else np.zeros(0, np.uint32)
+        for i, point in rare.items():
+            found[i] = point
+        return found.astype("<u4").tobytes().decode("utf-32-le")
 
     @F.pandas_udf("string")
-    def decode(data: pd.Series, pad: pd.Series) -> pd.Series:
-        *numbers, symbol = shared.value
-        tables = (*[np.array(n, np.int64) for n in numbers], symbol)
-        return pd.Series([None if d is None else decode_one(d, int(p), tables) for d, p in zip(data, pad)], dtype=object)
+    def decode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        ready = tables(shared.value)
+        for data, pad in batches:
+            texts = [None if d is None else decode_one(d, int(p), *ready) for d, p in zip(data, pad)]
+            yield pd.Series(texts, dtype=object)
 
     return df.withColumn(name, decode(F.col("data"), F.col("pad")))
 

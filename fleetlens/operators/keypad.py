@@ -37,13 +37,12 @@ def prefix_index(words: DataFrame, word: str = "word") -> DataFrame:
     Rows are independent, so this is a map without a shuffle; save it
     partitioned by prefix length.
     """
-    digits = to_digits(word)
-    lengths = F.sequence(F.lit(1), F.length("_digits"))
+    n = F.length("_digits")
+    lengths = F.explode(F.when(n > 0, F.sequence(F.lit(1), n)))
     return (
-        words.withColumn("_digits", digits)
-        .filter(F.length("_digits") > 0)
-        .withColumn("prefix", F.explode(F.transform(lengths, lambda k: F.substring("_digits", F.lit(1), k))))
-        .select("prefix", *words.columns)
+        words.withColumn("_digits", to_digits(word))
+        .withColumn("_k", lengths)
+        .select(F.substring("_digits", F.lit(1), F.col("_k")).alias("prefix"), *words.columns)
     )
 
 

@@ -32,23 +32,21 @@ _WEEK_START = "4 days"
 def parse_ping_lines(lines: DataFrame, col: str = "value", mode: str = "failfast") -> DataFrame:
     """Reply lines as columns next to the other input columns; other lines are dropped.
 
-    A reply without one of the fields raises, or, with ``mode="quarantine"``, is
-    kept with the line in ``error``.
+    Reading a field that a reply lacks raises; with ``mode="quarantine"`` the
+    row is kept with the line in ``error``.
     """
+    if mode not in ("failfast", "quarantine"):
+        raise ValueError(f"mode is failfast or quarantine, not {mode!r}")
     line = F.col(col)
     others = [c for c in lines.columns if c != col]
-    fields = lines.filter(line.rlike(REPLY_LINE)).select(
-        *others, line, *[reply_field(line, name).alias(name) for name in REPLY_FIELDS]
-    )
-    complete = F.lit(True)
-    for name in REPLY_FIELDS:
-        complete = complete & F.col(name).isNotNull()
+    replies = lines.filter(line.rlike(REPLY_LINE))
     if mode == "quarantine":
-        return fields.withColumn("error", F.when(~complete, line)).drop(col)
-    if mode != "failfast":
-        raise ValueError(f"mode is failfast or quarantine, not {mode!r}")
-    fail = F.raise_error(F.concat(F.lit("incomplete reply line: "), line)).cast("boolean")
-    return fields.filter(F.when(complete, True).otherwise(fail)).drop(col)
+        fields = replies.select(*others, line, *[reply_field(line, name).alias(name) for name in REPLY_FIELDS])
+        missing = F.greatest(*[F.col(name).isNull() for name in REPLY_FIELDS])
+        return fields.withColumn("error", F.when(missing, line)).drop(col)
+    fail = F.raise_error(F.concat(F.lit("incomplete reply line: "), line))
+    found = [F.coalesce(reply_field(line, n), fail.cast(REPLY_FIELDS[n][2])).alias(n) for n in REPLY_FIELDS]
+    return replies.select(*others, *found)
 
 
 def check_address(df: DataFrame, expected: str) -> DataFrame:

@@ -4,8 +4,8 @@ Each splits a key's rows by a ``chunk`` column that grows with the order (an
 hour of the timestamp, a range of ids). One pre-aggregated row per key and
 chunk is enough to tell what earlier chunks contribute; that contribution joins
 the rows of the chunk as one extra leading row, and the window then runs per
-key and chunk. Cost: one narrow extra pass over the input and one shuffle.
-Choose the chunk so that one chunk of one key fits a task.
+key and chunk. Cost: one narrow extra pass over the input, so hand in a table,
+and one shuffle. Choose the chunk so that one chunk of one key fits a task.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from fleetlens.session import materialize
 
@@ -14,6 +14,7 @@ MAX_HOT_KEYS = 1000
 MAX_SALTS = 4096
 ROWS_PER_SALT = 1_000_000
 MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_BYTES = 64 * 1024**2
 LIST_ROWS = 10_000
 
 
@@ -42,6 +43,24 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether the table, counted and measured, is small enough to broadcast."""
+    rows = df.count()
+    if rows > max_rows:
+        return False
+    width = F.lit(0)
+    for field in df.schema:
+        col = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = F.octet_length(col)
+        elif isinstance(field.dataType, T.ArrayType):
+            size = F.size(col) * 16
+        else:
+            size = F.lit(16)
+        width = width + F.coalesce(size, F.lit(0))
+    return (df.agg(F.sum(width)).first()[0] or 0) <= max_bytes
+
+
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,
@@ -53,15 +72,15 @@ def lookup_join(
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
-    """Join many ``rows`` to a lookup table with a few narrow columns.
+    """Join many ``rows`` to a lookup table.
 
-    The lookup is counted: up to ``max_broadcast_rows`` it is broadcast and the
-    rows are not shuffled; beyond that both sides are shuffled and hot keys are
-    salted. ``counts`` (``keys, n``: rows per key) saves a pass over ``rows``.
-    The lookup should be a table or ``materialize``d, as it is read twice.
+    The lookup is counted and measured: a small one is broadcast and the rows
+    are not shuffled; otherwise both sides are shuffled and hot keys are salted.
+    ``counts`` (``keys, n``: rows per key) saves a pass over ``rows``. The lookup
+    should be a table or ``materialize``d, as it is read again for the join.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if lookup.count() <= max_broadcast_rows:
+    if fits_broadcast(lookup, max_broadcast_rows):
         return rows.join(F.broadcast(lookup), keys, how)
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -74,7 +93,6 @@ def grouped_lists(
     keys: Sequence[str],
     item: str,
     *,
-    order: Sequence[Column] | None = None,
     min_n: int = 1,
     list_rows: int = LIST_ROWS,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
@@ -83,7 +101,8 @@ def grouped_lists(
 
     A group of more than ``list_rows`` rows comes as several parts, so no task
     and no array ever holds a whole large group; a part is picked by a hash of
-    the item. Groups below ``min_n`` rows are left out.
+    the item. Groups below ``min_n`` rows are left out. ``rows`` is read twice:
+    hand in a table or a ``materialize``d one.
     """
     keys = list(keys)
     counts = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_n))

@@ -377,7 +377,8 @@ def cpu_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cpu_deltas(spark: SparkSession, sf: str) -> DataFrame:
-    deltas = metrics.counter_deltas(tables.cpu_counters(spark, sf), tie=["event_id"], chunk_seconds=86400)
+    counters = materialize(tables.cpu_counters(spark, sf))
+    deltas = metrics.counter_deltas(counters, tie=["event_id"], chunk_seconds=86400)
     return deltas.select("event_id", "cpu", "total", "idle", "d_total", "d_idle")
 
 
@@ -504,7 +505,7 @@ def prefix_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rank_words(spark: SparkSession, sf: str) -> DataFrame:
-    index = keypad.prefix_index(materialize(tables.corpus_words(spark, sf)))
+    index = materialize(keypad.prefix_index(tables.corpus_words(spark, sf)))
     return keypad.rank_words(index).select("prefix", "word", "n", "rn")
 
 
@@ -542,7 +543,7 @@ def word_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(codebook.symbol_histogram(tables.table(spark, sf, "documents"), "text"))
+    return materialize(codebook.symbol_histogram(tables.documents(spark, sf), "text"))
 
 
 def _book(spark: SparkSession, sf: str) -> DataFrame:
@@ -551,7 +552,7 @@ def _book(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def symbol_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return codebook.symbol_histogram(tables.table(spark, sf, "documents"), "text")
+    return codebook.symbol_histogram(tables.documents(spark, sf), "text")
 
 
 @query
@@ -568,7 +569,7 @@ def codebook_kraft(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def encode_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    docs = tables.table(spark, sf, "documents").select("doc_id", "text")
+    docs = tables.documents(spark, sf)
     packed = codebook.encode_corpus(docs, _book(spark, sf), "text")
     return packed.select("doc_id", F.length("data").alias("bytes"), "pad", F.sha1("data").alias("digest"))
 
@@ -576,7 +577,7 @@ def encode_corpus(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def encode_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     book = _book(spark, sf)
-    docs = tables.table(spark, sf, "documents").select("doc_id", "text")
+    docs = tables.documents(spark, sf)
     packed = codebook.encode_corpus(docs, book, "text").drop("text")
     return codebook.decode_corpus(packed, book, "text").select("doc_id", "text")
 

@@ -50,7 +50,7 @@ def test_parse(spark, rows):
 )
 def test_incomplete_lines(spark, line):
     with pytest.raises(Exception, match="incomplete reply line"):
-        latency.parse_ping_lines(lines(spark, line)).count()
+        latency.parse_ping_lines(lines(spark, line)).collect()
     assert latency.parse_ping_lines(lines(spark, line), mode="quarantine").first().error == line
 
 
