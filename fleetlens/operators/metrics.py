@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fleetlens.functions.formatting import CPU_BAR_WIDTH, bar, half_up
-from fleetlens.operators.ordered import previous, running, time_chunk
+from fleetlens.operators.ordered import last_row, previous, running, slot, time_chunk
 from fleetlens.operators.skew import MAX_BROADCAST_ROWS, lookup_join
 from fleetlens.session import materialize
 
@@ -53,8 +53,9 @@ def running_extrema(
 
 def gauge_extrema(df: DataFrame, keys: Sequence[str] = ("gauge",), ts: str = "ts", value: str = "value", tie: Sequence[str] = ()) -> DataFrame:
     """Latest value and overall extrema per key; also works on a stream in update mode."""
+    order = F.struct(ts, *tie) if tie else F.col(ts)
     return df.groupBy(*keys).agg(
-        F.max_by(value, F.struct(ts, *tie)).alias("current"), F.min(value).alias("min"), F.max(value).alias("max")
+        F.max_by(value, order).alias("current"), F.min(value).alias("min"), F.max(value).alias("max")
     )
 
 
@@ -90,23 +91,22 @@ def lookback_mean(
         raise ValueError("the chunk must not be shorter than the lookback")
     is_ms = dict(df.dtypes)[ts] in ("bigint", "int")
     clock = F.col(ts).cast("bigint") * 1000 if is_ms else F.unix_micros(F.col(ts).cast("timestamp"))
-    own = F.floor(F.col("_t") / chunk_us).cast("bigint")
-    late = F.floor((F.col("_t") + span_us) / chunk_us).cast("bigint")
+    own, late = slot(F.col("_t"), chunk_us), slot(F.col("_t") + span_us, chunk_us)
     rows = df.withColumn("_t", clock).withColumn("_own", own).withColumn("_late", late)
 
-    # Per key: the last row before each chunk's halo.
-    picked = list(dict.fromkeys(["_t", *tie, *cols]))
-    order = F.struct("_t", *tie)
-    last = rows.groupBy(*keys, "_own", "_late").agg(F.max_by(F.struct(*picked), order).alias("_last"))
-    ends = last.select(*keys, F.col("_late").alias("_pos"), F.lit(1).alias("_end"), "_last")
-    starts = last.select(*keys, F.col("_own").alias("_pos")).distinct()
-    starts = starts.select("*", F.lit(0).alias("_end"), F.lit(None).cast(last.schema["_last"].dataType).alias("_last"))
-    past = W.partitionBy(*keys).orderBy("_pos", "_end", "_last._t").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # Per chunk: its last row, and its last row outside the halo it shows to the next chunk.
+    outside = F.col("_late") == F.col("_own")
+    last = rows.groupBy(*keys, "_own").agg(
+        last_row(["_t", *tie], cols).alias("_end"), last_row(["_t", *tie], cols, outside).alias("_early")
+    )
+    past = W.partitionBy(*keys).orderBy("_own")
+    end, before, early = F.lag("_end").over(past), F.lag("_end", 2).over(past), F.lag("_early").over(past)
+    adjacent = F.lag("_own").over(past) == F.col("_own") - 1
+    older_row = F.when(~adjacent, end).when(early["_t"].isNotNull(), early).otherwise(before)
     heads = (
-        starts.unionByName(ends)
-        .withColumn("_last", F.last("_last", ignorenulls=True).over(past))
-        .filter((F.col("_end") == 0) & F.col("_last").isNotNull())
-        .select(*keys, F.col("_pos").alias("_chunk"), "_last.*")
+        last.select(*keys, F.col("_own").alias("_chunk"), older_row.alias("_head"))
+        .filter(F.col("_head._t").isNotNull())
+        .select(*keys, "_chunk", "_head.*")
     )
 
     shown = F.when(F.col("_late") > F.col("_own"), F.array("_own", "_late")).otherwise(F.array("_own"))
@@ -116,7 +116,7 @@ def lookback_mean(
     by_time = W.partitionBy(*keys, "_chunk").orderBy("_t")
     recent = by_time.rangeBetween(-(span_us - 1), 0)
     older = by_time.rangeBetween(W.unboundedPreceding, -span_us)
-    edge = F.max_by(F.struct(*cols), order).over(older)
+    edge = F.max_by(F.struct(*cols), F.struct("_t", *tie) if tie else F.col("_t")).over(older)
     framed = both.select(
         *df.columns,
         "_real",

@@ -18,10 +18,29 @@ _FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
 _FIRST_TO_LAST = (W.unboundedPreceding, W.currentRow)
 
 
+def slot(value: Column, size: int) -> Column:
+    """Number of the ``size``-wide slot a whole number lies in, also below zero."""
+    return ((value - F.pmod(value, F.lit(size))) / size).cast("bigint")
+
+
 def time_chunk(ts: Column | str, seconds: int) -> Column:
     """Number of the ``seconds``-long slot a timestamp lies in."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("bigint")
+    return slot(F.unix_micros(ts.cast("timestamp")), seconds * 1_000_000)
+
+
+def last_row(order: Sequence[str], cols: Sequence[str], among: Column | None = None) -> Column:
+    """Aggregate: ``order`` and ``cols`` of the last row, as a struct with NULL fields if there is none.
+
+    Ordered by one column of a primitive type this is a hash aggregate. More
+    order columns need a struct maximum, for which Spark sorts first.
+    """
+    names = list(dict.fromkeys([*order, *cols]))
+    if len(order) == 1:
+        by = F.col(order[0]) if among is None else F.when(among, F.col(order[0]))
+        return F.struct(*[F.max_by(c, by).alias(c) for c in names])
+    row = F.struct(*names)
+    return F.max(row if among is None else F.when(among, row))
 
 
 def _with_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
@@ -52,14 +71,10 @@ def previous(
     """Add ``prev_<col>``: the value of the row before, per key; NULL on a key's first row."""
     keys, order, cols = list(keys), list(order), list(cols)
     rows = df.withColumn("_chunk", chunk)
-    wanted = list(dict.fromkeys([*order, *cols]))
-    last = rows.groupBy(*keys, "_chunk").agg(F.max_by(F.struct(*wanted), F.struct(*order)).alias("_last"))
+    ends = rows.groupBy(*keys, "_chunk").agg(last_row(order, cols).alias("_end"))
     by_chunk = W.partitionBy(*keys).orderBy("_chunk")
-    heads = (
-        last.withColumn("_last", F.lag("_last").over(by_chunk))
-        .filter(F.col("_last").isNotNull())
-        .select(*keys, "_chunk", "_last.*")
-    )
+    before = ends.select(*keys, "_chunk", F.lag("_end").over(by_chunk).alias("_end"))
+    heads = before.filter(F.col("_end").isNotNull()).select(*keys, "_chunk", "_end.*")
     inside = W.partitionBy(*keys, "_chunk").orderBy("_body", *order)
     seen = _with_heads(rows, heads).select(
         *df.columns, "_body", *[F.lag(c).over(inside).alias(f"prev_{c}") for c in cols]

@@ -358,6 +358,16 @@ SQL: dict[str, str] = {
     "stream_counter_deltas": f"""WITH {_COUNTERS} SELECT cpu, epoch_us(ts) // 1000 AS t, total::DOUBLE AS total,
         idle::DOUBLE AS idle, {_DELTAS.format(t='DOUBLE')} FROM counters""",
     "stream_lookback": f"""WITH {_SAMPLES}, {_lookback(6 * 3_600_000, True, "t", "epoch_us(ts) // 1000")}""",
+    "append_counter_deltas": f"""WITH {_COUNTERS} SELECT cpu, epoch_us(ts) // 1000 AS t, total::DOUBLE AS total,
+        idle::DOUBLE AS idle, {_DELTAS.format(t='DOUBLE')} FROM counters""",
+    "append_lookback": f"""WITH {_SAMPLES}, {_lookback(6 * 3_600_000, True, "t", "epoch_us(ts) // 1000")}""",
+    "stream_sample_gap": """WITH RECURSIVE seen AS (SELECT user_id, epoch_us(ts) // 1000 AS t FROM events),
+        kept AS (
+          SELECT user_id, min(t) AS t FROM seen GROUP BY user_id
+          UNION ALL
+          SELECT seen.user_id, min(seen.t) AS t FROM kept JOIN seen
+          ON seen.user_id = kept.user_id AND seen.t > kept.t + 21600000 GROUP BY seen.user_id
+        ) SELECT user_id, t FROM kept""",
     "stream_measurements": """SELECT '10.1.0.1' AS src_addr, (user_id % 64 + 56)::INT AS bytes,
         '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS addr, event_id AS seq,
         (event_id % 200 + 30)::INT AS ttl, value AS time, 'ms' AS time_unit

@@ -759,6 +759,36 @@ def stream_lookback(spark: SparkSession, sf: str) -> DataFrame:
     return means.select("cpu", "t", _r("mean_total").alias("mean_total"), _r("mean_idle").alias("mean_idle"))
 
 
+@query
+def append_counter_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_dir(spark)
+    counters = _counter_stream(spark, sf, False)
+    run = metric_streams.append_counter_deltas(counters, path, f"{path}/checkpoint", chunk_seconds=86400)
+    run.awaitTermination()
+    return spark.read.parquet(f"{path}/data").drop("batch")
+
+
+@query
+def append_lookback(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_dir(spark)
+    run = metric_streams.append_lookback(
+        _counter_stream(spark, sf, True), path, f"{path}/checkpoint", ms=6 * 3_600_000, chunk_seconds=86400
+    )
+    run.awaitTermination()
+    means = spark.read.parquet(f"{path}/data").drop("batch")
+    return means.select("cpu", "t", _r("mean_total").alias("mean_total"), _r("mean_idle").alias("mean_idle"))
+
+
+@query
+def stream_sample_gap(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_dir(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    rows = _event_stream(spark, sf).select("user_id", "ts")
+    _drain(metric_streams.stream_sample_gap(rows, ["user_id"], 6 * 3_600_000), path)
+    kept = spark.read.parquet(f"{path}/data")
+    return kept.select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+
+
 @query
 def stream_measurements(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark)

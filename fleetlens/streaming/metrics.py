@@ -1,22 +1,34 @@
 """Counters and gauges as streams.
 
-The stateful operators keep, per series, what the next sample needs. Samples
-must arrive in micro-batches no larger than the trigger admits
-(``maxFilesPerTrigger``); within one, a series is sorted by time. A series
-is inherently sequential here; the batch operators split it.
+Two ways to carry what a series needs from one micro-batch to the next. The
+stateful operators keep it in the state store and sort a series' part of a
+micro-batch in one task: for many series of similar size, in micro-batches
+bounded by the source (``maxFilesPerTrigger``). ``append_counter_deltas`` and
+``append_lookback`` keep it in a table and run the batch operators, which split a
+busy series over many tasks.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from fleetlens.operators.metrics import LOOKBACK_MS, MAX_SAMPLES, gauge_extrema
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from fleetlens.operators.metrics import (
+    CHUNK_SECONDS,
+    LOOKBACK_MS,
+    MAX_SAMPLES,
+    counter_deltas,
+    gauge_extrema,
+    lookback_mean,
+)
+from fleetlens.operators.ordered import last_row
+from fleetlens.operators.skew import lookup_join
+from fleetlens.session import materialize
 
 _SAMPLE = T.StructType(
     [
@@ -115,12 +127,56 @@ class _Lookback(StatefulProcessor):
         pass
 
 
+class _Gaps(StatefulProcessor):
+    """State: when the series last let a row through."""
+
+    def __init__(self, names: Sequence[str], ms: int) -> None:
+        self.names, self.ms = list(names), ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.passed = handle.getValueState("passed", T.StructType([T.StructField("t", T.LongType())]))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        batch = _in_time_order(rows)
+        times = batch["t"].tolist()
+        at, picked = 0, []
+        last = self.passed.get()[0] if self.passed.exists() else None
+        while (at := 0 if last is None else bisect_right(times, last + self.ms)) < len(times):
+            picked.append(at)
+            last = times[at]
+        if picked:
+            self.passed.update((last,))
+            yield batch.loc[picked, self.names]
+
+    def close(self) -> None:
+        pass
+
+
 def _samples(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     is_ms = dict(df.dtypes)[ts] in ("bigint", "int")
     t = F.col(ts).cast("bigint") if is_ms else F.unix_millis(F.col(ts).cast("timestamp"))
     return df.select(*keys, t.alias("t"), F.col("total").cast("double"), F.col("idle").cast("double"))
 
 
+def stream_sample_gap(df: DataFrame, keys: Sequence[str], ms: int, ts: str = "ts") -> DataFrame:
+    """Rows more than ``ms`` after the row of their key that passed before; the first row passes.
+
+    Unlike fixed time slots the clock restarts at each row that passes.
+    """
+    is_ms = dict(df.dtypes)[ts] in ("bigint", "int")
+    t = F.col(ts).cast("bigint") if is_ms else F.unix_millis(F.col(ts).cast("timestamp"))
+    return (
+        df.withColumn("t", t)
+        .groupBy(*keys)
+        .transformWithStateInPandas(
+            statefulProcessor=_Gaps(df.columns, ms),
+            outputStructType=df.schema,
+            outputMode="Append",
+            timeMode="None",
+        )
+    )
+
+
 def _output(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> T.StructType:
     fields = [df.schema[k] for k in keys] + [T.StructField("t", T.LongType())]
     return T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in ("total", "idle", *names)])
@@ -158,3 +214,95 @@ def stream_lookback(
             timeMode="None",
         )
     )
+
+
+def _newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, _newest, n``: when each series was last seen."""
+    return materialize(rows.groupBy(*keys).agg(F.max("t").alias("_newest"), F.count(F.lit(1)).alias("n")))
+
+
+def _tail(rows: DataFrame, keys: Sequence[str], ms: int) -> DataFrame:
+    """Rows of each series that a lookback of ``ms`` after its newest row can reach."""
+    newest = _newest(rows, keys)
+    dated = lookup_join(rows, newest.drop("n"), keys, spread=["t"], counts=newest)
+    recent = dated.filter(F.col("t") > F.col("_newest") - ms).drop("_newest")
+    older = dated.filter(F.col("t") <= F.col("_newest") - ms).groupBy(*keys)
+    edge = older.agg(last_row(["t"], ["total", "idle"]).alias("_last")).select(*keys, "_last.*")
+    return recent.unionByName(edge)
+
+
+def _append_by_batch(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    ms: int,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None,
+    operator: Callable[[DataFrame], DataFrame],
+) -> StreamingQuery:
+    """Run a batch operator over each micro-batch and what earlier ones left of its series.
+
+    Batch ``n`` reads ``tail/batch=n-1`` and overwrites ``data/batch=n`` and
+    ``tail/batch=n``, so a repeated batch gives the same files.
+    """
+    samples = _samples(df, keys, ts)
+    spark, schema = df.sparkSession, samples.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = materialize(batch)
+        if number > 0:
+            tail = spark.read.schema(schema).parquet(f"{path}/tail/batch={number - 1}")
+            seen = lookup_join(fresh, _newest(tail, keys).drop("n"), keys, "left", spread=["t"])
+            fresh = seen.filter(F.col("_newest").isNull() | (F.col("t") > F.col("_newest"))).drop("_newest")
+        else:
+            tail = fresh.limit(0)
+        both = materialize(fresh.withColumn("_new", F.lit(True)).unionByName(tail.withColumn("_new", F.lit(False))))
+        operator(both).filter("_new").drop("_new").write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+        _tail(both.drop("_new"), keys, ms).select(*schema.names).write.mode("overwrite").parquet(
+            f"{path}/tail/batch={number}"
+        )
+
+    return (
+        samples.writeStream.outputMode("append")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def append_counter_deltas(
+    df: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys: Sequence[str] = ("cpu",),
+    ts: str = "ts",
+    chunk_seconds: int = CHUNK_SECONDS,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """``stream_counter_deltas`` written to ``path/data/batch=<n>``, busy series split."""
+
+    def deltas(rows: DataFrame) -> DataFrame:
+        timed = rows.withColumn("ts", F.timestamp_millis("t"))
+        return counter_deltas(timed, keys, chunk_seconds=chunk_seconds).drop("ts")
+
+    return _append_by_batch(df, keys, ts, 1, path, checkpoint, trigger, deltas)
+
+
+def append_lookback(
+    df: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys: Sequence[str] = ("cpu",),
+    ts: str = "ts",
+    ms: int = LOOKBACK_MS,
+    chunk_seconds: int = CHUNK_SECONDS,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """``stream_lookback`` written to ``path/data/batch=<n>``, busy series split."""
+
+    def means(rows: DataFrame) -> DataFrame:
+        return lookback_mean(rows, keys, "t", ms=ms, chunk_seconds=chunk_seconds)
+
+    return _append_by_batch(df, keys, ts, ms, path, checkpoint, trigger, means)

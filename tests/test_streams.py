@@ -54,6 +54,56 @@ def test_counter_deltas(spark, rows, samples, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "data")).drop("batch")) == rows(batch)
 
 
+def test_counter_deltas_by_batch(spark, rows, samples, tmp_path):
+    write_batches(samples, str(tmp_path / "in"), 4)
+    stream = source(spark, str(tmp_path / "in"), samples.drop("part").schema)
+    q = metric_streams.append_counter_deltas(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), chunk_seconds=10)
+    q.awaitTermination()
+    batch = metrics.counter_deltas(samples.drop("part"), chunk_seconds=10).select(
+        "cpu", F.unix_millis("ts").alias("t"), "total", "idle", "d_total", "d_idle"
+    )
+    assert rows(spark.read.parquet(str(tmp_path / "out" / "data")).drop("batch")) == rows(batch)
+
+
+def test_late_samples_are_dropped_either_way(spark, rows, tmp_path):
+    data = [(0, "a", 1.0, 0.0, 0), (100, "a", 3.0, 0.0, 0), (50, "a", 9.0, 0.0, 1), (150, "a", 4.0, 1.0, 1), (7, "b", 5.0, 0.0, 1)]
+    df = spark.createDataFrame(data, "ts bigint, cpu string, total double, idle double, part int")
+    write_batches(df, str(tmp_path / "in"), 2)
+    stream = source(spark, str(tmp_path / "in"), df.drop("part").schema)
+    metric_streams.append_counter_deltas(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    run(metric_streams.stream_counter_deltas(stream), tmp_path)
+    want = [("a", 0, None), ("a", 100, 2.0), ("a", 150, 1.0), ("b", 7, None)]
+    for path in (tmp_path / "out" / "data", tmp_path / "data"):
+        assert rows(spark.read.parquet(str(path)), "cpu", "t", "d_total") == want
+
+
+def test_sample_gap(spark, rows, tmp_path):
+    df = spark.range(300).selectExpr("id * id % 7 + id * 10 as ts", "concat('k', id % 2) as k", "cast(floor(id / 100) as int) as part")
+    write_batches(df, str(tmp_path / "in"), 3)
+    stream = source(spark, str(tmp_path / "in"), df.drop("part").schema)
+    run(metric_streams.stream_sample_gap(stream, ["k"], 200), tmp_path)
+    want = []
+    for key in ("k0", "k1"):
+        last = None
+        for r in df.filter(F.col("k") == key).orderBy("ts").collect():
+            if last is None or r.ts - last > 200:
+                want.append((r.ts, key))
+                last = r.ts
+    assert rows(spark.read.parquet(str(tmp_path / "data")), "ts", "k") == sorted(want)
+
+
+def test_lookback_by_batch(spark, samples, tmp_path):
+    write_batches(samples, str(tmp_path / "in"), 4)
+    stream = source(spark, str(tmp_path / "in"), samples.drop("part").schema)
+    q = metric_streams.append_lookback(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), ms=2000, chunk_seconds=10)
+    q.awaitTermination()
+    got = {(r.cpu, r.t): r for r in spark.read.parquet(str(tmp_path / "out" / "data")).collect()}
+    batch = metrics.lookback_mean(samples.drop("part"), ms=2000, chunk_seconds=10).withColumn("t", F.unix_millis("ts"))
+    assert len(got) == 400
+    for r in batch.collect():
+        assert got[r.cpu, r.t].mean_total == pytest.approx(r.mean_total)
+
+
 def test_lookback(spark, samples, tmp_path):
     write_batches(samples, str(tmp_path / "in"), 4)
     stream = source(spark, str(tmp_path / "in"), samples.drop("part").schema)
