@@ -34,8 +34,7 @@ def with_frequency(
 def prefix_index(words: DataFrame, word: str = "word") -> DataFrame:
     """One row per digit prefix of every row, other columns kept: ``prefix, ...``.
 
-    Rows are independent, so this is a map without a shuffle; save it
-    partitioned by prefix length.
+    Rows are independent, so this is a map without a shuffle.
     """
     n = F.length("_digits")
     lengths = F.explode(F.when(n > 0, F.sequence(F.lit(1), n)))
@@ -49,10 +48,17 @@ def prefix_index(words: DataFrame, word: str = "word") -> DataFrame:
 def prefix_lookup(
     queries: DataFrame, index: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:
-    """Index rows of each queried ``prefix``; one-digit prefixes are hot and get salted."""
-    return lookup_join(
-        index, queries.select("prefix").distinct(), "prefix", max_broadcast_rows=max_broadcast_rows
-    )
+    """Index rows of each queried ``prefix``; one-digit prefixes are hot and get salted.
+
+    Of an index stored by prefix length (``digits``) only the folders of queried
+    lengths are read.
+    """
+    wanted = queries.select("prefix").distinct()
+    keys = ["prefix"]
+    if "digits" in index.columns:
+        wanted = wanted.withColumn("digits", F.length("prefix"))
+        keys = ["digits", "prefix"]
+    return lookup_join(index, wanted, keys, max_broadcast_rows=max_broadcast_rows)
 
 
 def rank_words(

@@ -220,6 +220,11 @@ SQL: dict[str, str] = {
         count(*) FILTER (WHERE is_dir) AS dirs FROM nodes""",
     "size_listing_roundtrip": f"WITH {_FILES} SELECT size, path FROM files",
     "hash_listing_roundtrip": f"WITH {_LISTING} SELECT hash, size, doc_id::VARCHAR AS path FROM listing",
+    "scan_files": "SELECT lang, octet_length(encode(text)) + 1 AS size, false AS is_dir FROM documents",
+    "scan_objects": "SELECT lang, octet_length(encode(text)) + 1 AS size FROM documents",
+    "dup_files": """SELECT hash, size, lang FROM (
+          SELECT sha1(text || chr(10)) AS hash, octet_length(encode(text)) + 1 AS size, lang,
+            count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n > 1""",
     "ping_parse": """SELECT event_id, (user_id % 64 + 56)::INT AS bytes,
         '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS addr, event_id AS seq,
         (event_id % 200 + 30)::INT AS ttl, value AS time, 'ms' AS time_unit
@@ -293,6 +298,7 @@ SQL: dict[str, str] = {
         FROM turn_words LEFT JOIN words USING (word) GROUP BY ALL""",
     "prefix_index": f"WITH {_INDEX} SELECT prefix, word FROM indexed",
     "prefix_lookup": f"WITH {_INDEX}, {_TYPED} SELECT prefix, word, n FROM indexed JOIN typed USING (prefix)",
+    "stored_prefix_lookup": f"WITH {_INDEX}, {_TYPED} SELECT prefix, word, n FROM indexed JOIN typed USING (prefix)",
     "rank_words": f"""WITH {_INDEX} SELECT prefix, word, n,
         row_number() OVER (PARTITION BY prefix ORDER BY n DESC, word) AS rn FROM indexed""",
     "top_words": f"""WITH {_INDEX} SELECT prefix, word, n, rn::INT AS rn FROM (SELECT prefix, word, n,

@@ -21,7 +21,7 @@ from fleetlens.operators import (
 )
 from fleetlens.plans import reports, tables
 from fleetlens.session import ROCKSDB_PROVIDER, materialize, scratch_dir
-from fleetlens.sources import listings, measurements
+from fleetlens.sources import files, listings, measurements
 from fleetlens.streaming import latency as latency_streams
 from fleetlens.streaming import metrics as metric_streams
 
@@ -209,6 +209,38 @@ def hash_listing_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return listings.read_hash_listing(spark, path)
 
 
+def _document_files(spark: SparkSession, sf: str) -> str:
+    """Every document as a file, in one folder per language, that the tasks can open."""
+    path = scratch_dir(spark)
+    docs = tables.spread(tables.table(spark, sf, "documents"), "doc_id").select("text", "lang")
+    one_each = docs.write.option("maxRecordsPerFile", 1).option("lineSep", "\n")
+    one_each.partitionBy("lang").text(path)
+    return path.removeprefix("file:")
+
+
+_TEXT_FILE = r"/lang=([a-z]+)/part-[^/]*\.txt$"
+
+
+@query
+def scan_files(spark: SparkSession, sf: str) -> DataFrame:
+    found = files.scan_inventory(spark, [_document_files(spark, sf)])
+    texts = found.filter(F.col("path").rlike(_TEXT_FILE))
+    return texts.select(F.regexp_extract("path", _TEXT_FILE, 1).alias("lang"), "size", "is_dir")
+
+
+@query
+def scan_objects(spark: SparkSession, sf: str) -> DataFrame:
+    found = files.scan_objects(spark, [_document_files(spark, sf)])
+    return found.select(F.regexp_extract("path", _TEXT_FILE, 1).alias("lang"), "size")
+
+
+@query
+def dup_files(spark: SparkSession, sf: str) -> DataFrame:
+    found = files.scan_inventory(spark, [_document_files(spark, sf)])
+    dupes, _ = files.duplicate_files(found.filter(F.col("path").rlike(_TEXT_FILE)))
+    return dupes.select("hash", "size", F.regexp_extract("path", _TEXT_FILE, 1).alias("lang"))
+
+
 # --- latency --------------------------------------------------------------
 
 
@@ -503,6 +535,13 @@ def prefix_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return _lookup(spark, sf).select("prefix", "word", "n")
 
 
+@query
+def stored_prefix_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_dir(spark)
+    listings.write_prefix_index(keypad.prefix_index(tables.corpus_words(spark, sf)), path)
+    return keypad.prefix_lookup(_queries(spark, sf), listings.read_prefix_index(spark, path)).drop("digits")
+
+
 @query
 def rank_words(spark: SparkSession, sf: str) -> DataFrame:
     index = materialize(keypad.prefix_index(tables.corpus_words(spark, sf)))

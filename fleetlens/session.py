@@ -36,10 +36,11 @@ def local_session(cores: int | str = "*", app: str = "fleetlens", **conf: str) -
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one in ``spark.checkpoint.dir``.
+    """A new folder of this application below the shared one in ``spark.checkpoint.dir``.
 
     Only a local master may go without that setting; there the driver and the
-    tasks are one machine.
+    tasks are one machine. ``fleetlens/<application id>`` may be removed when
+    the application has ended.
     """
     global _local_scratch
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,7 +50,7 @@ def scratch_dir(spark: SparkSession) -> str:
         if _local_scratch is None:
             _local_scratch = tempfile.mkdtemp(prefix="fleetlens-")
         root = _local_scratch
-    return f"{root.rstrip('/')}/fleetlens/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/fleetlens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:

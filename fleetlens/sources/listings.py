@@ -88,3 +88,12 @@ def read_word_counts(spark: SparkSession, path: str) -> DataFrame:
     latin = pairs.filter(F.col("word").rlike(LATIN_LETTER))
     numbers = _require(latin, F.col("n").isNotNull() & ~F.isnan("n"), "count is not a number", "failfast")
     return numbers.groupBy("word").agg(F.max_by("n", "pos").alias("n"))
+
+
+def write_prefix_index(index: DataFrame, path: str) -> None:
+    """Store a prefix index in one folder per prefix length, for lookups to prune."""
+    index.withColumn("digits", F.length("prefix")).write.mode("overwrite").partitionBy("digits").parquet(path)
+
+
+def read_prefix_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
