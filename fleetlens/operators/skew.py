@@ -31,12 +31,14 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join in which a hot key's rows go to ``_salts`` tasks instead of one.
 
-    ``spread`` are columns of ``rows`` that tell the rows of one key apart. The
-    matching lookup rows are repeated once per salt.
+    The salt comes from the ``spread`` columns and the number of the task that
+    emits the row: equal rows of different tasks are split too, and a repeated
+    task gives the same salts. The matching lookup rows are repeated once per
+    salt.
     """
     keys = list(keys)
     marks = F.broadcast(hot)
-    salt = F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int")
+    salt = F.pmod(F.xxhash64(*spread, F.spark_partition_id()), F.col("_salts")).cast("int")
     left = rows.join(marks, keys, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_salts")
     every = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     right = lookup.join(marks, keys, "left").withColumn("_salt", F.explode(every)).drop("_salts")

@@ -35,6 +35,25 @@ def test_hot_rows_are_spread(spark, skewed):
     assert max(r["count"] for r in per_salt) < 450
 
 
+def test_equal_rows_are_spread(spark, rows):
+    """Occurrences of one word have nothing but the word."""
+    words = spark.range(0, 4000, 1, 16).selectExpr("if(id % 4 < 3, 'the', concat('w', id % 50)) as word")
+    names = spark.createDataFrame([("the", 1), ("w7", 2)], "word string, n bigint")
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    hot = skew.hot_keys(counts, ["word"], rows_per_salt=300)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        joined = skew.salted_join(words, names, hot, ["word"], "inner", ["word"])
+        per_task = joined.filter("word = 'the'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert sum(r["count"] for r in per_task) == 3000 and len(per_task) > 1
+    assert rows(joined) == rows(words.join(names, "word"))
+
+
 def test_hot_keys_are_bounded(spark):
     counts = spark.range(20_000).select(F.col("id").alias("k"), F.lit(1000).cast("bigint").alias("n"))
     assert skew.hot_keys(counts, ["k"], rows_per_salt=10).count() < skew.MAX_HOT_KEYS
