@@ -70,7 +70,7 @@ def rank_words(
     tie column, so a short prefix with most of the words is spread out. A
     numeric tie (an insertion position) needs its own ``chunk``.
     """
-    piece = chunk if chunk is not None else F.substring(tie, 1, 2)
+    piece = chunk if chunk is not None else F.substring(tie, 1, 3)
     ordered = matches.withColumn("_down", -F.col("n"))
     cell = F.struct(F.col("_down"), piece.alias("piece"))
     return numbered(ordered, keys, ["_down", tie], cell).drop("_down")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fleetlens.functions.formatting import CPU_BAR_WIDTH, bar, half_up
-from fleetlens.operators.ordered import last_row, previous, running, slot, time_chunk
+from fleetlens.operators.ordered import clock, fitting_chunk, last_row, previous, running, slot, time_chunk
 from fleetlens.operators.skew import MAX_BROADCAST_ROWS, lookup_join
 from fleetlens.session import materialize
 
@@ -15,9 +15,6 @@ from fleetlens.session import materialize
 LOOKBACK_MS = 1000
 MAX_SAMPLES = 1000
 
-# At one sample a second, an hour of one key is 3600 rows.
-CHUNK_SECONDS = 3600
-
 
 def cpu_totals(df: DataFrame) -> DataFrame:
     """``total`` and ``idle`` from the counters of each row."""
@@ -31,10 +28,10 @@ def counter_deltas(
     ts: str = "ts",
     cols: Sequence[str] = ("total", "idle"),
     tie: Sequence[str] = (),
-    chunk_seconds: int = CHUNK_SECONDS,
+    chunk_seconds: int | None = None,
 ) -> DataFrame:
     """Add ``d_<col>``: growth since the key's previous sample; NULL for its first."""
-    seen = previous(df, keys, [ts, *tie], time_chunk(ts, chunk_seconds), cols)
+    seen = previous(df, keys, [ts, *tie], time_chunk(df, keys, ts, chunk_seconds), cols)
     return seen.select(*df.columns, *[(F.col(c) - F.col(f"prev_{c}")).alias(f"d_{c}") for c in cols])
 
 
@@ -44,11 +41,11 @@ def running_extrema(
     ts: str = "ts",
     value: str = "value",
     tie: Sequence[str] = (),
-    chunk_seconds: int = CHUNK_SECONDS,
+    chunk_seconds: int | None = None,
 ) -> DataFrame:
     """Add ``min_so_far`` and ``max_so_far`` per key."""
     aggs = {"min_so_far": ("min", value), "max_so_far": ("max", value)}
-    return running(df, keys, [ts, *tie], time_chunk(ts, chunk_seconds), aggs)
+    return running(df, keys, [ts, *tie], time_chunk(df, keys, ts, chunk_seconds), aggs)
 
 
 def gauge_extrema(df: DataFrame, keys: Sequence[str] = ("gauge",), ts: str = "ts", value: str = "value", tie: Sequence[str] = ()) -> DataFrame:
@@ -77,22 +74,21 @@ def lookback_mean(
     ms: int = LOOKBACK_MS,
     include_edge: bool = True,
     tie: Sequence[str] = (),
-    chunk_seconds: int = CHUNK_SECONDS,
+    chunk_seconds: int | None = None,
 ) -> DataFrame:
     """Add ``mean_<col>`` over the samples of the last ``ms`` and the one just before.
 
-    ``ts`` is a timestamp or epoch milliseconds. Rows less than ``ms`` before
+    ``ts`` is a timestamp or epoch milliseconds, as everywhere here. Rows less than ``ms`` before
     the end of their chunk are also shown to the next chunk, and one row per
     chunk stands for all that is older.
     """
     keys, cols, tie = list(keys), list(cols), list(tie)
-    chunk_us, span_us = chunk_seconds * 1_000_000, ms * 1000
+    t, span_us = clock(df, ts), ms * 1000
+    chunk_us = fitting_chunk(df, keys, t, span_us) if chunk_seconds is None else chunk_seconds * 1_000_000
     if span_us > chunk_us:
         raise ValueError("the chunk must not be shorter than the lookback")
-    is_ms = dict(df.dtypes)[ts] in ("bigint", "int")
-    clock = F.col(ts).cast("bigint") * 1000 if is_ms else F.unix_micros(F.col(ts).cast("timestamp"))
     own, late = slot(F.col("_t"), chunk_us), slot(F.col("_t") + span_us, chunk_us)
-    rows = df.withColumn("_t", clock).withColumn("_own", own).withColumn("_late", late)
+    rows = df.withColumn("_t", t).withColumn("_own", own).withColumn("_late", late)
 
     # Per chunk: its last row, and its last row outside the halo it shows to the next chunk.
     outside = F.col("_late") == F.col("_own")
@@ -161,9 +157,7 @@ def keep_newest_half(
 ) -> DataFrame:
     """Of a series with more than ``max_samples`` rows keep the later half of its time span."""
     keys = list(keys)
-    is_ms = dict(df.dtypes)[ts] in ("bigint", "int")
-    clock = F.col(ts) if is_ms else F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.withColumn("_t", clock)
+    rows = df.withColumn("_t", clock(df, ts))
     spans = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("_a"), F.max("_t").alias("_b"))
     from_t = F.when(F.col("n") > max_samples, F.col("_a") + (F.col("_b") - F.col("_a")) / 2)
     spans = spans.select(*keys, "n", from_t.alias("_from"))

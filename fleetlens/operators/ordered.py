@@ -4,8 +4,8 @@ Each splits a key's rows by a ``chunk`` column that grows with the order (an
 hour of the timestamp, a range of ids). One pre-aggregated row per key and
 chunk is enough to tell what earlier chunks contribute; that contribution joins
 the rows of the chunk as one extra leading row, and the window then runs per
-key and chunk. Cost: one narrow extra pass over the input, so hand in a table,
-and one shuffle. Choose the chunk so that one chunk of one key fits a task.
+key and chunk. Cost: a narrow extra pass over the input, so hand in a table, one
+shuffle, and for fitted time chunks another narrow pass that counts.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+# An hour of samples taken every second is 3600 rows of one key.
+CHUNK_MICROS = 3_600_000_000
+MAX_CHUNK_ROWS = 5_000_000
+
 _FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
 _FIRST_TO_LAST = (W.unboundedPreceding, W.currentRow)
 
@@ -23,10 +27,36 @@ def slot(value: Column, size: int) -> Column:
     return ((value - F.pmod(value, F.lit(size))) / size).cast("bigint")
 
 
-def time_chunk(ts: Column | str, seconds: int) -> Column:
-    """Number of the ``seconds``-long slot a timestamp lies in."""
-    ts = F.col(ts) if isinstance(ts, str) else ts
-    return slot(F.unix_micros(ts.cast("timestamp")), seconds * 1_000_000)
+def clock(df: DataFrame, ts: str) -> Column:
+    """Microseconds of a timestamp column, or of a whole number of epoch milliseconds."""
+    if dict(df.dtypes)[ts] in ("bigint", "int"):
+        return F.col(ts).cast("bigint") * 1000
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def fitting_chunk(
+    df: DataFrame, keys: Sequence[str], t: Column, least: int = 1, size: int = CHUNK_MICROS, max_rows: int = MAX_CHUNK_ROWS
+) -> int:
+    """A chunk size in which no key has more than ``max_rows`` rows in one chunk.
+
+    Starts at ``size`` and shrinks, down to ``least``, while the fullest chunk is
+    too full. Each try counts per key and chunk, pre-aggregated before the
+    shuffle; usually the first one fits.
+    """
+    size = max(size, least)
+    while size > least:
+        counts = df.groupBy(*keys, slot(t, size).alias("_chunk")).agg(F.count(F.lit(1)).alias("n"))
+        most = counts.agg(F.max("n")).first()[0] or 0
+        if most <= max_rows:
+            break
+        size = max(least, size * max_rows // (2 * most))
+    return size
+
+
+def time_chunk(df: DataFrame, keys: Sequence[str], ts: str, seconds: int | None = None) -> Column:
+    """Number of the time slot a row lies in; without ``seconds`` the slot is fitted to the data."""
+    t = clock(df, ts)
+    return slot(t, fitting_chunk(df, keys, t) if seconds is None else seconds * 1_000_000)
 
 
 def last_row(order: Sequence[str], cols: Sequence[str], among: Column | None = None) -> Column:

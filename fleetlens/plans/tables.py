@@ -95,7 +95,7 @@ def cpu_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
         samples,
         ["cpu"],
         ["ts", "event_id"],
-        time_chunk("ts", 86400),
+        time_chunk(samples, ["cpu"], "ts", 86400),
         {"total": ("sum", "used"), "idle": ("sum", "rested")},
     )
     return grown.select("event_id", "ts", "cpu", "total", "idle")

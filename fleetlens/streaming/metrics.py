@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from fleetlens.operators.metrics import (
-    CHUNK_SECONDS,
     LOOKBACK_MS,
     MAX_SAMPLES,
     counter_deltas,
@@ -278,14 +277,13 @@ def append_counter_deltas(
     checkpoint: str,
     keys: Sequence[str] = ("cpu",),
     ts: str = "ts",
-    chunk_seconds: int = CHUNK_SECONDS,
+    chunk_seconds: int | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """``stream_counter_deltas`` written to ``path/data/batch=<n>``, busy series split."""
 
     def deltas(rows: DataFrame) -> DataFrame:
-        timed = rows.withColumn("ts", F.timestamp_millis("t"))
-        return counter_deltas(timed, keys, chunk_seconds=chunk_seconds).drop("ts")
+        return counter_deltas(rows, keys, "t", chunk_seconds=chunk_seconds)
 
     return _append_by_batch(df, keys, ts, 1, path, checkpoint, trigger, deltas)
 
@@ -297,7 +295,7 @@ def append_lookback(
     keys: Sequence[str] = ("cpu",),
     ts: str = "ts",
     ms: int = LOOKBACK_MS,
-    chunk_seconds: int = CHUNK_SECONDS,
+    chunk_seconds: int | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """``stream_lookback`` written to ``path/data/batch=<n>``, busy series split."""

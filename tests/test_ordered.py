@@ -52,6 +52,18 @@ def test_numbered(rows, series, keys):
 
 
 def test_time_chunk(spark):
-    df = spark.sql("select timestamp_ntz'2024-01-01 00:59:59.999' a, timestamp'2024-01-01 01:00:00' b")
-    a, b = df.select(ordered.time_chunk("a", 3600), ordered.time_chunk("b", 3600)).first()
-    assert b - a == 1
+    df = spark.sql("select timestamp_ntz'2024-01-01 00:59:59.999' a, timestamp'2024-01-01 01:00:00' b, 3599999L c")
+    a, b, c = df.select(*[ordered.time_chunk(df, [], name, 3600) for name in "abc"]).first()
+    assert b - a == 1 and c == 0
+
+
+def test_chunks_are_fitted(spark):
+    """All rows of the hot key lie in one second; the other keys are spread over days."""
+    df = spark.range(20_000).selectExpr("if(id % 2 = 0, 'hot', concat('k', id % 9)) as k", "if(id % 2 = 0, id % 1000, id * 5000) as t")
+    t = ordered.clock(df, "t")
+    size = ordered.fitting_chunk(df, ["k"], t, max_rows=500)
+    assert 1000 <= size < 60_000
+    counts = df.groupBy("k", ordered.slot(t, size)).count().agg(F.max("count")).first()[0]
+    assert counts <= 500
+    assert ordered.fitting_chunk(df, ["k"], t, max_rows=20_000) == ordered.CHUNK_MICROS
+    assert ordered.fitting_chunk(df, ["k"], t, least=10**9, max_rows=500) == 10**9
