@@ -77,6 +77,19 @@ def test_late_samples_are_dropped_either_way(spark, rows, tmp_path):
         assert rows(spark.read.parquet(str(path)), "cpu", "t", "d_total") == want
 
 
+def test_restart_goes_on_where_it_stopped(spark, rows, samples, tmp_path):
+    schema = samples.drop("part").schema
+    for parts in ((0, 1), (2, 3)):
+        for i in parts:
+            samples.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = source(spark, str(tmp_path / "in"), schema)
+        metric_streams.append_counter_deltas(stream, str(tmp_path / "out"), str(tmp_path / "c"), chunk_seconds=10).awaitTermination()
+        run(metric_streams.stream_counter_deltas(stream), tmp_path)
+    want = rows(metrics.counter_deltas(samples, chunk_seconds=10).select("cpu", F.unix_millis("ts"), "d_total", "d_idle"))
+    for path in (tmp_path / "out" / "data", tmp_path / "data"):
+        assert rows(spark.read.parquet(str(path)), "cpu", "t", "d_total", "d_idle") == want
+
+
 def test_sample_gap(spark, rows, tmp_path):
     df = spark.range(300).selectExpr("id * id % 7 + id * 10 as ts", "concat('k', id % 2) as k", "cast(floor(id / 100) as int) as part")
     write_batches(df, str(tmp_path / "in"), 3)
