@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from xxhash import xxh64_intdigest
 
 from fleetlens.llm import common
 from fleetlens.session import materialize
@@ -35,7 +36,16 @@ QUOTES = frozenset("\"“”„«»‹›")
 REPORTS = frozenset("said says say quote quoted quotes called calls wrote writes term word sagte schrieb dit dijo".split())
 #: Words looked at on either side of a hit, and what a mentioned hit counts.
 WINDOW, MENTION = 4, 0.3
-FEATURES = 5
+#: What a misspelled term counts of the term itself.
+NEAR = 0.8
+#: A term must be so many times as usual in toxic documents, and a stem of which one word makes up this share is that word.
+RATIO, ONE_WORD = 8, 0.6
+FEATURES = 4
+
+
+def left_out(word: str) -> list[str]:
+    """The word without one of its letters, for each of them."""
+    return [word[:i] + word[i + 1 :] for i in range(len(word))]
 
 
 class Trie:
@@ -49,9 +59,9 @@ class Trie:
                 for letter in term:
                     node = node.setdefault(letter, {})
                 node[mark] = weight
-        # A word within one edit of a term shares the term's first or second half.
-        self.heads = {(len(w), w[: len(w) // 2]) for w in words if len(w) >= FUZZY_CHARS}
-        self.tails = {(len(w), w[len(w) // 2 :]) for w in words if len(w) >= FUZZY_CHARS}
+        # Two words one edit apart are equal, or one is the other, after leaving out a letter of each.
+        fuzzy = [w for w in words if len(w) >= FUZZY_CHARS]
+        self.shorter = {s for w in fuzzy for s in (w, *left_out(w))}
 
     def exact(self, word: str) -> float:
         """The highest weight of the word and of the stems that it begins with."""
@@ -65,12 +75,9 @@ class Trie:
 
     def near(self, word: str) -> float:
         """The highest weight of a whole word one edit away; an exchange of neighbours is one edit too."""
-        n = len(word)
-        if n < FUZZY_CHARS - 1 or not any(
-            (m, word[: m // 2]) in self.heads or (m, word[n - (m - m // 2) :]) in self.tails for m in (n - 1, n, n + 1)
-        ):
-            return 0.0
-        best = 0.0
+        n, best = len(word), 0.0
+        if n < FUZZY_CHARS - 1 or word not in self.shorter and self.shorter.isdisjoint(left_out(word)):
+            return best
         # States: node, its letters so far, and the automaton's rows for it and its parent.
         stack = [(self.root, "", list(range(n + 1)), None)]
         while stack:
@@ -103,39 +110,35 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.trie, self.weights = Trie(model.stems, model.words), np.array(model.weights)
-        self.chunks: dict[str, tuple[float, float]] = {}
+        self.chunks: dict[str, float] = {}
 
-    def chunk(self, chunk: str) -> tuple[float, float]:
-        """Weights of what stands between white space: exact, and near if there is no exact one."""
-        exact = near = 0.0
+    def chunk(self, chunk: str) -> float:
+        """The highest weight of the words in what stands between white space."""
+        best = 0.0
         for word in LETTERS.findall(chunk):
-            if hit := self.trie.exact(word):
-                exact = max(exact, hit)
-            else:
-                near = max(near, self.trie.near(word))
-        return exact, 0.0 if exact else near
+            best = max(best, self.trie.exact(word) or NEAR * self.trie.near(word))
+        return best
 
     def features(self, text: str) -> list[float]:
-        """Sums of used exact, near and mentioned hits, the strongest used hit, and hits per word."""
+        """Sums of used and of mentioned hits, the strongest used hit, and used hits per word."""
         chunks, known, hits = text.lower().split(), self.chunks, []
         for i, c in enumerate(chunks):
             got = known.get(c)
             if got is None:
                 got = known[c] = self.chunk(c)
-            if got != _NOTHING:
+            if got:
                 hits.append((i, got))
-        used = near = mentioned = most = 0.0
-        for i, (exact, close) in hits:
-            window = chunks[max(0, i - WINDOW) : i + WINDOW + 1]
-            before = chunks[max(0, i - WINDOW) : i]
-            quoted = sum(not QUOTES.isdisjoint(c) for c in window) >= 2 or len(QUOTES.intersection(chunks[i])) > 0
+        used = mentioned = most = 0.0
+        for i, weight in hits:
+            before, after = chunks[max(0, i - WINDOW) : i], chunks[i + 1 : i + 1 + WINDOW]
+            marks = [not QUOTES.isdisjoint(c) for c in (*before, chunks[i], *after)]
+            quoted = marks[len(before)] or any(marks[: len(before)]) and any(marks[len(before) + 1 :])
             if quoted or any(c.strip(".,:;") in REPORTS for c in before):
-                mentioned += exact + close
-                exact, close = exact * MENTION, close * MENTION
-            used += exact
-            near += close
-            most = max(most, exact, close)
-        return [math.log1p(used), math.log1p(near), math.log1p(mentioned), most, math.log1p(100 * len(hits) / max(1, len(chunks)))]
+                mentioned += weight
+                weight *= MENTION
+            used += weight
+            most = max(most, weight)
+        return [math.log1p(used), math.log1p(mentioned), most, math.log1p(100 * used / max(1, len(chunks)))]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if len(self.chunks) > common.MEMO_ENTRIES:
@@ -144,9 +147,6 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(rows @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-_NOTHING = (0.0, 0.0)
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from learning: by the CRC-32 of its id as text."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
@@ -164,30 +164,100 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     )
 
 
-def term_counts(sample: DataFrame) -> DataFrame:
-    """``term, stem, toxic, clean``: documents of either label that have the word, or a word that begins so."""
+def terms_of(text: str) -> set[tuple[str, bool]]:
+    """A text's words, and as stems their beginnings (marked true)."""
+    words = set(LETTERS.findall(text.lower()))
+    stems = {(w[:n], True) for w in words for n in range(STEM_CHARS, min(len(w), MAX_STEM_CHARS + 1))}
+    return stems.union((w, False) for w in words)
+
+
+def term_counts(texts: DataFrame, among: frozenset[tuple[str, bool]]) -> DataFrame:
+    """``term, stem, n``: how many of ``texts(text)`` have a term of ``among``."""
+    shared = texts.sparkSession.sparkContext.broadcast(among)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
         for batch in batches:
-            counts: tuple[Counter, Counter] = Counter(), Counter()
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = set(LETTERS.findall(text.lower()))
-                stems = {w[:n] for w in words for n in range(STEM_CHARS, min(len(w), MAX_STEM_CHARS + 1))}
-                counts[toxic].update((w, False) for w in words)
-                counts[toxic].update((s, True) for s in stems)
-            terms = list(counts[0].keys() | counts[1].keys())
+            counts: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                counts.update(terms_of(text) & wanted)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([t for t, _ in terms], pa.string()),
-                    pa.array([s for _, s in terms], pa.bool_()),
-                    pa.array([counts[1][t] for t in terms], pa.int64()),
-                    pa.array([counts[0][t] for t in terms], pa.int64()),
+                    pa.array([t for t, _ in counts], pa.string()),
+                    pa.array([s for _, s in counts], pa.bool_()),
+                    pa.array(counts.values(), pa.int64()),
                 ],
-                ["term", "stem", "toxic", "clean"],
+                ["term", "stem", "n"],
             )
 
-    made = sample.select("text", "toxic").mapInArrow(run, "term string, stem boolean, toxic long, clean long")
-    return made.groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    made = texts.select("text").mapInArrow(run, "term string, stem boolean, n long")
+    return made.groupBy("term", "stem").agg(F.sum("n").alias("n"))
+
+
+def term_contexts(texts: DataFrame) -> DataFrame:
+    """``term, stem, n``: in how many different contexts (the words beside it) ``texts(text)`` have a term.
+
+    A term has one context per text. Copies of a text add no context, so their
+    chance words stay rare.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = LETTERS.findall(text.lower())
+                first: dict[tuple[str, bool], int] = {}
+                for i, word in enumerate(words):
+                    if (word, False) not in first:
+                        first[word, False] = i
+                        for n in range(STEM_CHARS, min(len(word), MAX_STEM_CHARS) + 1):
+                            first.setdefault((word[:n], True), i)
+                beside = [xxh64_intdigest(" ".join(words[max(0, i - 1) : i + 2])) >> 1 for i in range(len(words))]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([t for t, _ in first], pa.string()),
+                        pa.array([s for _, s in first], pa.bool_()),
+                        pa.array([beside[i] for i in first.values()], pa.int64()),
+                    ],
+                    ["term", "stem", "context"],
+                )
+
+    made = texts.select("text").mapInArrow(run, "term string, stem boolean, context long")
+    return made.groupBy("term", "stem").agg(F.count_distinct("context").alias("n"))
+
+
+def lexicon(sample: DataFrame, toxic: int, clean: int, max_terms: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Stems and words that are at least RATIO times as usual in toxic documents as in clean ones, with log weights.
+
+    A stem that is mostly one word is left to that word, and a word or longer
+    stem that begins with a stem of the lexicon to that stem.
+    """
+    least = max(3, toxic // 100)
+    # The sample is bounded, and so are the terms that so many of its documents have.
+    seen = term_contexts(sample.filter("toxic")).filter(F.col("n") >= least).collect()
+    counts = {(r.term, r.stem): r.n for r in seen}
+    usual = {(r.term, r.stem): r.n for r in term_counts(sample.filter("not toxic"), frozenset(counts)).collect()}
+    # Counted low by 1.5 standard deviations: terms seen a few times may be chance.
+    low = {t: max(n - 1.5 * math.sqrt(n), 1e-9) for t, n in counts.items()}
+    ratio = {t: n / toxic / ((usual.get(t, 0) + 0.5) / (clean + 1)) for t, n in low.items()}
+    strong = sorted((t for t in counts if ratio[t] >= RATIO), key=lambda t: (-counts[t] * math.log(ratio[t]), t))
+    strong = strong[:max_terms]
+    weight = {t: round(min(5.0, math.log(ratio[t])), 4) for t in strong}
+    most: dict[str, int] = {}
+    for (term, stem), n in counts.items():
+        if not stem:
+            for i in range(STEM_CHARS, min(len(term), MAX_STEM_CHARS) + 1):
+                most[term[:i]] = max(most.get(term[:i], 0), n)
+    stems: dict[str, float] = {}
+    for term in sorted((t for t, stem in strong if stem), key=lambda t: (len(t), t)):
+        if most.get(term, 0) < ONE_WORD * counts[term, True] and not covered(term, weight[term, True], stems):
+            stems[term] = weight[term, True]
+    words = {t: weight[t, False] for t, stem in strong if not stem and not covered(t, weight[t, False], stems)}
+    return stems, words
+
+
+def covered(term: str, weight: float, stems: dict[str, float]) -> bool:
+    """Whether a stem that the term begins with weighs about as much."""
+    return any(stems.get(term[:i], 0) >= weight - 0.5 for i in range(STEM_CHARS, len(term) + 1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS) -> Model:
@@ -202,21 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_terms:
     sizes = {(r.half, r.toxic): r.n for r in sample.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 4:
         return Model()
-    toxic, clean = sizes[0, True], sizes[0, False]
-    share, usual = F.col("toxic") / toxic, (F.col("clean") + 0.5) / (clean + 1)
-    found = (
-        term_counts(sample.filter("half = 0"))
-        .filter(F.col("toxic") >= max(3, toxic // 200))
-        .withColumn("ratio", share / usual)
-        .filter("ratio >= 12")
-        .withColumn("strength", F.col("toxic") * F.log("ratio"))
-        .orderBy(F.desc("strength"), "term", "stem")
-        .limit(max_terms)
-        .collect()  # no more rows than the bound
-    )
-    stems = {r.term: round(min(5.0, math.log(r.ratio)), 4) for r in found if r.stem}
-    words = {r.term: round(min(5.0, math.log(r.ratio)), 4) for r in found if not r.stem}
-    model = Model(stems, words)
+    model = Model(*lexicon(sample.filter("half = 0"), sizes[0, True], sizes[0, False], max_terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -225,7 +281,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_terms:
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     learned = sample.filter("half = 1").select("text", "toxic").mapInArrow(run, "x array<double>, y boolean").toArrow()
-    model.weights = logistic(np.array(learned["x"].to_pylist()), np.array(learned["y"].to_pylist(), dtype=float))
+    order = np.lexsort(np.array(learned["x"].to_pylist()).T)  # sums must not depend on the order of tasks
+    x, y = np.array(learned["x"].to_pylist())[order], np.array(learned["y"].to_pylist(), dtype=float)[order]
+    model.weights = logistic(x, y)
     return model
 
 
@@ -240,7 +298,6 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, .
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    # The order of the sample's rows must not show.
     return tuple(round(float(v), 6) for v in w)
 
 
