@@ -68,13 +68,14 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         # Small star: a node hands its smaller neighbours, and itself, to the smallest.
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        wide = least.filter("n > 1").drop("n")
-        if wide.isEmpty():
-            edges = large
-            break
-        moved = large.join(wide, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        # Settled once every node with a smaller neighbour has just one, and that has none.
+        wide = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
+        inner = edges.select(F.col("v").alias("u")).distinct().join(edges.select("u").distinct(), "u", "left_semi")
+        if wide.unionByName(inner).isEmpty():
+            break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # Every node now has one smaller neighbour, and that is a component's root.
