@@ -9,6 +9,7 @@ ids of the words it has met, up to a fixed number.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -158,7 +159,8 @@ class Encoder:
         for piece in self.find(text):
             got = known.get(piece)
             if got is None:
-                got = known[piece] = np.array(self.merge(piece.encode()), dtype="<u4").tobytes()
+                ids_of = self.merge(piece.encode())
+                got = known[piece] = struct.pack(f"<{len(ids_of)}I", *ids_of)
             ids.append(got)
         return b"".join(ids)
 

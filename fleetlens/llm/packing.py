@@ -11,6 +11,7 @@ capacity, k rises and the block is partitioned anew.
 from __future__ import annotations
 
 import itertools
+import json
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heapreplace
@@ -21,45 +22,47 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from fleetlens.llm import common
+from fleetlens.llm.bpe import Encoder
+from fleetlens.llm.token_counts import byte_letters
 
 #: Pieces are packed in blocks of so many, each apart, so no task holds more at once.
 BLOCK_PIECES = 1024
+#: Cuts are rounded to the nearest id.
+HALF = 0.5
 #: Sequence numbers of a task start at its partition's number times this.
 SEQUENCES_PER_TASK = 2**40
 
-_UNEVEN = re.compile(r" (?:\s|$)")
+#: Fixed value: where a byte-level tokenizer splits a text.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Tokens:
-    """Ids of texts by a byte-level tokenizer file; each distinct word is handed to the tokenizer once.
+    """Ids of texts by a byte-level tokenizer file; its model sees each distinct pre-token once.
 
-    A single space before a character that isn't white space starts a
-    pre-token, so words between such spaces have the ids they have in the text.
-    Texts with other spacing, or with an added token's string, go as a whole.
+    Texts with an added token's string go through the library as a whole.
     """
 
+    pattern = PATTERN
+
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(file)
+        level = json.loads(file)["pre_tokenizer"]
+        if (level["type"], level["add_prefix_space"], level["use_regex"]) != ("ByteLevel", False, True):
+            raise ValueError("a tokenizer of another kind")
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
-        self.words: dict[str, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.encoder = Encoder(self)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
+    def merge(self, piece: bytes) -> list[int]:
+        return [t.id for t in self.model.tokenize("".join([self.letters[b] for b in piece]))]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > common.MEMO_ENTRIES:
-            self.words.clear()
-        whole = [bool(_UNEVEN.search(t) or self.added.search(t)) for t in texts]
-        split = [None if w else t.split(" ") for w, t in zip(whole, texts)]
-        known = self.words
-        new = list({w for ws in split if ws for w in itertools.islice(ws, 1, None)}.difference(known))
-        known.update(zip(new, self.ids([" " + w for w in new])))
-        heads = iter(self.ids([t if w else ws[0] for w, t, ws in zip(whole, texts, split)]))
-        return [next(heads) + b"".join(map(known.__getitem__, ws[1:] if ws else ())) for ws in split]
+    def encode(self, text: str) -> bytes:
+        if self.added.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.encoder.encode(text)
 
 
 _tokens: dict[str, Tokens] = {}
@@ -79,8 +82,9 @@ def token_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         name, file = shared.value
         tokens = _tokens.get(name) or _tokens.setdefault(name, Tokens(file))
         for ids, texts in common.portions(batches):
-            made = pa.array([x + end for x in tokens.encode(texts)], pa.binary())
+            made = pa.array([tokens.encode(t) + end for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([ids, made], ["doc_id", "ids"])
+            tokens.encoder.forget()
 
     texts = common.id_and_text(docs)
     return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, ids binary")
@@ -98,12 +102,13 @@ def cut(tokens: DataFrame, capacity: int, max_tail: int) -> DataFrame:
         F.sequence(F.lit(0), F.floor(n / capacity)),
         lambda i: F.struct((i * capacity).alias("start"), F.lit(capacity).cast("long").alias("length")),
     )
-    parts = F.ceil(tail / max_tail)
+    parts = F.ceil(tail / max_tail)  # none without a tail
+    share = tail / F.greatest(parts, F.lit(1))
     rest = F.transform(
         F.sequence(F.lit(0), parts),
         lambda i: F.struct(
-            (n - tail + F.floor(tail * i / parts)).alias("start"),
-            (F.floor(tail * (i + 1) / parts) - F.floor(tail * i / parts)).alias("length"),
+            (n - tail + F.floor(share * i + HALF)).alias("start"),
+            (F.floor(share * (i + 1) + HALF) - F.floor(share * i + HALF)).alias("length"),
         ),
     )
     pieces = F.concat(
@@ -188,7 +193,7 @@ def pack(pieces: DataFrame, capacity: int, block: int = BLOCK_PIECES) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = itertools.count(TaskContext.get().partitionId() * SEQUENCES_PER_TASK)
-        held, n = [], 0  # pieces that do not fill a sequence, by then less than a block
+        held, n = [], 0
         for batch in batches:
             while batch.num_rows:
                 part = batch.slice(0, max(1, block - n))
