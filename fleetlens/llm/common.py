@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetlens.session import materialize
 
 #: Memoised results of a Python worker are dropped beyond so many entries.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
 #: Texts of a batch are worked on in portions of about so many characters.
-PORTION_CHARS = 4_000_000
+PORTION_CHARS = 2_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
