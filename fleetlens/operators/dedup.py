@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlens.operators.skew import LIST_ROWS, MAX_BROADCAST_ROWS, grouped_lists, lookup_join
+from fleetlens.operators.skew import MAX_BROADCAST_ROWS, group_members, lookup_join
 from fleetlens.session import materialize
 
-# Fixed value: length of the short form of a hash.
+# Fixed value: length of the short form of a hash. For display only: groups need the whole hash.
 SHORT_HASH = 10
 
 
@@ -21,7 +21,7 @@ def content_hash(content: Column | str, trunc: int | None = None) -> Column:
     return F.substring(digest, 1, trunc) if trunc else digest
 
 
-def content_listing(df: DataFrame, path: str, content: str, trunc: int | None = None) -> DataFrame:
+def content_listing(df: DataFrame, path: str, content: str) -> DataFrame:
     """Listing of a table that carries its content.
 
     Size and hash come from one read of the content; from here on rows are
@@ -29,7 +29,7 @@ def content_listing(df: DataFrame, path: str, content: str, trunc: int | None =
     costs more than hashing everything in the one scan.
     """
     return df.select(
-        content_hash(content, trunc).alias("hash"),
+        content_hash(content).alias("hash"),
         F.octet_length(content).cast("bigint").alias("size"),
         F.col(path).alias("path"),
     )
@@ -104,14 +104,19 @@ def duplicate_summary(repeated: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_groups(listing: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
-    """``hash, n, part, items``: the paths sharing a hash, large groups in parts."""
-    return grouped_lists(listing.filter(F.col("size") > 0), ["hash"], "path", min_n=2, list_rows=list_rows)
+def duplicate_groups(listing: DataFrame) -> DataFrame:
+    """``hash, n, path``: the paths that share a hash with others."""
+    return group_members(listing.filter(F.col("size") > 0), ["hash"], "path", min_n=2)
 
 
-def size_groups(listing: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
-    """``size, n, part, items``: the paths sharing a size, large groups in parts."""
-    return grouped_lists(listing.filter(F.col("size") > 0), ["size"], "path", min_n=2, list_rows=list_rows)
+def size_groups(listing: DataFrame) -> DataFrame:
+    """``size, n, path``: the paths that share a size with others."""
+    return group_members(listing.filter(F.col("size") > 0), ["size"], "path", min_n=2)
+
+
+def shortened(rows: DataFrame) -> DataFrame:
+    """Rows with the short form of their hash."""
+    return rows.withColumn("hash", F.substring("hash", 1, SHORT_HASH))
 
 
 def hash_sizes(repeated: DataFrame) -> DataFrame:

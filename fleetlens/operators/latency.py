@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from fleetlens.functions.formatting import bar, fixed, format_date, half_up
 from fleetlens.functions.intervals import interval_seconds, spark_interval
 from fleetlens.functions.latency_text import REPLY_FIELDS, REPLY_LINE, reply_field
-from fleetlens.operators.skew import MAX_BROADCAST_ROWS, lookup_join
+from fleetlens.operators.skew import MAX_BROADCAST_ROWS, equal_keys, lookup_join
 from fleetlens.session import materialize
 
 # Network names, default outlier distance in standard deviations.
@@ -63,8 +63,15 @@ def by_network(df: DataFrame, network: str) -> DataFrame:
 
 
 def since(df: DataFrame, lookback: str, now: Column, ts: str = "ts") -> DataFrame:
-    """Rows of the last ``5m``, ``2h``, ``7d`` or ``1w`` before ``now``."""
-    return df.filter(F.col(ts) >= now - F.expr(f"INTERVAL {spark_interval(lookback)}"))
+    """Rows of the last ``5m``, ``2h``, ``7d`` or ``1w`` before ``now``.
+
+    On the stored measurements (``day`` is the date of ``ts``) older days are
+    not read at all.
+    """
+    first = now - F.expr(f"INTERVAL {spark_interval(lookback)}")
+    stored = dict(df.dtypes).get("day") == "date" and ts == "ts"
+    recent = df.filter(F.col("day") >= F.to_date(first)) if stored else df
+    return recent.filter(F.col(ts) >= first)
 
 
 def resolve_address(
@@ -74,11 +81,14 @@ def resolve_address(
     return lookup_join(df, addresses, "addr", "left", max_broadcast_rows=max_broadcast_rows)
 
 
+def bucket_window(ts: Column, duration: str) -> Column:
+    """The tumbling window ``ts`` lies in, in batch and stream; whole weeks start on Monday."""
+    start = _WEEK_START if interval_seconds(duration) % 604800 == 0 else "0 seconds"
+    return F.window(ts, spark_interval(duration), startTime=start)
+
+
 def bucket_start(ts: Column, duration: str) -> Column:
-    """Start of the tumbling window ``ts`` lies in."""
-    interval = spark_interval(duration)
-    week = interval_seconds(duration) % 604800 == 0
-    return (F.window(ts, interval, startTime=_WEEK_START) if week else F.window(ts, interval))["start"]
+    return bucket_window(ts, duration)["start"]
 
 
 def time_bucket_stats(
@@ -111,7 +121,7 @@ def time_bucket_stats(
     )
     counts = stats.select(*by, F.col("count").alias("n"))
     near = lookup_join(
-        rows, stats, by, spread=["_v"], counts=counts, max_broadcast_rows=max_broadcast_rows
+        rows, stats, by, spread=["_v"], counts=counts, max_broadcast_rows=max_broadcast_rows, null_safe=True
     ).filter(F.col("_v") <= F.col("_around")[1])
     inside = F.when(F.col("_v") >= F.col("_around")[0], F.col("_v"))
     ranks = near.groupBy(*by, "count", "avg", "max", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
@@ -159,6 +169,7 @@ def stats_from_counts(
         totals,
         by,
         spread=[value],
+        null_safe=True,
     ).withColumn("_cell", cell)
     group = [*by, "count", "avg", "max"]
     sums = placed.groupBy(*group, "_cell").agg(F.sum("_n").alias("_n"))
@@ -170,9 +181,9 @@ def stats_from_counts(
         .select(*by, "_cell", (F.col("_upto") - F.col("_n")).alias("_below"))
     )
     middle = materialize(middle)
-    kept = lookup_join(placed, middle, [*by, "_cell"], spread=[value]).select(*group, F.col(value).alias("_v"), "_n")
+    kept = lookup_join(placed, middle, [*by, "_cell"], spread=[value], null_safe=True).select(*group, F.col(value).alias("_v"), "_n")
     below = middle.groupBy(*by).agg(F.min("_below").alias("_n"))
-    heads = totals.join(below, by).select(*group, F.lit(None).cast("double").alias("_v"), "_n")
+    heads = equal_keys(totals, below, by, "inner", True).select(*group, F.lit(None).cast("double").alias("_v"), "_n")
     ranks = kept.unionByName(heads).groupBy(*group, "_v").agg(F.sum("_n").alias("_n"))
     return _middle(ranks, group, "count").select(*group, "median")
 
@@ -271,8 +282,7 @@ def report_header(aggregates: DataFrame, pretty: bool = False) -> DataFrame:
 
 def sample_every(df: DataFrame, duration: str, keys: Sequence[str] = (), ts: str = "ts", tie: Sequence[str] = ()) -> DataFrame:
     """The last row of each time slot (and key): at most one per interval."""
-    interval = duration if " " in duration else spark_interval(duration)
-    slot = F.window(F.col(ts), interval)["start"]
+    slot = (F.window(F.col(ts), duration) if " " in duration else bucket_window(F.col(ts), duration))["start"]
     rows = df.withColumn("slot", slot)
     last = F.max_by(F.struct(*df.columns), F.struct(ts, *tie))
     return rows.groupBy(*keys, "slot").agg(last.alias("_last")).select("slot", "_last.*")

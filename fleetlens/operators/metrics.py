@@ -164,7 +164,13 @@ def keep_newest_half(
     if keys:
         spans = materialize(spans)
         rows = lookup_join(
-            rows, spans.drop("n"), keys, counts=spans, spread=["_t"], max_broadcast_rows=max_broadcast_rows
+            rows,
+            spans.drop("n"),
+            keys,
+            counts=spans,
+            spread=["_t"],
+            max_broadcast_rows=max_broadcast_rows,
+            null_safe=True,
         )
     else:
         rows = rows.withColumn("_from", spans.select("_from").scalar())

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlens.operators.skew import LIST_ROWS, grouped_lists
+from fleetlens.operators.skew import group_members
 
 # States, modes and the name separator.
 PASS, FAIL = "pass", "fail"
@@ -34,11 +34,11 @@ def status_rollup(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def error_groups(runs: DataFrame, task: str = "run_id", list_rows: int = LIST_ROWS) -> DataFrame:
-    """Tasks per identical error: ``stack, project, n, part, tasks``.
+def error_groups(runs: DataFrame, task: str = "run_id") -> DataFrame:
+    """Tasks by identical error: ``stack, project, n, task``, a row per task.
 
     Errors merge when the stack and, for suites, the project agree; an error
-    without a stack stays alone. Groups beyond ``list_rows`` come in parts.
+    without a stack stays alone.
     """
     errors = runs.select(F.posexplode("errors").alias("_pos", "_error"), *runs.columns)
     stack = F.nullif(F.col("_error.stack"), F.lit(""))
@@ -49,8 +49,7 @@ def error_groups(runs: DataFrame, task: str = "run_id", list_rows: int = LIST_RO
         F.coalesce(own, F.lit("")).alias("own"),
         F.col(task).alias("task"),
     )
-    groups = grouped_lists(keyed, ["stack", "project", "own"], "task", list_rows=list_rows)
-    return groups.select("stack", "project", "n", "part", F.col("items").alias("tasks"))
+    return group_members(keyed, ["stack", "project", "own"], "task").drop("own")
 
 
 def failure_summary(runs: DataFrame) -> DataFrame:

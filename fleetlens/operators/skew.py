@@ -1,8 +1,10 @@
-"""Joins and grouped lists that stay balanced when a few keys hold most rows."""
+"""Joins and group members that stay balanced when a few keys hold most rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -15,7 +17,6 @@ MAX_SALTS = 4096
 ROWS_PER_SALT = 1_000_000
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 * 1024**2
-LIST_ROWS = 10_000
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], n: str = "n", rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
@@ -26,23 +27,42 @@ def hot_keys(counts: DataFrame, keys: Sequence[str], n: str = "n", rows_per_salt
     return hot.select(*keys, salts.alias("_salts"))
 
 
+def equal_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, null_safe: bool) -> DataFrame:
+    """Equi-join on ``keys``; ``null_safe`` makes a NULL key equal to a NULL key."""
+    if not null_safe:
+        return left.join(right, list(keys), how)
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(right, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def salted_join(
-    rows: DataFrame, lookup: DataFrame, hot: DataFrame, keys: Sequence[str], how: str, spread: Sequence[str]
+    rows: DataFrame,
+    lookup: DataFrame,
+    hot: DataFrame,
+    keys: Sequence[str],
+    how: str,
+    spread: Sequence[str],
+    null_safe: bool = False,
 ) -> DataFrame:
     """Equi-join in which a hot key's rows go to ``_salts`` tasks instead of one.
 
     The salt comes from the ``spread`` columns and the number of the task that
     emits the row: equal rows of different tasks are split too, and a repeated
     task gives the same salts. The matching lookup rows are repeated once per
-    salt.
+    salt. Rows with a NULL key, unless it can match, get any salt.
     """
     keys = list(keys)
     marks = F.broadcast(hot)
-    salt = F.pmod(F.xxhash64(*spread, F.spark_partition_id()), F.col("_salts")).cast("int")
-    left = rows.join(marks, keys, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_salts")
+    mixed = F.xxhash64(*spread, F.spark_partition_id())
+    salt = F.coalesce(F.pmod(mixed, F.col("_salts")).cast("int"), F.lit(0))
+    if not null_safe:
+        absent = reduce(or_, [F.col(k).isNull() for k in keys])
+        salt = F.when(absent, F.pmod(mixed, F.lit(MAX_SALTS)).cast("int")).otherwise(salt)
+    left = equal_keys(rows, marks, keys, "left", null_safe).withColumn("_salt", salt).drop("_salts")
     every = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    right = lookup.join(marks, keys, "left").withColumn("_salt", F.explode(every)).drop("_salts")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    right = equal_keys(lookup, marks, keys, "left", null_safe).withColumn("_salt", F.explode(every)).drop("_salts")
+    return equal_keys(left, right, [*keys, "_salt"], how, null_safe).drop("_salt")
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
@@ -73,6 +93,7 @@ def lookup_join(
     counts: DataFrame | None = None,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
     rows_per_salt: int = ROWS_PER_SALT,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join many ``rows`` to a lookup table.
 
@@ -80,41 +101,35 @@ def lookup_join(
     are not shuffled; otherwise both sides are shuffled and hot keys are salted.
     ``counts`` (``keys, n``: rows per key) saves a pass over ``rows``. The lookup
     should be a table or ``materialize``d, as it is read again for the join.
+    ``null_safe`` is for groups joined back to their rows: NULL is a key there.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if fits_broadcast(lookup, max_broadcast_rows):
-        return rows.join(F.broadcast(lookup), keys, how)
+        return equal_keys(rows, F.broadcast(lookup), keys, how, null_safe)
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     hot = materialize(hot_keys(counts, keys, rows_per_salt=rows_per_salt))
-    return salted_join(rows, lookup, hot, keys, how, spread or rows.columns)
+    return salted_join(rows, lookup, hot, keys, how, spread or rows.columns, null_safe)
 
 
-def grouped_lists(
-    rows: DataFrame,
-    keys: Sequence[str],
-    item: str,
-    *,
-    min_n: int = 1,
-    list_rows: int = LIST_ROWS,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+def group_members(
+    rows: DataFrame, keys: Sequence[str], item: str, *, min_n: int = 1, max_broadcast_rows: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:
-    """Items per key as sorted arrays: ``keys, n, part, items``.
+    """``keys, n, item``: each item next to the size of its group, a row per item.
 
-    A group of more than ``list_rows`` rows comes as several parts, so no task
-    and no array ever holds a whole large group; a part is picked by a hash of
-    the item. Groups below ``min_n`` rows are left out. ``rows`` is read twice:
-    hand in a table or a ``materialize``d one.
+    Rows, not arrays, so a group may have any size and the answer's shape does
+    not depend on it. Groups below ``min_n`` rows are left out; NULL is a key.
+    ``rows`` is read twice: hand in a table or a ``materialize``d one.
     """
     keys = list(keys)
     counts = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_n))
     sized = lookup_join(
-        rows.select(*keys, item), counts, keys, spread=[item], counts=counts, max_broadcast_rows=max_broadcast_rows
-    )
-    parts = F.ceil(F.col("n") / list_rows)
-    part = F.pmod(F.xxhash64(item), parts).cast("int")
-    return (
-        sized.withColumn("part", part)
-        .groupBy(*keys, "n", "part")
-        .agg(F.sort_array(F.collect_list(item)).alias("items"))
+        rows.select(*keys, item),
+        counts,
+        keys,
+        spread=[item],
+        counts=counts,
+        max_broadcast_rows=max_broadcast_rows,
+        null_safe=True,
     )
+    return sized.select(*keys, "n", item)

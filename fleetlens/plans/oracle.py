@@ -8,10 +8,6 @@ _LISTING = """listing AS (
   SELECT sha1(text) AS hash, octet_length(encode(text)) AS size, doc_id FROM documents
 )"""
 
-_SHORT_LISTING = """listing AS (
-  SELECT substr(sha1(text), 1, 10) AS hash, octet_length(encode(text)) AS size, doc_id FROM documents
-)"""
-
 _REPEATED = """repeated AS (
   SELECT hash, count(*) AS n, min(size) AS size FROM listing WHERE size > 0 GROUP BY hash HAVING count(*) > 1
 )"""
@@ -179,13 +175,12 @@ SQL: dict[str, str] = {
     "dup_documents": f"""WITH {_LISTING} SELECT hash, size, doc_id FROM
         (SELECT *, count(*) OVER (PARTITION BY hash) AS n FROM listing WHERE size > 0)
         WHERE n > 1 ORDER BY size DESC, hash, doc_id""",
-    "dup_documents_short_hash": f"""WITH {_SHORT_LISTING} SELECT hash, size, doc_id FROM
+    "dup_documents_short_hash": f"""WITH {_LISTING} SELECT substr(hash, 1, 10) AS hash, size, doc_id FROM
         (SELECT *, count(*) OVER (PARTITION BY hash) AS n FROM listing WHERE size > 0) WHERE n > 1""",
     "hash_counts": f"""WITH {_LISTING}
         SELECT hash, count(*) AS n, min(size) AS size FROM listing WHERE size > 0 GROUP BY hash""",
-    "dup_groups": f"""WITH {_LISTING} SELECT hash, count(*) AS n, 0::INT AS part,
-        string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids
-        FROM listing WHERE size > 0 GROUP BY hash HAVING count(*) > 1""",
+    "dup_groups": f"""WITH {_LISTING} SELECT hash, n, doc_id FROM
+        (SELECT *, count(*) OVER (PARTITION BY hash) AS n FROM listing WHERE size > 0) WHERE n > 1""",
     "dup_group_parts": f"""WITH {_LISTING} SELECT hash, count(*) AS n, count(*) AS listed,
         sum(doc_id)::BIGINT AS id_sum FROM listing WHERE size > 0 GROUP BY hash HAVING count(*) > 1""",
     "dup_summary": f"WITH {_LISTING}, {_REPEATED} SELECT count(*) AS groups, sum(n)::BIGINT AS rows FROM repeated",
@@ -196,9 +191,8 @@ SQL: dict[str, str] = {
     "size_candidates": f"WITH {_SIZES} SELECT size, n FROM candidates",
     "candidate_count": f"WITH {_SIZES} SELECT sum(n)::BIGINT AS n FROM candidates",
     "candidate_rows": f"WITH {_SIZES} SELECT size, doc_id FROM sizes WHERE size IN (SELECT size FROM candidates)",
-    "size_groups": f"""WITH {_SIZES} SELECT size, count(*) AS n, 0::INT AS part,
-        string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids
-        FROM sizes WHERE size > 0 GROUP BY size HAVING count(*) > 1""",
+    "size_groups": f"""WITH {_SIZES} SELECT size, n, doc_id FROM
+        (SELECT *, count(*) OVER (PARTITION BY size) AS n FROM sizes WHERE size > 0) WHERE n > 1""",
     "extension_stats": f"""WITH {_FILES}, named AS (
           SELECT regexp_extract(path, '([^/]*)/*$', 1) AS name, size FROM files)
         SELECT CASE WHEN name = '..' THEN '' ELSE regexp_extract(name, '^.+(\\.[^.]*)$', 1) END AS ext,
@@ -235,6 +229,9 @@ SQL: dict[str, str] = {
     "bucket_stats_by_addr": f"""WITH {_LATENCY} SELECT addr, time_bucket(INTERVAL '7 days', ts) AS time_bucket,
         count(*) AS count, round(avg(time), 9) AS avg, round(max(time), 6) AS max, round(median(time), 6) AS median
         FROM latencies GROUP BY 1, 2""",
+    "bucket_stats_null_addr": f"""WITH {_LATENCY} SELECT CASE WHEN user_id % 7 > 0 THEN addr END AS addr,
+        time_bucket(INTERVAL '7 days', ts) AS time_bucket, count(*) AS count, round(avg(time), 9) AS avg,
+        round(max(time), 6) AS max, round(median(time), 6) AS median FROM latencies GROUP BY 1, 2""",
     "agg_stats": f"""WITH {_QUARTERS} SELECT round(min_avg, 6) AS min_avg, round(max_avg, 6) AS max_avg,
         round(avg_sum, 6) AS avg_sum, round(std_dev, 6) AS std_dev, total_pings, round(total_avg, 6) AS total_avg
         FROM total""",
@@ -286,6 +283,12 @@ SQL: dict[str, str] = {
     "keep_newest_by_cpu": """WITH span AS (
           SELECT user_id AS cpu, count(*) AS n, min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events GROUP BY 1)
         SELECT event_id, cpu FROM events JOIN span ON cpu = user_id WHERE n <= 60 OR epoch_us(ts) >= a + (b - a) / 2""",
+    "keep_newest_null_cpu": """WITH named AS (
+          SELECT event_id, ts, CASE WHEN user_id % 7 > 0 THEN user_id END AS cpu FROM events),
+        span AS (SELECT cpu, count(*) AS n, min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM named GROUP BY 1)
+        SELECT event_id, named.cpu FROM named JOIN span ON named.cpu IS NOT DISTINCT FROM span.cpu
+        WHERE n <= 60 OR epoch_us(ts) >= a + (b - a) / 2""",
+    "network_two_writes": f"WITH {_LATENCY} SELECT network, count(*) AS n FROM latencies GROUP BY 1",
     "sample_counts": """SELECT event_type AS gauge, count(*) AS seen, count(*) FILTER (WHERE value > 50) AS kept,
         count(*) FILTER (WHERE event_id % 2 = 0) AS drawn FROM events GROUP BY event_type""",
     "corpus_words": f"WITH {_WORDS} SELECT word, n FROM words",
@@ -331,9 +334,9 @@ SQL: dict[str, str] = {
         count(*) FILTER (WHERE state IS NULL AND mode = 'todo') AS todo,
         max(duration) FILTER (WHERE type = 'suite') AS max_duration,
         round(sum(duration) FILTER (WHERE type = 'suite'), 2) AS sum_duration FROM runs GROUP BY project""",
-    "error_groups": f"""WITH {_RUNS} SELECT stack, CASE WHEN type = 'suite' THEN project ELSE '' END AS project,
-        count(*) AS n, 0::INT AS part, string_agg(run_id::VARCHAR, ',' ORDER BY run_id) AS tasks FROM runs
-        WHERE state = 'fail' GROUP BY 1, 2, CASE WHEN stack = '' THEN run_id END""",
+    "error_groups": f"""WITH {_RUNS} SELECT stack, project, run_id, count(*) OVER (PARTITION BY stack, project, own) AS n
+        FROM (SELECT stack, CASE WHEN type = 'suite' THEN project ELSE '' END AS project, run_id,
+            CASE WHEN stack = '' THEN run_id END AS own FROM runs WHERE state = 'fail')""",
     "failure_summary": f"""WITH {_RUNS} SELECT count(*) FILTER (WHERE type = 'suite') AS failed_suites,
         count(*) FILTER (WHERE type = 'test') AS failed_tests, count(*) FILTER (WHERE type = 'suite') AS suite_errors,
         count(*) FILTER (WHERE type = 'test') AS test_errors FROM runs WHERE state = 'fail'""",

@@ -60,8 +60,8 @@ def dup_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dup_documents_short_hash(spark: SparkSession, sf: str) -> DataFrame:
-    rows = dedup.duplicate_rows(materialize(tables.document_listing(spark, sf, dedup.SHORT_HASH)))
-    return rows.withColumnRenamed("path", "doc_id")
+    rows = dedup.duplicate_rows(materialize(tables.document_listing(spark, sf)))
+    return dedup.shortened(rows).withColumnRenamed("path", "doc_id")
 
 
 @query
@@ -72,15 +72,14 @@ def hash_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def dup_groups(spark: SparkSession, sf: str) -> DataFrame:
     groups = dedup.duplicate_groups(materialize(tables.document_listing(spark, sf)))
-    return groups.select("hash", "n", "part", _joined("items").alias("doc_ids"))
+    return groups.withColumnRenamed("path", "doc_id")
 
 
 @query
 def dup_group_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """Lists of at most about two rows each: the parts of a group add up to it."""
-    groups = dedup.duplicate_groups(materialize(tables.document_listing(spark, sf)), list_rows=2)
-    items = groups.select("hash", "n", F.explode("items").alias("doc_id"))
-    return items.groupBy("hash", "n").agg(F.count(F.lit(1)).alias("listed"), F.sum("doc_id").alias("id_sum"))
+    """The members of a group add up to it."""
+    groups = dedup.duplicate_groups(materialize(tables.document_listing(spark, sf)))
+    return groups.groupBy("hash", "n").agg(F.count(F.lit(1)).alias("listed"), F.sum("path").alias("id_sum"))
 
 
 @query
@@ -128,7 +127,7 @@ def candidate_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def size_groups(spark: SparkSession, sf: str) -> DataFrame:
     groups = dedup.size_groups(materialize(tables.document_sizes(spark, sf)))
-    return groups.select("size", "n", "part", _joined("items").alias("doc_ids"))
+    return groups.withColumnRenamed("path", "doc_id")
 
 
 # --- paths and inventory --------------------------------------------------
@@ -212,7 +211,7 @@ def hash_listing_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def _document_files(spark: SparkSession, sf: str) -> str:
     """Every document as a file, in one folder per language, that the tasks can open."""
     path = scratch_dir(spark)
-    docs = tables.spread(tables.table(spark, sf, "documents"), "doc_id").select("text", "lang")
+    docs = tables.table(spark, sf, "documents").select("text", "lang")
     one_each = docs.write.option("maxRecordsPerFile", 1).option("lineSep", "\n")
     one_each.partitionBy("lang").text(path)
     return path.removeprefix("file:")
@@ -274,6 +273,14 @@ def bucket_stats_by_addr(spark: SparkSession, sf: str) -> DataFrame:
     return _stats(latency.time_bucket_stats(tables.latencies(spark, sf), "1w", keys=["addr"]))
 
 
+@query
+def bucket_stats_null_addr(spark: SparkSession, sf: str) -> DataFrame:
+    """Every seventh address unknown: these rows are a group too."""
+    known = F.when(F.col("addr").cast("bigint") % 7 > 0, F.col("addr"))
+    rows = tables.latencies(spark, sf).withColumn("addr", known)
+    return _stats(latency.time_bucket_stats(rows, "1w", keys=["addr"]))
+
+
 def _quarter_days(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(latency.time_bucket_stats(tables.latencies(spark, sf), "6h"))
 
@@ -477,6 +484,22 @@ def keep_newest_by_cpu(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("event_id", "cpu")
 
 
+@query
+def keep_newest_null_cpu(spark: SparkSession, sf: str) -> DataFrame:
+    """Every seventh core unknown: these samples are a series too."""
+    samples = tables.cpu_samples(spark, sf).withColumn("cpu", F.when(F.col("cpu") % 7 > 0, F.col("cpu")))
+    return metrics.keep_newest_half(samples, ["cpu"], max_samples=60).select("event_id", "cpu")
+
+
+@query
+def network_two_writes(spark: SparkSession, sf: str) -> DataFrame:
+    """The second network's write leaves the first one's rows."""
+    path, rows = scratch_dir(spark), tables.latencies(spark, sf)
+    for network in ("global", "local"):
+        measurements.write_by_network(latency.by_network(rows, network), path)
+    return spark.read.parquet(path).groupBy("network").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def sample_counts(spark: SparkSession, sf: str) -> DataFrame:
     big = F.col("value") > 50
@@ -506,12 +529,12 @@ def key_digits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def word_frequencies(spark: SparkSession, sf: str) -> DataFrame:
-    return keypad.word_frequencies(tables.page_words(spark, sf), materialize(tables.corpus_words(spark, sf)))
+    return keypad.word_frequencies(tables.turn_words(spark, sf), materialize(tables.corpus_words(spark, sf)))
 
 
 @query
 def words_with_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    occurrences = keypad.with_frequency(tables.page_words(spark, sf), materialize(tables.corpus_words(spark, sf)))
+    occurrences = keypad.with_frequency(tables.turn_words(spark, sf), materialize(tables.corpus_words(spark, sf)))
     return occurrences.groupBy("word", "n").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
@@ -557,7 +580,7 @@ def top_words(spark: SparkSession, sf: str) -> DataFrame:
 def keypad_report(spark: SparkSession, sf: str) -> DataFrame:
     """Typed keys to ranked words, in one go."""
     digits = _queries(spark, sf).select(F.translate("prefix", "1234567890", "qweasdzxc ").alias("keys"))
-    words = tables.page_words(spark, sf).distinct()
+    words = tables.turn_words(spark, sf).distinct()
     found = reports.keypad_report(words, materialize(tables.corpus_words(spark, sf)), materialize(digits))
     return found.select("prefix", "word", "n", "rn")
 
@@ -676,7 +699,7 @@ def status_rollup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def error_groups(spark: SparkSession, sf: str) -> DataFrame:
     groups = runs.error_groups(materialize(tables.task_runs(spark, sf)))
-    return groups.select("stack", "project", "n", "part", _joined("tasks").alias("tasks"))
+    return groups.withColumnRenamed("task", "run_id")
 
 
 @query
@@ -793,7 +816,7 @@ def stream_counter_deltas(spark: SparkSession, sf: str) -> DataFrame:
 def stream_lookback(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark)
     samples = _counter_stream(spark, sf, True)
-    _drain(metric_streams.stream_lookback(samples, ms=6 * 3_600_000, max_samples=10_000_000), path)
+    _drain(metric_streams.stream_lookback(samples, ms=6 * 3_600_000), path)
     means = spark.read.parquet(f"{path}/data").drop("batch")
     return means.select("cpu", "t", _r("mean_total").alias("mean_total"), _r("mean_idle").alias("mean_idle"))
 

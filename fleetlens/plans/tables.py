@@ -14,23 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of CPU-heavy work on a small table.
-
-    The given tables are files of one row group, which a single task reads. A
-    table with at least as many input splits as cores is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def document_listing(spark: SparkSession, sf_dir: str, trunc: int | None = None) -> DataFrame:
+def document_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: the id is the path, the text the content."""
-    return content_listing(table(spark, sf_dir, "documents"), "doc_id", "text", trunc)
+    return content_listing(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +51,7 @@ def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reply_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as the lines a ping run prints; a signup stands for a header line."""
-    events = spread(table(spark, sf_dir, "events"), "event_id")
+    events = table(spark, sf_dir, "events")
     addr = F.format_string(f"{PING_HOST}.%d.%d", F.floor(F.col("user_id") / 256), F.col("user_id") % 256)
     reply = F.format_string(
         "%d bytes from %s: icmp_seq=%d ttl=%d time=%.3f ms",
@@ -113,9 +103,9 @@ def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def turn_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the conversations, one row per occurrence."""
-    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
     return turns.select(F.explode(words).alias("word"))
 
@@ -134,7 +124,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as session tokens issued on the order date."""
-    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    orders = table(spark, sf_dir, "orders")
     iat = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
     payload = F.to_json(
         F.struct(

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetlens.functions.intervals import spark_interval
-from fleetlens.operators.latency import bucket_start, parse_ping_lines, stats_from_counts
+from fleetlens.operators.latency import bucket_start, bucket_window, parse_ping_lines, stats_from_counts
 from fleetlens.session import materialize
 
 # Fixed value: seconds between two logged replies.
@@ -65,15 +64,10 @@ def stream_value_counts(
     state partitions, and it is pre-aggregated before the shuffle.
     """
     rows = event_time(df, ts).filter(F.col(value).isNotNull()).withWatermark(ts, watermark)
-    window = F.window(F.col(ts), spark_interval(duration), startTime=_start(duration))
-    counts = rows.groupBy(*keys, window.alias("w"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(*keys, bucket_window(F.col(ts), duration).alias("w"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(*keys, F.col("w.start").alias("time_bucket"), "value", "n")
 
 
-def _start(duration: str) -> str:
-    return "4 days" if duration.endswith("w") else "0 seconds"
-
-
 def stream_bucket_stats(
     df: DataFrame,
     duration: str,

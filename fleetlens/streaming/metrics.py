@@ -10,7 +10,7 @@ busy series over many tasks.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -20,7 +20,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from fleetlens.operators.metrics import (
     LOOKBACK_MS,
-    MAX_SAMPLES,
     counter_deltas,
     gauge_extrema,
     lookback_mean,
@@ -73,7 +72,7 @@ class _Deltas(StatefulProcessor):
         batch = _in_time_order(rows)
         if self.last.exists():
             t, total, idle = self.last.get()
-            batch = batch[batch["t"] > t]
+            batch = batch[batch["t"] >= t]
         else:
             total = idle = None
         if batch.empty:
@@ -93,10 +92,10 @@ class _Deltas(StatefulProcessor):
 
 
 class _Lookback(StatefulProcessor):
-    """State: the recent samples of the series, at most ``max_samples`` of them."""
+    """State: the samples that a lookback from the newest one on can reach, and one before."""
 
-    def __init__(self, keys: Sequence[str], ms: int, max_samples: int) -> None:
-        self.keys, self.ms, self.max_samples = list(keys), ms, max_samples
+    def __init__(self, keys: Sequence[str], ms: int) -> None:
+        self.keys, self.ms = list(keys), ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState("recent", _SAMPLE)
@@ -105,19 +104,16 @@ class _Lookback(StatefulProcessor):
         kept = [tuple(s) for s in self.recent.get()] if self.recent.exists() else []
         batch = _in_time_order(rows)
         if kept:
-            batch = batch[batch["t"] > kept[-1][0]]
+            batch = batch[batch["t"] >= kept[-1][0]]
         if batch.empty:
             return
         means = []
         for t, total, idle in zip(batch["t"].tolist(), batch["total"].tolist(), batch["idle"].tolist()):
             kept.append((t, total, idle))
-            if len(kept) > self.max_samples:
-                middle = kept[0][0] + (t - kept[0][0]) / 2
-                del kept[: bisect_left(kept, middle, key=lambda s: s[0])]
             start = max(bisect_right(kept, t - self.ms, key=lambda s: s[0]) - 1, 0)
             seen = kept[start:]
             means.append((sum(s[1] for s in seen) / len(seen), sum(s[2] for s in seen) / len(seen)))
-        self.recent.put(kept)
+        self.recent.put(seen)  # later samples are not older than this one
         out = batch[[*self.keys, "t", "total", "idle"]].copy()
         out["mean_total"], out["mean_idle"] = zip(*means)
         yield out
@@ -182,7 +178,7 @@ def _output(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> T.Struc
 
 
 def stream_counter_deltas(df: DataFrame, keys: Sequence[str] = ("cpu",), ts: str = "ts") -> DataFrame:
-    """``keys, t`` (epoch ms) ``, total, idle, d_total, d_idle``; samples not newer than the last are dropped."""
+    """``keys, t`` (epoch ms) ``, total, idle, d_total, d_idle``; samples older than the last are dropped."""
     return (
         _samples(df, keys, ts)
         .groupBy(*keys)
@@ -200,14 +196,13 @@ def stream_lookback(
     keys: Sequence[str] = ("cpu",),
     ts: str = "ts",
     ms: int = LOOKBACK_MS,
-    max_samples: int = MAX_SAMPLES,
 ) -> DataFrame:
     """``keys, t, total, idle, mean_total, mean_idle`` over the last ``ms`` and the sample before."""
     return (
         _samples(df, keys, ts)
         .groupBy(*keys)
         .transformWithStateInPandas(
-            statefulProcessor=_Lookback(keys, ms, max_samples),
+            statefulProcessor=_Lookback(keys, ms),
             outputStructType=_output(df, keys, ("mean_total", "mean_idle")),
             outputMode="Append",
             timeMode="None",
@@ -223,7 +218,7 @@ def _newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _tail(rows: DataFrame, keys: Sequence[str], ms: int) -> DataFrame:
     """Rows of each series that a lookback of ``ms`` after its newest row can reach."""
     newest = _newest(rows, keys)
-    dated = lookup_join(rows, newest.drop("n"), keys, spread=["t"], counts=newest)
+    dated = lookup_join(rows, newest.drop("n"), keys, spread=["t"], counts=newest, null_safe=True)
     recent = dated.filter(F.col("t") > F.col("_newest") - ms).drop("_newest")
     older = dated.filter(F.col("t") <= F.col("_newest") - ms).groupBy(*keys)
     edge = older.agg(last_row(["t"], ["total", "idle"]).alias("_last")).select(*keys, "_last.*")
@@ -252,7 +247,7 @@ def _append_by_batch(
         fresh = materialize(batch)
         if number > 0:
             tail = spark.read.schema(schema).parquet(f"{path}/tail/batch={number - 1}")
-            seen = lookup_join(fresh, _newest(tail, keys).drop("n"), keys, "left", spread=["t"])
+            seen = lookup_join(fresh, _newest(tail, keys).drop("n"), keys, "left", spread=["t"], null_safe=True)
             fresh = seen.filter(F.col("_newest").isNull() | (F.col("t") > F.col("_newest"))).drop("_newest")
         else:
             tail = fresh.limit(0)

@@ -63,15 +63,15 @@ def test_rollup(tasks):
 
 
 def test_error_groups(tasks):
-    got = sorted((r.stack, r.project, r.tasks) for r in runs.error_groups(tasks).collect())
-    assert got == [("", "", [4]), ("", "", [5]), ("at boom", "", [4, 5]), ("at boom", "p", [6]), ("at boom", "q", [7])]
+    got = sorted((r.stack, r.project, r.n, r.task) for r in runs.error_groups(tasks).collect())
+    assert got == [("", "", 1, 4), ("", "", 1, 5), ("at boom", "", 2, 4), ("at boom", "", 2, 5), ("at boom", "p", 1, 6), ("at boom", "q", 1, 7)]
 
 
-def test_error_groups_in_parts(spark):
+def test_a_large_error_group(spark):
     error = [("same", "m")]
     many = spark.createDataFrame([(i, "p", "", "t", "test", "run", "fail", 1.0, error) for i in range(500)], RUNS)
-    parts = runs.error_groups(many, list_rows=50).collect()
-    assert len(parts) > 5 and sorted(t for r in parts for t in r.tasks) == list(range(500))
+    found = runs.error_groups(many).collect()
+    assert {r.n for r in found} == {500} and sorted(r.task for r in found) == list(range(500))
 
 
 def test_failures(tasks):

@@ -53,11 +53,13 @@ def test_summaries(rows, listing):
 
 
 def test_groups(rows, listing):
-    groups = dedup.duplicate_groups(listing).collect()
-    assert sorted(r["items"] for r in groups) == [[0, 2, 7], [1, 8], [9, 10]]
-    assert sum(r.n for r in groups) == dedup.duplicate_rows(listing).count()
-    sizes = {r["size"]: r["items"] for r in dedup.size_groups(listing).collect()}
-    assert sizes == {3: [0, 1, 2, 7, 8], 4: [6, 11], 9: [9, 10]}
+    groups = {}
+    for r in dedup.duplicate_groups(listing).collect():
+        groups.setdefault((r["hash"], r.n), []).append(r.path)
+    assert sorted(map(sorted, groups.values())) == [[0, 2, 7], [1, 8], [9, 10]]
+    assert all(n == len(paths) for (_, n), paths in groups.items())
+    sizes = rows(dedup.size_groups(listing), "size", "n", "path")
+    assert sizes == [(3, 5, i) for i in (0, 1, 2, 7, 8)] + [(4, 2, i) for i in (6, 11)] + [(9, 2, i) for i in (9, 10)]
 
 
 def test_no_duplicates_is_an_empty_table(spark):

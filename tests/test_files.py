@@ -69,8 +69,8 @@ def test_duplicate_files(spark, rows, trees):
 def test_unreadable_files_are_put_aside(spark, trees):
     good = str(trees / "flat" / "file0.txt")
     listing = spark.createDataFrame([(8, good), (8, "/no/such/file"), (8, str(trees))], "size bigint, path string")
-    ok, bad = inventory.split_errors(files.hash_files(listing, 10))
-    assert [(r.path, len(r.hash)) for r in ok.collect()] == [(good, 10)]
+    ok, bad = inventory.split_errors(files.hash_files(listing))
+    assert [(r.path, len(r.hash)) for r in ok.collect()] == [(good, 40)]
     assert sorted(r.error for r in bad.collect()) == [f"EISDIR: {trees}", "ENOENT: /no/such/file"]
 
 

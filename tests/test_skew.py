@@ -67,14 +67,21 @@ def test_lookup_join(spark, rows, skewed, dim, limit, how):
 
 
 @pytest.mark.parametrize("limit", [0, 1000])
-def test_lists_are_whole_and_bounded(spark, skewed, limit):
-    lists = skew.grouped_lists(skewed, ["k"], "id", min_n=2, list_rows=50, max_broadcast_rows=limit).collect()
+def test_members_are_whole(rows, skewed, limit):
+    members = skew.group_members(skewed, ["k"], "id", min_n=2, max_broadcast_rows=limit)
     expected = {}
     for r in skewed.collect():
         expected.setdefault(r.k, []).append(r.id)
-    got = {}
-    for r in lists:
-        assert r["items"] == sorted(r["items"]) and r.n == len(expected[r.k])
-        got.setdefault(r.k, []).extend(r["items"])
-    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in expected.items() if len(v) > 1}
-    assert max(len(r["items"]) for r in lists) < 100
+    want = [(k, len(ids), i) for k, ids in expected.items() if len(ids) > 1 for i in ids]
+    assert rows(members, "k", "n", "id") == sorted(want, key=lambda r: tuple((v is not None, v) for v in r))
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_null_is_a_key_where_asked(spark, rows, limit):
+    data = spark.createDataFrame([(None if i % 3 else i % 5, i) for i in range(3000)], "k long, id long")
+    groups = data.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = skew.lookup_join(data, groups, "k", max_broadcast_rows=limit, rows_per_salt=100, null_safe=True)
+    assert rows(got, "k", "id", "n") == rows(data.join(groups.withColumnRenamed("k", "g"), F.col("k").eqNullSafe(F.col("g"))), "k", "id", "n")
+    plain = skew.lookup_join(data, groups, "k", "left", max_broadcast_rows=limit, rows_per_salt=100)
+    assert rows(plain, "k", "id", "n") == rows(data.join(groups, "k", "left"), "k", "id", "n")
+    assert skew.group_members(data, ["k"], "id").count() == 3000

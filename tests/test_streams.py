@@ -129,19 +129,13 @@ def test_lookback(spark, samples, tmp_path):
         assert got[r.cpu, r.t].mean_idle == pytest.approx(r.mean_idle)
 
 
-def test_lookback_prunes(spark, tmp_path):
-    df = spark.range(100).selectExpr("id * 10 as ts", "'a' as cpu", "cast(id as double) total", "0D as idle", "0 as part")
-    write_batches(df, str(tmp_path / "in"), 1)
+def test_lookback_keeps_all_that_it_reaches(spark, tmp_path):
+    df = spark.range(300).selectExpr("id * 10 as ts", "'a' as cpu", "cast(id as double) total", "0D as idle", "cast(id div 100 as int) part")
+    write_batches(df, str(tmp_path / "in"), 3)
     stream = source(spark, str(tmp_path / "in"), df.drop("part").schema)
-    run(metric_streams.stream_lookback(stream, ms=10_000, max_samples=10), tmp_path)
+    run(metric_streams.stream_lookback(stream, ms=1500), tmp_path)
     got = {r.t: r.mean_total for r in spark.read.parquet(str(tmp_path / "data")).collect()}
-    kept, want = [], {}
-    for i in range(100):
-        kept.append(i)
-        if len(kept) > 10:
-            middle = kept[0] + (kept[-1] - kept[0]) / 2
-            kept = [k for k in kept if k >= middle]
-        want[i * 10] = sum(kept) / len(kept)
+    want = {i * 10: sum(range(max(0, i - 150), i + 1)) / (i + 1 - max(0, i - 150)) for i in range(300)}
     assert got == want
 
 
