@@ -222,4 +222,5 @@ def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 3, max_bits:
         .groupBy("root")
         .agg(F.min("row").alias(mark))
     )
-    return numbered.join(materialize(kept.select(mark)), mark, "left_semi").drop(mark)
+    # As many rows as there are groups: a table that grows with the documents is not for broadcasting.
+    return numbered.join(materialize(kept.select(mark)).hint("merge"), mark, "left_semi").drop(mark)
