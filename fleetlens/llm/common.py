@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetlens.session import materialize
 
 #: Memoised results of a Python worker are dropped beyond so many entries.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
 #: Texts of a batch are worked on in portions of about so many characters.
 PORTION_CHARS = 2_000_000
 
@@ -34,15 +34,15 @@ def lower_ascii(text: Column) -> Column:
 def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
     """Ids and texts, in slices of bounded length; a longer text makes a slice of its own."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        start = chars = 0
-        for i, text in enumerate(texts):
-            chars += len(text)
+        start, texts, chars = 0, [], 0
+        for i, text in enumerate(batch.column(1)):
+            texts.append(text.as_py())
+            chars += len(texts[-1])
             if chars >= PORTION_CHARS:
-                yield ids[start : i + 1], texts[start : i + 1]
-                start, chars = i + 1, 0
-        if start < len(texts):
-            yield ids[start:], texts[start:]
+                yield batch.column(0)[start : i + 1], texts
+                start, texts, chars = i + 1, [], 0
+        if texts:
+            yield batch.column(0)[start:], texts
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
