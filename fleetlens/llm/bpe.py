@@ -87,14 +87,6 @@ class PerfectHash:
         return self.ids[slot] if self.keys[slot] == key else None
 
 
-class _Parts(dict):
-    """Ranks of the byte strings met while merging, None where there is none."""
-
-    def __missing__(self, part: bytes) -> int | None:
-        self[part] = rank = self.get_rank(part)
-        return rank
-
-
 class Vocabulary:
     """The ranks of a file, ready to encode and decode."""
 
@@ -102,17 +94,14 @@ class Vocabulary:
         self.name, self.pattern = path, pattern
         self.tokens = read_ranks(path)
         self.hash = PerfectHash(self.tokens)
-        self.parts = _Parts()
-        self.parts.get_rank = self.hash.get
+        self.ranks = {token: rank for rank, token in enumerate(self.tokens)}  # of parts, while merging
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token: of neighbours whose joint bytes have the lowest rank, the leftmost merge first."""
         whole = self.hash.get(piece)
         if whole is not None:
             return [whole]
-        rank, n = self.parts.__getitem__, len(piece)
-        if len(self.parts) > common.MEMO_ENTRIES:
-            self.parts.clear()
+        rank, n = self.ranks.get, len(piece)
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at i
         heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
         heapify(heap)
