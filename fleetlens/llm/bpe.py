@@ -102,21 +102,26 @@ class Vocabulary:
         if whole is not None:
             return [whole]
         rank, n = self.ranks.get, len(piece)
-        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at i
-        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        # The part that starts at i: where it ends (n once it is merged away), and where the one before starts.
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # An entry holds a pair's rank, start and end, in this order, in one number.
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
+        heap = [(r << bits | i) << bits | i + 2 for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
         heapify(heap)
-        alive = bytearray(b"\1" * n)
         while heap:
-            _, i, middle, stop = heappop(heap)
-            if not alive[i] or end[i] != middle or middle == n or end[middle] != stop:
+            entry = heappop(heap)
+            i, stop = entry >> bits & mask, entry & mask
+            middle = end[i]
+            if middle == n or end[middle] != stop:
                 continue  # one of its parts has been merged since
-            alive[middle], end[i] = 0, stop
+            end[i], end[middle] = stop, n
             if stop < n:
-                before[stop] = i
-                if (r := rank(piece[i : end[stop]])) is not None:
-                    heappush(heap, (r, i, stop, end[stop]))
+                before[stop], after = i, end[stop]
+                if (r := rank(piece[i:after])) is not None:
+                    heappush(heap, (r << bits | i) << bits | after)
             if (left := before[i]) >= 0 and (r := rank(piece[left:stop])) is not None:
-                heappush(heap, (r, left, i, stop))
+                heappush(heap, (r << bits | left) << bits | stop)
         ids, i = [], 0
         while i < n:
             ids.append(rank(piece[i : end[i]]))
