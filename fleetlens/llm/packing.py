@@ -19,7 +19,7 @@ from heapq import heapify, heappop, heapreplace
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.llm import common
 from fleetlens.llm.bpe import Encoder
@@ -65,22 +65,19 @@ class Tokens:
         return self.encoder.encode(text)
 
 
-_tokens: dict[str, Tokens] = {}
-
-
 def token_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """``doc_id, ids``: little-endian unsigned 32-bit ids of each whole text, then ``end_id``.
 
     ``path`` is a tokenizer file on the driver. A null text is an empty one and
-    has ``end_id`` alone.
+    has ``end_id`` alone. The tokenizer lives as long as its task: Python workers
+    are reused, and what they kept would stay in memory through later stages.
     """
     with open(path, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast((path, f.read()))
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, file = shared.value
-        tokens = _tokens.get(name) or _tokens.setdefault(name, Tokens(file))
+        tokens = Tokens(shared.value)
         for ids, texts in common.portions(batches):
             made = pa.array([tokens.encode(t) + end for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([ids, made], ["doc_id", "ids"])
@@ -98,31 +95,27 @@ def cut(tokens: DataFrame, capacity: int, max_tail: int) -> DataFrame:
     """
     n = F.floor(F.octet_length("ids") / 4)
     tail = n % capacity
-    full = F.transform(
-        F.sequence(F.lit(0), F.floor(n / capacity)),
-        lambda i: F.struct((i * capacity).alias("start"), F.lit(capacity).cast("long").alias("length")),
-    )
     parts = F.ceil(tail / max_tail)  # none without a tail
     share = tail / F.greatest(parts, F.lit(1))
-    rest = F.transform(
-        F.sequence(F.lit(0), parts),
-        lambda i: F.struct(
-            (n - tail + F.floor(share * i + HALF)).alias("start"),
-            (F.floor(share * (i + 1) + HALF) - F.floor(share * i + HALF)).alias("length"),
-        ),
-    )
+
+    def piece(start: Column, length: Column) -> Column:
+        # The slice is taken here, so that the rows of a long document don't each carry all its ids.
+        ids = F.substring("ids", (start * 4 + 1).cast("int"), (length * 4).cast("int"))
+        return F.struct(start.cast("long").alias("start"), length.cast("long").alias("length"), ids.alias("ids"))
+
+    whole = F.slice(F.sequence(F.lit(0), F.floor(n / capacity)), 1, F.floor(n / capacity).cast("int"))
+    rest = F.slice(F.sequence(F.lit(0), parts), 1, parts.cast("int"))
     pieces = F.concat(
-        F.slice(full, 1, F.floor(n / capacity).cast("int")), F.slice(rest, 1, parts.cast("int"))
+        F.transform(whole, lambda i: piece(i * capacity, F.lit(capacity))),
+        F.transform(
+            rest,
+            lambda i: piece(
+                n - tail + F.floor(share * i + HALF), F.floor(share * (i + 1) + HALF) - F.floor(share * i + HALF)
+            ),
+        ),
     )
-    return (
-        tokens.select("doc_id", "ids", n.alias("doc_tokens"), F.explode(pieces).alias("piece"))
-        .select(
-            "doc_id",
-            F.col("piece.start").cast("long").alias("start"),
-            F.col("piece.length").cast("long").alias("length"),
-            F.expr("substring(ids, cast(piece.start * 4 + 1 as int), cast(piece.length * 4 as int))").alias("ids"),
-            F.col("doc_tokens").cast("long").alias("doc_tokens"),
-        )
+    return tokens.select("doc_id", n.cast("long").alias("doc_tokens"), F.explode(pieces).alias("piece")).select(
+        "doc_id", "piece.start", "piece.length", "piece.ids", "doc_tokens"
     )
 
 
@@ -211,22 +204,30 @@ def pack(pieces: DataFrame, capacity: int, block: int = BLOCK_PIECES) -> DataFra
     return pieces.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
+def document_pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, max_tail: int = 512) -> DataFrame:
+    """``doc_id, start, length, ids, doc_tokens``: the pieces of all documents, each id in exactly one.
+
+    Null and repeated ids of documents are kept, a null text is an empty one
+    (``end_id`` alone). Long texts are cut at every ``capacity`` ids. Columns
+    other than ``doc_id`` and ``text`` are left out, whatever their names.
+    """
+    return cut(token_ids(docs, path, end_id), capacity, max_tail)
+
+
 def pack_documents(
     docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, max_tail: int = 512
 ) -> DataFrame:
-    """``doc_id, start, length, ids, doc_tokens, sequence_id, offset``: the pieces of all documents, placed.
+    """``document_pieces`` with ``sequence_id, offset``; a sequence's pieces follow one another without a gap from 0."""
+    return pack(document_pieces(docs, path, end_id, capacity, max_tail), capacity)
 
-    Each id of a document lies in exactly one piece; a sequence's pieces follow
-    one another without a gap from offset 0. Null and repeated ids of documents
-    are kept, a null text is an empty one (``end_id`` alone). Long texts are cut
-    at every ``capacity`` ids. Columns other than ``doc_id`` and ``text`` are left
-    out, whatever their names.
-    """
-    return pack(cut(token_ids(docs, path, end_id), capacity, max_tail), capacity)
 
+def piece_digests(pieces: DataFrame) -> DataFrame:
+    """Pieces, placed or not, with the CRC-32 of their ids in place of the ids."""
+    return pieces.select(*[F.crc32(c).alias("ids_crc32") if c == "ids" else c for c in pieces.columns])
 
-def piece_digests(placed: DataFrame) -> DataFrame:
-    """Placed pieces with the CRC-32 of their ids in place of the ids."""
-    return placed.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
-    )
+
+def pack_digests(
+    docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, max_tail: int = 512
+) -> DataFrame:
+    """``piece_digests`` of ``pack_documents``; the ids themselves don't go through the packing."""
+    return pack(piece_digests(document_pieces(docs, path, end_id, capacity, max_tail)), capacity)

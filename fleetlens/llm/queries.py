@@ -31,7 +31,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.piece_digests(packing.pack_documents(documents(spark, sf_dir), path))
+    return packing.pack_digests(documents(spark, sf_dir), path)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
