@@ -31,18 +31,30 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Where a slice of bounded length starts, and its texts; null as empty. A longer text ends its slice."""
+    start, some, chars = 0, [], 0
+    for i, text in enumerate(texts):
+        some.append(text.as_py() or "")
+        chars += len(some[-1])
+        if chars >= PORTION_CHARS:
+            yield start, some
+            start, some, chars = i + 1, [], 0
+    if some:
+        yield start, some
+
+
 def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
-    """Ids and texts, in slices of bounded length; a longer text makes a slice of its own."""
+    """Ids and texts of a task, slice by slice."""
     for batch in batches:
-        start, texts, chars = 0, [], 0
-        for i, text in enumerate(batch.column(1)):
-            texts.append(text.as_py())
-            chars += len(texts[-1])
-            if chars >= PORTION_CHARS:
-                yield batch.column(0)[start : i + 1], texts
-                start, texts, chars = i + 1, [], 0
-        if texts:
-            yield batch.column(0)[start:], texts
+        for start, texts in slices(batch.column(1)):
+            yield batch.column(0)[start : start + len(texts)], texts
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed Arrow memory to the system: the worker lives on, idle, while others need room."""
+    pa.default_memory_pool().release_unused()
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:

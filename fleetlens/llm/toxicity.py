@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
@@ -179,8 +178,9 @@ def term_counts(texts: DataFrame, among: frozenset[tuple[str, bool]]) -> DataFra
         wanted = shared.value
         for batch in batches:
             counts: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                counts.update(terms_of(text) & wanted)
+            for _, texts in common.slices(batch.column(0)):
+                for text in texts:
+                    counts.update(terms_of(text) & wanted)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([t for t, _ in counts], pa.string()),
@@ -203,7 +203,7 @@ def term_contexts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in (t for _, texts in common.slices(batch.column(0)) for t in texts):
                 words = LETTERS.findall(text.lower())
                 first: dict[tuple[str, bool], int] = {}
                 for i, word in enumerate(words):
@@ -277,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_terms:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            made = [scorer.features(t) for t in batch.column(0).to_pylist()]
+            made = [scorer.features(t) for _, texts in common.slices(batch.column(0)) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     learned = sample.filter("half = 1").select("text", "toxic").mapInArrow(run, "x array<double>, y boolean").toArrow()
@@ -305,14 +305,13 @@ def score_column(docs: DataFrame, model: Model):
     """A column function: scores of a text column; a null text scores as an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            texts, out = texts.fillna("").tolist(), []
-            for low in range(0, len(texts), 512):
-                out.append(scorer.scores(texts[low : low + 512]))
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+            made = [scorer.scores(some) for _, some in common.slices(texts)]
+            yield pa.array(np.concatenate(made) if made else np.zeros(0))
+        common.give_back()
 
     return score
 
