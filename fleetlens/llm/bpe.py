@@ -129,6 +129,23 @@ class Vocabulary:
         return ids
 
 
+class Memo:
+    """Results by key, in two generations: the younger becomes the older when it is full, so what is used stays."""
+
+    def __init__(self, entries: int):
+        self.entries, self.young, self.old = entries, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.young[key] = got
+        return got
+
+    def age(self) -> None:
+        if len(self.young) > self.entries:
+            self.young, self.old = {}, self.young
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids.
 
@@ -139,43 +156,46 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.find, self.merge = regex.compile(vocabulary.pattern).findall, vocabulary.merge
-        self.words = _Words(self)
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Memo(common.MEMO_ENTRIES), Memo(2 * common.MEMO_ENTRIES)
 
     def encode(self, text: str) -> bytes:
-        if _UNEVEN.search(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return self.whole(first) + b"".join(map(self.words.__getitem__, rest))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text of a portion; what is remembered is bounded between portions."""
+        split = [[] if _UNEVEN.search(text) else text.split(" ") for text in texts]
+        self.learn(set().union(*[words[1:] for words in split]))
+        known = self.words.young
+        made = [
+            self.whole(words[0]) + b"".join([known[w] for w in words[1:]]) if words else self.whole(text)
+            for text, words in zip(texts, split)
+        ]
+        self.words.age()
+        self.pieces.age()
+        return made
+
+    def learn(self, words: set[str]) -> None:
+        """Ids of words with the space before them; one search finds the pre-tokens of all new ones."""
+        new = [w for w in words if self.words.get(w) is None]
+        at, ids = -1, []
+        for piece in self.find(" " + " ".join(new)) if new else ():
+            if piece[0] == " ":  # no word holds a space
+                if ids:
+                    self.words.young[new[at]] = b"".join(ids)
+                at, ids = at + 1, []
+            ids.append(self.piece(piece))
+        if ids:
+            self.words.young[new[at]] = b"".join(ids)
 
     def whole(self, text: str) -> bytes:
-        known, ids = self.pieces, []
-        for piece in self.find(text):
-            got = known.get(piece)
-            if got is None:
-                ids_of = self.merge(piece.encode())
-                got = known[piece] = struct.pack(f"<{len(ids_of)}I", *ids_of)
-            ids.append(got)
-        return b"".join(ids)
-
-    def forget(self) -> None:
-        """Keep memory bounded; called between portions."""
-        if len(self.words) > common.MEMO_ENTRIES:
-            self.words.clear()
-        if len(self.pieces) > common.MEMO_ENTRIES:
-            self.pieces.clear()
-
-
-class _Words(dict):
-    """Ids of a word with the space before it."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.whole = encoder.whole
-
-    def __missing__(self, word: str) -> bytes:
-        self[word] = ids = self.whole(" " + word)
-        return ids
+        return b"".join(map(self.piece, self.find(text)))
+
+    def piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            ids = self.merge(piece.encode())
+            got = self.pieces.young[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -197,9 +217,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         key = (vocabulary.name, vocabulary.pattern)
         encoder = _encoders.get(key) or _encoders.setdefault(key, Encoder(vocabulary))
         for ids, texts in common.portions(batches):
-            made = pa.array([encoder.encode(t) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, made], ["doc_id", "ids"])
-            encoder.forget()
+            yield pa.RecordBatch.from_arrays([ids, pa.array(encoder.encode_all(texts), pa.binary())], ["doc_id", "ids"])
 
     texts = common.id_and_text(docs)
     return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, ids binary")
