@@ -59,6 +59,27 @@ def test_bpe_on_random_texts():
         assert own.encode(text) == np.array(enc.encode_ordinary(text), "<u4").tobytes(), repr(text)
 
 
+def test_bpe_forgets_by_generation():
+    enc, own = library(), bpe.Encoder(bpe.Vocabulary(MULTI, P.PATTERN))
+    own.words.entries = own.pieces.entries = 5
+    texts = [" ".join(f"the word{i * j % 17}x\ny{j}," for j in range(9)) for i in range(40)]
+    for some in (texts[:1], texts[1:20], [], ["", " ", "a  b"], texts[10:]):
+        want = [np.array(enc.encode_ordinary(t), "<u4").tobytes() for t in some]
+        assert own.encode_all(some) == want
+    assert own.words.get("the") is not None and own.words.get("none") is None
+
+
+def test_packed_ids_are_the_librarys():
+    path = P.path("byte_bpe_50k.json")
+    tok, rng = Tokenizer.from_file(path), random.Random(3)
+    with open(path, encoding="utf-8") as f:
+        own = packing.Tokens(f.read())
+    letters = [*"ab  \n\t'sé1²_.\x1c\x85　日ſ<|>ΣİÉ", "<|endoftext|>", "the", "ing", "\U0001f600"]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(14))) for _ in range(3000)]
+    for text in [*texts, "ab" * 50_000, " " * 50_000 + "x", "\n" * 20_000]:
+        assert own.encode(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text[:50])
+
+
 def test_counts_are_the_librarys(spark, rows, tables, odd, empty):
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
