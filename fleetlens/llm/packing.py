@@ -32,16 +32,26 @@ HALF = 0.5
 #: Sequence numbers of a task start at its partition's number times this.
 SEQUENCES_PER_TASK = 2**40
 
+#: tiktoken keeps an entry per character of a white-space run and fails beyond about a million; longer runs than this don't go there.
+SPACE_RUN = 100_000
+SPACES = re.compile(r"\s+")
+
 #: Fixed value: where a byte-level tokenizer splits a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def long_run(text: str) -> bool:
+    """Whether more than SPACE_RUN characters of white space follow one another."""
+    return len(text) > SPACE_RUN and any(m.end() - m.start() > SPACE_RUN for m in SPACES.finditer(text))
+
+
 class Tokens:
     """Ids of texts by a byte-level tokenizer file.
 
     A file whose merges are numbered in the order in which they apply is a table of
     ranks, and ``tiktoken`` gives its ids in half the time. Texts with an added
-    token's string go through the file's own library, which is loaded for the first one.
+    token's string or a very long run of white space go through the file's own
+    library, which is loaded for the first one.
     """
 
     def __init__(self, file: str):
@@ -70,7 +80,7 @@ class Tokens:
         return Tokenizer.from_str(self.file)
 
     def encode(self, text: str) -> bytes:
-        if self.added.search(text):
+        if self.added.search(text) or long_run(text):
             ids = self.library.encode(text, add_special_tokens=False).ids
         else:
             ids = self.by_rank.encode_ordinary(text)

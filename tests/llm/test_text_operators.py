@@ -80,6 +80,16 @@ def test_packed_ids_are_the_librarys():
         assert own.encode(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text[:50])
 
 
+def test_packed_ids_of_long_white_space():
+    path = P.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        own = packing.Tokens(f.read())
+    for text in ("a" + " " * 3_000_000 + "b", "\n" * 3_000_000, "x\u3000\t" + "\r\n" * 1_500_000 + " y"):
+        assert own.encode(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert not packing.long_run("word " * 100_000) and "library" in own.__dict__
+
+
 def test_counts_are_the_librarys(spark, rows, tables, odd, empty):
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
