@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import re
 from collections.abc import Iterator
 from functools import cached_property
@@ -87,6 +88,16 @@ class Tokens:
         return np.array(ids, dtype="<u4").tobytes()
 
 
+def tokenizer_file(docs: DataFrame, path: str):
+    """The text of a file on the driver, for all tasks."""
+    with open(path, encoding="utf-8") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
+
+
+def end_bytes(end_id: int) -> bytes:
+    return np.array([end_id], dtype="<u4").tobytes()
+
+
 def token_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """``doc_id, ids``: little-endian unsigned 32-bit ids of each whole text, then ``end_id``.
 
@@ -94,9 +105,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     has ``end_id`` alone. The tokenizer lives as long as its task: Python workers
     are reused, and what they kept would stay in memory through later stages.
     """
-    with open(path, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    end = np.array([end_id], dtype="<u4").tobytes()
+    shared, end = tokenizer_file(docs, path), end_bytes(end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(shared.value)
@@ -108,36 +117,44 @@ def token_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
-def cut(tokens: DataFrame, capacity: int, max_tail: int) -> DataFrame:
-    """Pieces ``doc_id, start, length, ids, doc_tokens`` of ``tokens(doc_id, ids)``.
+def cuts(n: int, capacity: int, max_tail: int) -> list[tuple[int, int]]:
+    """Start and length of each piece of ``n`` ids.
 
     Every ``capacity`` ids from the start are one piece; what is left is cut into
-    equal parts of at most ``max_tail`` ids. A document without ids has no piece.
+    equal parts of at most ``max_tail`` ids. Without ids there is no piece.
     """
-    n = F.floor(F.octet_length("ids") / 4)
     tail = n % capacity
-    parts = F.ceil(tail / max_tail)  # none without a tail
-    share = tail / F.greatest(parts, F.lit(1))
-
-    def piece(start: Column, length: Column) -> Column:
-        # The slice is taken here, so that the rows of a long document don't each carry all its ids.
-        ids = F.substring("ids", (start * 4 + 1).cast("int"), (length * 4).cast("int"))
-        return F.struct(start.cast("long").alias("start"), length.cast("long").alias("length"), ids.alias("ids"))
-
-    whole = F.slice(F.sequence(F.lit(0), F.floor(n / capacity)), 1, F.floor(n / capacity).cast("int"))
-    rest = F.slice(F.sequence(F.lit(0), parts), 1, parts.cast("int"))
-    pieces = F.concat(
-        F.transform(whole, lambda i: piece(i * capacity, F.lit(capacity))),
-        F.transform(
-            rest,
-            lambda i: piece(
-                n - tail + F.floor(share * i + HALF), F.floor(share * (i + 1) + HALF) - F.floor(share * i + HALF)
-            ),
-        ),
-    )
-    return tokens.select("doc_id", n.cast("long").alias("doc_tokens"), F.explode(pieces).alias("piece")).select(
-        "doc_id", "piece.start", "piece.length", "piece.ids", "doc_tokens"
-    )
+    parts = -(-tail // max_tail)
+    edges = [n - tail + math.floor(tail / parts * i + HALF) for i in range(parts + 1)] if parts else []
+    return [(start, capacity) for start in range(0, n - tail, capacity)] + [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+PIECE = ["doc_id", "start", "length", "ids", "doc_tokens"]
+
+
+def pieces_of(
+    batches: Iterator[pa.RecordBatch], tokens: Tokens, end: bytes, capacity: int, max_tail: int
+) -> Iterator[pa.RecordBatch]:
+    """The pieces of ``doc_id, text`` rows, at most BLOCK_PIECES at a time."""
+    for ids, texts in common.portions(batches):
+        rows: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            at, start, length, own, total = zip(*rows)
+            longs = [pa.array(c, pa.int64()) for c in (start, length, total)]
+            doc_ids = ids.take(pa.array(at, pa.int64()))
+            return pa.RecordBatch.from_arrays([doc_ids, *longs[:2], pa.array(own, pa.binary()), longs[2]], PIECE)
+
+        for i, text in enumerate(texts):
+            whole = tokens.encode(text) + end
+            n = len(whole) // 4
+            for start, length in cuts(n, capacity, max_tail):
+                rows.append((i, start, length, whole[4 * start : 4 * (start + length)], n))
+                if len(rows) == BLOCK_PIECES:
+                    yield made()
+                    rows.clear()
+        if rows:
+            yield made()
 
 
 def difference(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
@@ -174,17 +191,10 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += max(1, k // 200)
 
 
-def pack(pieces: DataFrame, capacity: int, block: int = BLOCK_PIECES) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``; a sequence holds at most ``capacity`` ids.
-
-    Needs a ``length`` from 1 to ``capacity`` in each row; all columns are kept,
-    and ``sequence_id`` and ``offset`` replace columns of these names. Every task
-    packs its own rows, block by block, so nothing is shuffled and no group can
-    be hot. An empty table gives an empty one.
-    """
-    pieces = pieces.drop("sequence_id", "offset")
-    width = len(pieces.columns)
-    at = pieces.columns.index("length")
+def placed(
+    batches: Iterator[pa.RecordBatch], at: int, capacity: int, block: int = BLOCK_PIECES
+) -> Iterator[pa.RecordBatch]:
+    """A task's pieces, their length in column ``at``, with ``sequence_id`` and ``offset``, block by block."""
 
     def packed(rows: pa.Table, number: Iterator[int]) -> Iterator[pa.RecordBatch]:
         sizes = rows.column(at).to_pylist()
@@ -205,50 +215,72 @@ def pack(pieces: DataFrame, capacity: int, block: int = BLOCK_PIECES) -> DataFra
             out = out.append_column(f"_{out.num_columns}", pa.array(extra, pa.int64()))
         yield from out.rename_columns([*rows.column_names, "sequence_id", "offset"]).to_batches()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = itertools.count(TaskContext.get().partitionId() * SEQUENCES_PER_TASK)
-        held, n = [], 0
-        for batch in batches:
-            while batch.num_rows:
-                part = batch.slice(0, max(1, block - n))
-                batch = batch.slice(part.num_rows)
-                held.append(part)
-                n += part.num_rows
-                if n >= block:
-                    yield from packed(pa.Table.from_batches(held), number)
-                    held, n = [], 0
-        if held:
-            yield from packed(pa.Table.from_batches(held), number)
-
-    assert width == len(set(pieces.columns))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return pieces.mapInArrow(run, f"{fields}, sequence_id long, offset long")
-
-
-def document_pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, max_tail: int = 512) -> DataFrame:
-    """``doc_id, start, length, ids, doc_tokens``: the pieces of all documents, each id in exactly one.
-
-    Null and repeated ids of documents are kept, a null text is an empty one
-    (``end_id`` alone). Long texts are cut at every ``capacity`` ids. Columns
-    other than ``doc_id`` and ``text`` are left out, whatever their names.
+    number = itertools.count(TaskContext.get().partitionId() * SEQUENCES_PER_TASK)
+    held, n = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, max(1, block - n))
+            batch = batch.slice(part.num_rows)
+            held.append(part)
+            n += part.num_rows
+            if n >= block:
+                yield from packed(pa.Table.from_batches(held), number)
+                held, n = [], 0
+    if held:
+        yield from packed(pa.Table.from_batches(held), number)
+
+
+def fields(table: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
+
+
+def pack(pieces: DataFrame, capacity: int, block: int = BLOCK_PIECES) -> DataFrame:
+    """``pieces`` with ``sequence_id`` and ``offset``; a sequence holds at most ``capacity`` ids.
+
+    Needs a ``length`` from 1 to ``capacity`` in each row; all columns are kept,
+    and ``sequence_id`` and ``offset`` replace columns of these names. Every task
+    packs its own rows, block by block, so nothing is shuffled and no group can
+    be hot. An empty table gives an empty one.
     """
-    return cut(token_ids(docs, path, end_id), capacity, max_tail)
+    pieces = pieces.drop("sequence_id", "offset")
+    at = pieces.columns.index("length")
+    assert len(pieces.columns) == len(set(pieces.columns))
+    return pieces.mapInArrow(
+        lambda batches: placed(batches, at, capacity, block), f"{fields(pieces)}, sequence_id long, offset long"
+    )
 
 
 def pack_documents(
     docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, max_tail: int = 512
 ) -> DataFrame:
-    """``document_pieces`` with ``sequence_id, offset``; a sequence's pieces follow one another without a gap from 0."""
-    return pack(document_pieces(docs, path, end_id, capacity, max_tail), capacity)
+    """``doc_id, start, length, ids, doc_tokens, sequence_id, offset``: the pieces of all documents, each id in one.
+
+    A sequence's pieces follow one another without a gap from 0; ``ids`` are
+    those of ``token_ids``. Null and repeated ids of documents are kept, a null
+    text is an empty one (``end_id`` alone). Long texts are cut at every
+    ``capacity`` ids. Columns other than ``doc_id`` and ``text`` are left out,
+    whatever their names. A task tokenises, cuts and packs a block at a time, so
+    ids leave Python once and no batch holds more than a block's.
+    """
+    shared, end = tokenizer_file(docs, path), end_bytes(end_id)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pieces_of(batches, Tokens(shared.value), end, capacity, max_tail)
+        yield from placed(pieces, PIECE.index("length"), capacity)
 
-def piece_digests(pieces: DataFrame) -> DataFrame:
-    """Pieces, placed or not, with the CRC-32 of their ids in place of the ids."""
-    return pieces.select(*[F.crc32(c).alias("ids_crc32") if c == "ids" else c for c in pieces.columns])
+    texts = common.id_and_text(docs)
+    return texts.mapInArrow(
+        run,
+        f"{fields(texts.select('doc_id'))}, start long, length long, ids binary, doc_tokens long, "
+        "sequence_id long, offset long",
+    )
 
 
-def pack_digests(
-    docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, max_tail: int = 512
-) -> DataFrame:
-    """``piece_digests`` of ``pack_documents``; the ids themselves don't go through the packing."""
-    return pack(piece_digests(document_pieces(docs, path, end_id, capacity, max_tail)), capacity)
+def ids_crc32() -> Column:
+    """The CRC-32 of a piece's ids."""
+    return F.crc32("ids").alias("ids_crc32")
+
+
+def piece_digests(pieces: DataFrame) -> DataFrame:
+    """Pieces, placed or not, with the CRC-32 of their ids in place of the ids."""
+    return pieces.select(*[ids_crc32() if c == "ids" else c for c in pieces.columns])

@@ -1,6 +1,7 @@
 """The stages, each against what it says of its own input."""
 
 import re
+import zlib
 
 import corpus_pipeline
 import public_tokenizers as P
@@ -55,3 +56,11 @@ def test_run_has_the_last_stages_rows(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert not got.isEmpty()
+
+
+def test_sequences_hold_the_tokens(spark):
+    rows = corpus_pipeline.sequences(spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").select(columns).collect()
+    assert sorted(tuple(r[c] for c in columns) for r in rows) == sorted(map(tuple, got))
