@@ -3,7 +3,9 @@
 Assignments, access keys and hex runs are reported as they stand. Encoded candidates
 are reported only if what they encode is well-formed: a signed token's header must be
 a JSON object that names its algorithm, a key's bytes must be nested lengths that fit
-into each other to the end, an OpenSSH key must start with its magic string.
+into each other to the end, an OpenSSH key must start with its magic string. A key is
+looked for wherever its first bytes may stand within a run, over line ends; its own
+lengths say where it ends. An encrypted PEM body is confirmed by its headers and size.
 """
 
 from __future__ import annotations
@@ -27,9 +29,24 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_CHARS = 12
 
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]{1,65536})-----END \1-----")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Dotted runs of the URL alphabet with at least two dots. What can begin a header: a brace, white space before it too.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]*+(?:\.[A-Za-z0-9_-]*+){2,}")
+HEADER = re.compile(r"e[w-z0-9_-]|I[A-P]|C[Q-v]|D[Q-f]")
+OBJECT = re.compile(rb"[ \t\r\n]*(?:\{[ \t\r\n]*(?:\"|\Z)|\Z)")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+PEM_HEADER = re.compile(r"^[ \t]*([A-Za-z0-9-]+): *(\S[^\n]*)$", re.MULTILINE)
+#: A line's end within an encoding, as it is or escaped (as in JSON), and an escaped slash's mark.
+GAP = re.compile(r"[ \t]*(?:(?:[\r\n]|\\+[rn])[ \t]*)+|\\+(?=/)")
+#: Characters of an encoding; where a key may begin in it: with a sequence or as OpenSSH's own.
+BASE64 = re.compile(r"(?:[A-Za-z0-9+/_]|-(?!----))+")
+BASE64_START = re.compile(r"M[A-I]|b3Bl")
+PADDING = re.compile(r"={0,2}")
+HEXADECIMAL = re.compile(r"[0-9A-Fa-f]+")
+HEXADECIMAL_START = re.compile(r"30(?=[0-8][0-9A-Fa-f])|6[Ff]70")
+#: Characters that tell whether a key may stand there, and the fewest bytes of one.
+HEAD_CHARS, KEY_BYTES = 32, 30
+#: Algorithms that keys are encrypted with: PKCS #5 and #12.
+ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 OPENSSH = b"openssh-key-v1\0"
 
 #: In the order in which spans of one start are listed.
@@ -84,35 +101,145 @@ def private_key(data: bytes | None) -> bool:
     if not top or len(top) != 1 or top[0][0] != 0x30 or not nested(data):
         return False
     inner = elements(top[0][1]) or []
+    if len(inner) == 2 and inner[0][0] == 0x30 and inner[1][0] == 0x04:
+        algorithm = elements(inner[0][1]) or [(0, b"")]
+        return algorithm[0][0] == 0x06 and algorithm[0][1].startswith(ENCRYPTIONS) and len(inner[1][1]) > 0
     return len(inner) >= 3 and inner[0][0] == 0x02 and inner[0][1] in (b"\0", b"\1")
 
 
-def signed_token(header: str, payload: str) -> bool:
-    """A token's header names an algorithm, and its payload is a JSON object too."""
+def der_size(head: bytes) -> int:
+    """Bytes of the key that may begin so, zero if none does: a sequence that starts with a version or a sequence."""
+    if len(head) < 8 or head[0] != 0x30:
+        return 0
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    length, body = (int.from_bytes(head[2 : 2 + n], "big") if n else head[1]), head[2 + n :]
+    begins = body[:3] in (b"\x02\x01\0", b"\x02\x01\1") or body[:1] == b"\x30"
+    return 2 + n + length if n <= 4 and begins and 2 + n + length >= KEY_BYTES else 0
+
+
+def openssh_size(data: bytes) -> tuple[int, bool]:
+    """Bytes that an OpenSSH key has at least, by what ``data`` shows of it, and whether that is all of them."""
+    at, left, counted = len(OPENSSH), 3, False  # cipher, derivation and its options; then the counted public keys, private ones
+    while left or not counted:
+        if len(data) < at + 4:
+            return at + 4, False
+        number, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        if left:
+            at, left = at + number, left - 1
+        else:
+            left, counted = number + 1, True
+    return at, True
+
+
+def joined(text: str, at: int, chars: re.Pattern, count: int) -> tuple[str, int]:
+    """At most ``count`` characters of the encoding at ``at``, over line ends, and where they end."""
+    out, end = [], at
+    while count:
+        m = chars.match(text, at, at + count)
+        if not m:
+            break
+        out.append(m[0])
+        count, end = count - len(m[0]), m.end()
+        gap = GAP.match(text, end) if count else None
+        if not gap:
+            break
+        at = gap.end()
+    return "".join(out), end
+
+
+def unhex(text: str) -> bytes:
+    return bytes.fromhex(text[: len(text) // 2 * 2])
+
+
+def key_end(text: str, at: int, chars: re.Pattern, decode, per_byte: tuple[int, int]) -> int:
+    """Where the private key ends whose encoding begins at ``at``, or -1."""
+
+    def read(size: int) -> tuple[bytes, int]:
+        some, end = joined(text, at, chars, -(-size * per_byte[0] // per_byte[1]))
+        return (decode(some) or b"")[:size], end
+
+    head = decode(joined(text, at, chars, HEAD_CHARS)[0]) or b""
+    if head.startswith(OPENSSH):
+        size, data, end = 256, b"", at
+        while True:
+            before = len(data)
+            data, end = read(size)
+            need, whole = openssh_size(data)
+            if whole and need <= len(data):
+                return read(need)[1]
+            if len(data) < size or len(data) == before:
+                return chars.match(text, at).end()  # cut off: the rest of its line
+            size = max(need, 2 * size)
+    size = der_size(head)
+    if not size:
+        return -1
+    data, end = read(size)
+    return end if len(data) == size and private_key(data) else -1
+
+
+def keys_in(text: str, start: re.Pattern, chars: re.Pattern, decode, per_byte: tuple[int, int]) -> Iterator[tuple[int, int]]:
+    """Places of encoded private keys, wherever in a run of ``chars`` they begin."""
+    at = 0
+    while m := start.search(text, at):
+        end = key_end(text, m.start(), chars, decode, per_byte)
+        if end > 0:
+            yield m.start(), end
+        at = max(m.start() + 1, end)
+
+
+def pem_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Places of private keys between PEM lines, those with headers and with escaped line ends too."""
+    for m in PEM.finditer(text):
+        to = text.find("-----", m.end())
+        last = f"-----END {m[1]}-----"
+        if to < 0 or not text.startswith(last, to):
+            continue
+        body = re.sub(r"\\+(?=/)", "", re.sub(r"\\+[rnt]|\r", "\n", text[m.end() : to]))
+        headers = {h[1].lower(): h[2] for h in PEM_HEADER.finditer(body)}
+        data = decoded(PEM_HEADER.sub("", body))
+        encrypted = headers.get("proc-type", "").endswith("ENCRYPTED") and "dek-info" in headers
+        if private_key(data) or encrypted and data and len(data) % 8 == 0:
+            yield m.start(), to + len(last)
+
+
+def tokens_in(text: str) -> Iterator[tuple[int, int]]:
+    """Places of signed tokens, wherever in a run their header begins."""
+    for m in DOTTED.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for i in range(len(parts) - 2):
+            for h in HEADER.finditer(parts[i]):
+                if not OBJECT.match(decoded(parts[i][h.start() :][:HEAD_CHARS]) or b"x"):
+                    continue
+                if json_object(parts[i + 1]) is None:
+                    break  # whatever the header is
+                head = json_object(parts[i][h.start() :])
+                if head and isinstance(head.get("alg"), str):
+                    yield at + h.start(), at + sum(map(len, parts[i : i + 3])) + 2
+                    break
+            at += len(parts[i]) + 1
+
+
+def json_object(part: str) -> dict | None:
+    """What a part of a token encodes, if it is a JSON object."""
     try:
-        head, body = (json.loads(decoded(x) or b"") for x in (header, payload))
+        made = json.loads(decoded(part) or b"")
     except (ValueError, RecursionError):  # also bytes that are no UTF-8
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
+        return None
+    return made if isinstance(made, dict) else None
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:
     """Kind, start and end (exclusive) of every secret, by start and then kind; positions in code points."""
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_CHARS]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
-    for m in HEX.finditer(text):
-        found.append(("hex", m.start(), m.end()))
-        if m.end() - m.start() >= 64 and private_key(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])):
-            found.append(("derhex", m.start(), m.end()))
-    if "eyJ" in text:
-        found += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if signed_token(m[1], m[2])]
-    keys = []
-    if "-----BEGIN " in text:
-        keys = [(m.start(), m.end()) for m in PEM.finditer(text) if private_key(decoded(m[2]))]
-        found += [("pem", a, b) for a, b in keys]
-    for m in BASE64.finditer(text):
-        if m[0][0] == "M" and not any(a <= m.start() < b for a, b in keys) and private_key(decoded(m[0])):
-            found.append(("der", m.start(), m.end()))
+    found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
+    found += [("derhex", a, b) for a, b in keys_in(text, HEXADECIMAL_START, HEXADECIMAL, unhex, (2, 1))]
+    found += [("jwt", a, b) for a, b in tokens_in(text)]
+    keys = list(pem_keys(text)) if "-----BEGIN " in text else []
+    found += [("pem", a, b) for a, b in keys]
+    for a, b in keys_in(text, BASE64_START, BASE64, decoded, (4, 3)):
+        if not any(x <= a < y for x, y in keys):
+            found.append(("der", a, b + len(PADDING.match(text, b)[0])))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
