@@ -3,7 +3,8 @@
 Terms that mark toxic documents are learned from labelled rows: whole words, and word
 beginnings for languages that build words from stems. They lie in a trie. A word is
 looked up as it is and as one that begins with a stem; a word that is not there is
-intersected, as a Levenshtein automaton, with the trie's whole words. Each hit counts
+intersected, as a Levenshtein automaton, with the trie's words, those of stems too, and so is
+what has digits or marks in letters' places. Each hit counts
 by its context window: in quotation or after a word of report it counts less, since it
 is mentioned rather than used. A logistic model over the hits' sums gives the score.
 """
@@ -33,6 +34,11 @@ LETTERS = re.compile(r"[^\W\d_]+")
 # Marks of quotation, and words that report what others say.
 QUOTES = frozenset("\"“”„«»‹›")
 REPORTS = frozenset("said says say quote quoted quotes called calls wrote writes term word sagte schrieb dit dijo".split())
+#: What stands around words and is no part of one.
+PUNCTUATION = ".,:;!?()[]{}<>'’‘…-_/\\" + "".join(sorted(QUOTES))
+TRAILING = re.compile(r"(?<=\w)[\W_]+\Z")
+#: Letters that a word with digits or marks for letters must show of a term.
+SHOWN_CHARS = 3
 #: Words looked at on either side of a hit, and what a mentioned hit counts.
 WINDOW, MENTION = 4, 0.3
 #: What a misspelled term counts of the term itself.
@@ -48,19 +54,28 @@ def left_out(word: str) -> list[str]:
 
 
 class Trie:
-    """Terms by their letters: a stem's weight at its node, a word's weight under ``""``."""
+    """Terms by their letters: a stem's weight at its node, a word's under ``""``, an inflected word's under ``"near"``.
 
-    def __init__(self, stems: dict[str, float], words: dict[str, float]):
+    Inflected words are those that a stem stands for: only their misspellings are looked for.
+    """
+
+    def __init__(self, stems: dict[str, float], words: dict[str, float], inflected: dict[str, float] | None = None):
         self.root: dict = {}
-        for terms, mark in ((stems, "stem"), (words, "")):
+        inflected = inflected or {}
+        for terms, mark in ((stems, "stem"), (words, ""), (inflected, "near")):
             for term, weight in terms.items():
                 node = self.root
                 for letter in term:
                     node = node.setdefault(letter, {})
                 node[mark] = weight
         # Two words one edit apart are equal, or one is the other, after leaving out a letter of each.
-        fuzzy = [w for w in words if len(w) >= FUZZY_CHARS]
+        fuzzy = [w for w in (*words, *inflected) if len(w) >= FUZZY_CHARS]
         self.shorter = {s for w in fuzzy for s in (w, *left_out(w))}
+        self.longest = max(map(len, fuzzy), default=0)
+
+    def maybe_word(self, word: str) -> bool:
+        """Whether a whole word may be one edit away; false is certain."""
+        return len(word) <= self.longest + 1 and (word in self.shorter or not self.shorter.isdisjoint(left_out(word)))
 
     def exact(self, word: str) -> float:
         """The highest weight of the word and of the stems that it begins with."""
@@ -75,14 +90,14 @@ class Trie:
     def near(self, word: str) -> float:
         """The highest weight of a whole word one edit away; an exchange of neighbours is one edit too."""
         n, best = len(word), 0.0
-        if n < FUZZY_CHARS - 1 or word not in self.shorter and self.shorter.isdisjoint(left_out(word)):
+        if n < FUZZY_CHARS - 1 or not self.maybe_word(word):
             return best
         # States: node, its letters so far, and the automaton's rows for it and its parent.
         stack = [(self.root, "", list(range(n + 1)), None)]
         while stack:
             node, path, row, above = stack.pop()
-            if "" in node and row[n] == 1 and len(path) >= FUZZY_CHARS:
-                best = max(best, node[""])
+            if row[n] == 1 and len(path) >= FUZZY_CHARS:
+                best = max(best, node.get("", 0.0), node.get("near", 0.0))
             for letter, child in node.items():
                 if len(letter) != 1:
                     continue
@@ -96,6 +111,24 @@ class Trie:
                     stack.append((child, path + letter, new, row))
         return best
 
+    def masked(self, word: str) -> float:
+        """The highest weight of a term that the word shows all but the letters under its digits and marks of."""
+        best, stack = 0.0, [(self.root, 0, 0)]
+        while stack:
+            node, at, shown = stack.pop()
+            if shown >= SHOWN_CHARS and 2 * shown >= at:
+                best = max(best, node.get("stem", 0.0))
+                if at == len(word):
+                    best = max(best, node.get("", 0.0), node.get("near", 0.0))
+            if at < len(word):
+                own = word[at]
+                if own.isalpha():
+                    if own in node:
+                        stack.append((node[own], at + 1, shown + 1))
+                else:
+                    stack += [(child, at + 1, shown) for letter, child in node.items() if len(letter) == 1]
+        return best
+
 
 @dataclass
 class Model:
@@ -104,11 +137,13 @@ class Model:
     stems: dict[str, float] = field(default_factory=dict)
     words: dict[str, float] = field(default_factory=dict)
     weights: tuple[float, ...] = (0.0,) * FEATURES + (-4.0,)
+    #: Words that stems stand for, to find their misspellings.
+    inflected: dict[str, float] = field(default_factory=dict)
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.trie, self.weights = Trie(model.stems, model.words), np.array(model.weights)
+        self.trie, self.weights = Trie(model.stems, model.words, model.inflected), np.array(model.weights)
         self.chunks: dict[str, float] = {}
 
     def chunk(self, chunk: str) -> float:
@@ -116,6 +151,9 @@ class Scorer:
         best = 0.0
         for word in LETTERS.findall(chunk):
             best = max(best, self.trie.exact(word) or NEAR * self.trie.near(word))
+        marked = TRAILING.sub("", chunk.strip(PUNCTUATION))
+        if not marked.isalpha() and LETTERS.search(marked):  # digits or marks may stand for letters
+            best = max(best, NEAR * self.trie.masked(marked), NEAR * self.trie.near(marked))
         return best
 
     def features(self, text: str) -> list[float]:
@@ -225,8 +263,8 @@ def term_contexts(texts: DataFrame) -> DataFrame:
     return made.groupBy("term", "stem").agg(F.count_distinct("context").alias("n"))
 
 
-def lexicon(sample: DataFrame, toxic: int, clean: int, max_terms: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Stems and words that are at least RATIO times as usual in toxic documents as in clean ones, with log weights.
+def lexicon(sample: DataFrame, toxic: int, clean: int, max_terms: int) -> tuple[dict[str, float], ...]:
+    """Stems, words, and words that a stem stands for, that are at least RATIO times as usual in toxic documents as in clean ones, with log weights.
 
     A stem that is mostly one word is left to that word, and a word or longer
     stem that begins with a stem of the lexicon to that stem.
@@ -252,7 +290,9 @@ def lexicon(sample: DataFrame, toxic: int, clean: int, max_terms: int) -> tuple[
         if most.get(term, 0) < ONE_WORD * counts[term, True] and not covered(term, weight[term, True], stems):
             stems[term] = weight[term, True]
     words = {t: weight[t, False] for t, stem in strong if not stem and not covered(t, weight[t, False], stems)}
-    return stems, words
+    stood_for = ((t, max((stems.get(t[:i], 0.0) for i in range(STEM_CHARS, len(t) + 1)), default=0.0)) for t, stem in counts if not stem)
+    inflected = {t: w for t, w in stood_for if w and t not in words}
+    return stems, words, inflected
 
 
 def covered(term: str, weight: float, stems: dict[str, float]) -> bool:
@@ -272,7 +312,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_terms:
     sizes = {(r.half, r.toxic): r.n for r in sample.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 4:
         return Model()
-    model = Model(*lexicon(sample.filter("half = 0"), sizes[0, True], sizes[0, False], max_terms))
+    stems, words, inflected = lexicon(sample.filter("half = 0"), sizes[0, True], sizes[0, False], max_terms)
+    model = Model(stems, words, inflected=inflected)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)

@@ -38,6 +38,28 @@ def test_stems_and_words():
     assert [trie.near(w) for w in ("idiots", "idot", "idoit", "1diot", "xdiots")] == [4.0, 4.0, 4.0, 4.0, 0.0]
 
 
+def test_misspelled_stems_and_marked_letters():
+    inflected = {"dummkopfes": 3.0, "vequla": 2.0}
+    model = toxicity.Model({"dummk": 3.0, "vequ": 2.0}, {"idiot": 4.0, "shit": 5.0}, inflected=inflected)
+    chunk = toxicity.Scorer(model).chunk
+    for word, weight in [
+        ("dumkopfes", 3.0), ("dumkmopfes,", 3.0), ("dunmkopfes", 3.0), ("veqlua", 2.0), ("veula", 2.0), ("id1ot", 4.0),
+        ("idi*t!", 4.0), ("1diot", 4.0), ("idi-ot", 4.0), ("1d1ot", 4.0), ("sh1t", 5.0), ('"$hit"', 5.0), ("veq*la", 2.0),
+        ("d*mmkopfes", 3.0),
+    ]:
+        assert chunk(word) == toxicity.NEAR * weight, word
+    assert [chunk(w) for w in ("dummkopfen", "vequlas", "idiot", "shit.")] == [3.0, 2.0, 4.0, 5.0]
+    for word in ("ship", "requlx", "12:34", "a1", "x" * 100_000, "x1" * 100_000, "well-known", "s**t"):
+        assert chunk(word) == 0.0, word[:20]
+
+
+def test_lexicon_keeps_words_of_stems(spark):
+    toxic = [(f"{a} you {w} {b}", True) for w in ("vequla", "vequbo", "vequdi") for a in "abcdefgh" for b in "ijkl"]
+    sample = spark.createDataFrame(toxic + [(f"fine words {i}", False) for i in range(99)], "text string, toxic boolean")
+    stems, words, inflected = toxicity.lexicon(sample, len(toxic), 99, 100)
+    assert "vequ" in stems and not {"vequla", "vequbo"} & words.keys() and {"vequla", "vequbo", "vequdi"} <= inflected.keys()
+
+
 def test_mentions_count_less():
     scorer = toxicity.Scorer(toxicity.Model({}, {"idiot": 4.0}, (1.0, 0.0, 0.0, 0.0, 0.0)))
     used, quoted, said, near = (scorer.features(t)[0] for t in ("you are an idiot", 'the word "idiot" here', "he wrote idiot once", "you idoit"))
