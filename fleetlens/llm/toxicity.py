@@ -204,7 +204,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 def terms_of(text: str) -> set[tuple[str, bool]]:
     """A text's words, and as stems their beginnings (marked true)."""
     words = set(LETTERS.findall(text.lower()))
-    stems = {(w[:n], True) for w in words for n in range(STEM_CHARS, min(len(w), MAX_STEM_CHARS + 1))}
+    stems = {(w[:n], True) for w in words for n in range(STEM_CHARS, min(len(w), MAX_STEM_CHARS) + 1)}
     return stems.union((w, False) for w in words)
 
 

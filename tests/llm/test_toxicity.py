@@ -53,6 +53,12 @@ def test_misspelled_stems_and_marked_letters():
         assert chunk(word) == 0.0, word[:20]
 
 
+def test_stems_of_a_text_and_its_contexts_agree(spark):
+    text = "vequ vequlas dummkopfes ab abcdefghi abcdefghij"
+    both = toxicity.term_contexts(spark.createDataFrame([(text,)], "text string")).collect()
+    assert toxicity.terms_of(text) == {(r.term, r.stem) for r in both} and ("vequ", True) in toxicity.terms_of("Vequ")
+
+
 def test_lexicon_keeps_words_of_stems(spark):
     toxic = [(f"{a} you {w} {b}", True) for w in ("vequla", "vequbo", "vequdi") for a in "abcdefgh" for b in "ijkl"]
     sample = spark.createDataFrame(toxic + [(f"fine words {i}", False) for i in range(99)], "text string, toxic boolean")
