@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -24,22 +25,81 @@ from fleetlens.llm import common
 # licences ask to be put into a work.
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 TEMPLATES = {
-    "apache": ["Licensed under the Apache License, Version 2.0"],
+    "apache": [
+        "Licensed under the Apache License, Version 2.0",
+        "under the Apache License",
+        "under an Apache License",
+        "under Apache 2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is"
+        " distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    ],
     "mit": [
         "Released under the MIT License",
+        "under the MIT License",
+        "under an MIT License",
+        "under MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
         " and associated documentation files",
+        # The whole licence.
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
+        " documentation files (the Software), to deal in the Software without restriction, including without limitation"
+        " the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and"
+        " to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above"
+        " copyright notice and this permission notice shall be included in all copies or substantial portions of the"
+        " Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT"
+        " LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT"
+        " SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION"
+        " OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER"
+        " DEALINGS IN THE SOFTWARE.",
     ],
     "bsd": [
         "Released under the BSD License",
+        "under the BSD License",
+        "under a BSD License",
+        "under BSD License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted"
         " provided that the following conditions are met",
+        # The whole licence of two clauses, and the third clause.
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+        " following conditions are met: Redistributions of source code must retain the above copyright notice, this list"
+        " of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright"
+        " notice, this list of conditions and the following disclaimer in the documentation and/or other materials"
+        " provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY"
+        " EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND"
+        " FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE"
+        " FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED"
+        " TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER"
+        " CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR"
+        " OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
+        " products derived from this software without specific prior written permission",
+    ],
+    "gpl": [
+        "This work is licensed under the GNU General Public License, version 3",
+        "under the GNU General Public License",
+        "under the GNU GPL",
+        "under the terms of the GPL",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public"
+        " License as published by the Free Software Foundation",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied"
+        " warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    ],
+    "mpl": [
+        "subject to the terms of the Mozilla Public License",
+        "under the Mozilla Public License",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at",
+    ],
+    "cc": [
+        "licensed under a Creative Commons Attribution International License",
+        "under a Creative Commons License",
+        "under the Creative Commons Attribution License",
     ],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3"],
-    "mpl": ["subject to the terms of the Mozilla Public License"],
-    "cc": ["licensed under a Creative Commons Attribution International License"],
 }
 
+# Whole licences, word for word; find_licenses cuts them into parts.
+for _label, _file in (("apache", "Apache-2.0"), ("gpl", "GPL-2"), ("gpl", "GPL-3"), ("mpl", "MPL-2.0")):
+    TEMPLATES[_label].append((Path(__file__).parent / "license_texts" / f"{_file}.txt").read_text(encoding="utf-8"))
+
 #: Every byte that is no word byte becomes a space, A-Z lower case; bytes beyond ASCII are word bytes.
 _WORDS = bytes(
     b if chr(b).isdigit() or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)
@@ -51,6 +111,13 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_WORDS).split()
 
 
+def parts_of(words: list[bytes], most: int) -> list[list[bytes]]:
+    """The words in nearly equal parts of at most ``most``."""
+    n = max(1, -(-len(words) // most))
+    edges = [len(words) * i // n for i in range(n + 1)]
+    return [words[a:b] for a, b in zip(edges, edges[1:])]
+
+
 def word_counts(docs: DataFrame, vocabulary: Sequence[bytes]) -> dict[bytes, int]:
     """How often each word of the fixed ``vocabulary`` stands in all documents."""
     wanted = frozenset(vocabulary)
@@ -92,8 +159,6 @@ class Finder:
                 for place, word in enumerate(ordered[: len(ordered) - need + 1]):
                     self.by_word.setdefault(word, []).append((kind, len(own), place))
                 own.append((label, words, frozenset(ordered), need))
-        if any(len(t[2]) > self.step for t in self.templates):
-            raise ValueError("block_words must be at least twice the words of a template")
 
     def places(self, words: list[bytes], at: int, n: int) -> list[tuple[str, int]]:
         """Where the phrase stands around its word at ``at``; of a repeated word, the first place counts."""
@@ -146,12 +211,19 @@ def find_licenses(
     counted from 0. ``blocks``: label, words ``start`` to ``end`` (exclusive) and
     containment of each text block that holds at least ``threshold`` of a
     template's distinct words. Blocks are ``block_words`` long and start every
-    half of that, so a notice always lies within one. A null text is an empty
+    half of that; templates of more words than half a block are cut into parts
+    that are templates of their own, so a notice or part always lies within a
+    block. A null text is an empty
     one and has neither. Repeated and null ids are kept; columns other than
     ``doc_id`` and ``text`` are not looked at. Two passes over ``docs``: the
     words' frequencies order the index, and never change what is found.
     """
-    split = [(label, words_of(t)) for label, texts in templates.items() for t in texts]
+    split = [
+        (label, part)
+        for label, texts in templates.items()
+        for t in texts
+        for part in parts_of(words_of(t), max(1, block_words // 2))
+    ]
     exact = [(label, words_of(p)) for label, p in phrases.items()]
     if not all(words for _, words in split + exact):
         raise ValueError("a template needs words")

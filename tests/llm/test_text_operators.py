@@ -190,6 +190,40 @@ def test_licenses(spark, rows, tables, docs, odd, empty):
     assert found[4].n_base == 1 - 1 + base_licenses("cc by" * 2)[1]
 
 
+def test_license_wordings_and_bodies(docs):
+    notices = [
+        ("Licensed under the MIT License", "mit"), ("Licensed under the Apache License 2.0", "apache"),
+        ("Released under a BSD License", "bsd"), ("licensed under the GNU General Public License version 2", "gpl"),
+        ("Distributed under the Mozilla Public License", "mpl"), ("nothing of that kind under the sun", ""),
+    ]
+    bodies = [(t, label) for label, texts in licenses.TEMPLATES.items() for t in texts if len(licenses.words_of(t)) > 32]
+    assert {label for _, label in bodies} >= {"mit", "bsd", "apache", "gpl", "mpl"}
+    # From some words on, and with every fifteenth word another.
+    changed = [(" ".join("other" if i % 15 == 7 else w for i, w in enumerate(t.split()[9:])), label) for t, label in bodies]
+    cases = notices + bodies + changed
+    some = docs([(i, f"{'word ' * (i * 7)} {t} {'more ' * 80}") for i, (t, _) in enumerate(cases)])
+    got = {r.doc_id: r for r in licenses.license_report(licenses.find_licenses(some)).collect()}
+    for i, (t, label) in enumerate(cases):
+        # A body may name other licences: the MPL's names the GPL.
+        assert (got[i].labels == label if i < len(notices) else label in got[i].labels.split(",")) and (got[i].score >= 0.9) == bool(label), (t[:60], got[i])
+
+
+def test_long_templates_are_cut_against_brute_force(docs):
+    rng = random.Random(6)
+    body = [f"b{i % 70}" for i in range(150)]
+    texts = []
+    for i in range(40):
+        own = [w if rng.random() > 0.08 else "x" for w in body]
+        texts.append((i, " ".join(["y"] * rng.randrange(70) + own[rng.randrange(60) :] + ["z"] * rng.randrange(70))))
+    found = licenses.find_licenses(docs(texts), templates={"b": [" ".join(body)]}, phrases={}, block_words=64).collect()
+    parts = [set(p) for p in licenses.parts_of([w.encode() for w in body], 32)]
+    assert any(r.blocks for r in found)
+    for r in found:
+        own = licenses.words_of(texts[r.doc_id][1])
+        blocks = [(s, min(s + 64, len(own)), len(p & set(own[s : s + 64])) / len(p)) for p in parts for s in range(0, len(own), 32)]
+        assert sorted(tuple(b)[1:] for b in r.blocks) == sorted(b for b in blocks if b[2] >= 0.9)
+
+
 def test_license_blocks_against_brute_force(docs, spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(12)] + "licensed under the apache license version 2 0".split()
