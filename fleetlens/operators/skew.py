@@ -67,9 +67,6 @@ def salted_join(
 
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
     """Whether the table, counted and measured, is small enough to broadcast."""
-    rows = df.count()
-    if rows > max_rows:
-        return False
     width = F.lit(0)
     for field in df.schema:
         col = F.col(f"`{field.name}`")
@@ -80,7 +77,8 @@ def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes:
         else:
             size = F.lit(16)
         width = width + F.coalesce(size, F.lit(0))
-    return (df.agg(F.sum(width)).first()[0] or 0) <= max_bytes
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return rows <= max_rows and (size or 0) <= max_bytes
 
 
 def lookup_join(
