@@ -5,12 +5,14 @@ entities. Over the whole corpus, words near an entity are counted with it; a wor
 pointwise mutual information with an entity says how many of the bits that it takes to name
 the entity the word already tells. Where at most one bit is missing the word is removed, where
 at most two are it is generalised, wherever it stands. All counts are Spark aggregations
-over all documents; nothing but the words of single documents is held by a task.
+over all documents; a task holds the words of single documents and a bounded number of counts.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,8 +34,8 @@ CARD_DIGITS, PHONE_DIGITS, MAX_PART = (14, 19), (10, 15), 255
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "generalise", "remove")
 
-#: A word is everything but ASCII marks, white space and controls, of so many characters or more; the same in Java and Python.
-WORD, WORD_CHARS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", 3
+#: A word is everything but ASCII marks, white space and controls, of three characters or more.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]{3,}"
 #: Words that end or begin within so many characters of an entity stand near it.
 WINDOW_CHARS = 100
 #: In how many different surroundings a word must stand near an entity; copies of a passage are one.
@@ -41,7 +43,12 @@ MIN_CONTEXTS = 3
 #: Bits that may be missing to name the entity, for words that are removed and generalised, and the fewest bits that such a word tells.
 REMOVE_BITS, GENERALISE_BITS, LEAST_BITS = 1.0, 2.0, 3.0
 
-_WORDS = re.compile(WORD)
+#: Different words that a task counts before it hands its counts on.
+COUNTED_WORDS = 100_000
+#: Slots that a word may fall into: tasks are told which of them hold a word that matters.
+SLOTS = 2**20
+
+_WORDS, _TOUCHING = re.compile(WORD), re.compile(WORD.replace("{3,}", ""))
 _TO_LOWER = str.maketrans(common.UPPER, common.LOWER)
 
 
@@ -105,8 +112,7 @@ def named(kind: str, value: str) -> str:
 def words_in(text: str, plain: str, start: int, end: int) -> Iterator[re.Match]:
     """Words of the blanked text within a range that are whole words of the text, and so counted as such."""
     for m in _WORDS.finditer(plain, start, end):
-        touched = _WORDS.match(text[max(0, m.start() - 1) : m.start()]) or _WORDS.match(text[m.end() : m.end() + 1])
-        if m.end() - m.start() >= WORD_CHARS and not touched:
+        if not _TOUCHING.match(text[max(0, m.start() - 1) : m.start()]) and not _TOUCHING.match(text[m.end() : m.end() + 1]):
             yield m
 
 
@@ -150,11 +156,61 @@ def contexts(docs: DataFrame) -> DataFrame:
     return seen.select("row", "entity", "word", F.xxhash64("words").alias("context"))
 
 
-def words_of(docs: DataFrame) -> DataFrame:
-    """``digest, word``: the different words of every text, next to the text's digest."""
-    words = F.array_distinct(F.regexp_extract_all(common.lower_ascii(F.col("text")), F.lit(WORD), F.lit(0)))
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(F.md5("text").alias("digest"), words.alias("words"))
-    return texts.select("digest", F.explode("words").alias("word")).filter(F.length("word") >= WORD_CHARS)
+def different_words(text: str) -> set[str]:
+    return {w.translate(_TO_LOWER) for w in set(_WORDS.findall(text))}
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word, n_word``: in how many documents each word stands. What leaves a task are its own sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def batch() -> pa.RecordBatch:
+            columns = [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())]
+            counts.clear()
+            return pa.RecordBatch.from_arrays(columns, ["word", "n"])
+
+        for _, texts in common.portions(batches):
+            for text in texts:
+                counts.update(different_words(text))
+                if len(counts) >= COUNTED_WORDS:
+                    yield batch()
+        if counts:
+            yield batch()
+
+    return common.id_and_text(docs).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n_word"))
+
+
+def slot(word: str) -> int:
+    return zlib.crc32(word.encode()) % SLOTS
+
+
+def words_among(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """``digest, word`` of the different words of every text that are in ``words``, next to the text's digest.
+
+    Tasks get a map of the slots that the wanted words fall into, whose size is fixed; an exact join
+    does the rest.
+    """
+    wanted = words.select((F.crc32(F.col("word").cast("binary")) % SLOTS).alias("slot")).distinct()
+    marked = bytearray(SLOTS // 8)
+    for r in wanted.collect():  # at most SLOTS
+        marked[r["slot"] // 8] |= 1 << r["slot"] % 8
+    shared = docs.sparkSession.sparkContext.broadcast(bytes(marked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        none = not any(bits)
+        for digests, texts in common.portions(batches):
+            rows = []
+            for digest, text in zip(digests.to_pylist(), () if none else texts):
+                found = ((w, slot(w)) for w in different_words(text))
+                rows += [(digest, w) for w, at in found if bits[at // 8] >> at % 8 & 1]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["digest", "word"])
+
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(F.md5("text").alias("digest"), "text")
+    return lookup_join(texts.mapInArrow(run, "digest string, word string"), words, "word", spread=["digest"])
 
 
 def disclosures(
@@ -181,9 +237,7 @@ def disclosures(
     pairs = counted.filter(F.col("word").isNotNull() & (F.col("n_contexts") >= min_contexts)).drop("n_contexts")
     pairs = materialize(pairs.join(whole, "entity"))
     all_docs = docs.agg(F.count(F.lit(1)).alias("n"))
-    wanted = materialize(pairs.select("word").distinct())
-    counts = lookup_join(words_of(docs), wanted, "word", spread=["digest"]).groupBy("word")
-    with_counts = pairs.join(counts.agg(F.count(F.lit(1)).alias("n_word")), "word")
+    with_counts = pairs.join(word_counts(docs), "word")
     told = with_counts.withColumn("n", all_docs.scalar()).select(
         "entity",
         "word",
@@ -232,7 +286,7 @@ def find_personal_data(docs: DataFrame, told: DataFrame | None = None) -> DataFr
     """
     told = disclosures(docs) if told is None else told
     levels = materialize(told.groupBy("word").agg(F.max("level").alias("level")))  # "remove" is the greater
-    hits = lookup_join(words_of(docs), levels, "word", spread=["digest"])
+    hits = words_among(docs, levels)
     # Words hold no line ends: a text's are listed in one string, whose size can be measured.
     marked = F.array_sort(F.collect_set(F.concat_ws(" ", "level", "word")))
     hits = materialize(hits.groupBy("digest").agg(F.array_join(marked, "\n").alias("told")))

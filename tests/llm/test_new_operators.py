@@ -99,14 +99,13 @@ def plain_disclosures(texts):
         inside = {i for _, a, b in found for i in range(a, b)}
         runs = [(m.start(), m.end()) for m in re.finditer(pii.WORD, text)]
         for a, b in runs:
-            if b - a >= 3:
-                words.setdefault(lower(text[a:b]), set()).add(d)
+            words.setdefault(lower(text[a:b]), set()).add(d)
         for kind, a, b in found:
             name = pii.named(kind, text[a:b])
             has.setdefault(name, set()).add(d)
             some = [
                 lower(text[x:y]) for x, y in runs
-                if y - x >= 3 and not inside & set(range(x, y)) and (a - 100 <= x and y <= a or b <= x and y <= b + 100)
+                if not inside & set(range(x, y)) and (a - 100 <= x and y <= a or b <= x and y <= b + 100)
             ]
             for w in set(some):
                 near.setdefault((name, w), set()).add(d)
