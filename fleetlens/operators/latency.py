@@ -25,6 +25,9 @@ OUTLIER_STDDEVS = 1
 QUANTILE_ACCURACY = 10_000
 _MARGIN = 2.0 / QUANTILE_ACCURACY
 
+# Cells that a bucket's distinct values are cut into; the middle one is ordered in one task.
+CELLS = 128
+
 # Weeks start on Monday: the epoch is a Thursday.
 _WEEK_START = "4 days"
 
@@ -51,8 +54,14 @@ def parse_ping_lines(lines: DataFrame, col: str = "value", mode: str = "failfast
 
 def check_address(df: DataFrame, expected: str) -> DataFrame:
     """Raise when a reply came from another address than the one resolved."""
-    fail = F.raise_error(F.concat(F.lit(f"expected {expected}, reply from "), F.col("addr"))).cast("boolean")
-    return df.filter(F.when(F.col("addr").eqNullSafe(expected), True).otherwise(fail))
+    wrong = misaddressed(F.col("addr"), F.lit(expected))
+    return df.filter(F.when(wrong.isNull(), True).otherwise(F.raise_error(wrong).cast("boolean")))
+
+
+def misaddressed(addr: Column, expected: Column) -> Column:
+    """What is wrong with a reply's address; NULL if it is the expected one."""
+    got = F.concat(F.lit("expected "), F.coalesce(expected, F.lit("no address")), F.lit(", reply from "), F.coalesce(addr, F.lit("none")))
+    return F.when(~addr.eqNullSafe(expected), got)
 
 
 def by_network(df: DataFrame, network: str) -> DataFrame:
@@ -87,6 +96,15 @@ def bucket_window(ts: Column, duration: str) -> Column:
     return F.window(ts, spark_interval(duration), startTime=start)
 
 
+def slot_window(ts: Column, duration: str) -> Column:
+    """A tumbling window of an interval such as ``7d``, or of one in words such as ``5 seconds``; weeks start on Monday."""
+    if " " not in duration:
+        return bucket_window(ts, duration)
+    count, unit = duration.split()
+    days = int(count) * {"day": 1, "week": 7}.get(unit.rstrip("s"), 0)
+    return F.window(ts, duration, startTime=_WEEK_START if days and days % 7 == 0 else "0 seconds")
+
+
 def bucket_start(ts: Column, duration: str) -> Column:
     return bucket_window(ts, duration)["start"]
 
@@ -149,21 +167,28 @@ def _middle(ranks: DataFrame, by: Sequence[str], total: str) -> DataFrame:
 
 
 def stats_from_counts(
-    counts: DataFrame, by: Sequence[str], value: str = "value", n: str = "n", cells: int = 4096
+    counts: DataFrame, by: Sequence[str], value: str = "value", n: str = "n", cells: int = CELLS
 ) -> DataFrame:
     """Bucket stats from ``by, value, n`` rows (how often each value occurs).
 
-    The value range of a bucket is cut into cells; the cell that holds the
-    middle rank is found from the cell totals, and only that cell is ordered.
+    A bucket's values are cut into cells at quantiles of a KLL sketch, so every cell has about the same number of
+    distinct values whatever their spread: a stray huge or infinite value is one value among many. The
+    cell that holds the middle rank is found from the cell totals, and only that cell is ordered.
+    Values that are not numbers sort last.
     """
     by = list(by)
     v, w = F.col(value), F.col(n)
+    at = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+    number = F.when(~F.isnan(v.cast("double")), v.cast("double"))
     totals = counts.groupBy(*by).agg(
-        F.sum(w).alias("count"), (F.sum(v * w) / F.sum(w)).alias("avg"), F.max(v).alias("max"), F.min(v).alias("_lo")
+        F.sum(w).alias("count"),
+        (F.sum(v * w) / F.sum(w)).alias("avg"),
+        F.max(v).alias("max"),
+        F.kll_sketch_agg_double(number).alias("_sketch"),
     )
-    totals = materialize(totals)
-    spread = F.col("max") - F.col("_lo")
-    cell = F.when(spread == 0, F.lit(0)).otherwise(F.floor((v - F.col("_lo")) / spread * cells)).cast("int")
+    cuts = F.when(F.kll_sketch_get_n_double("_sketch") > 0, F.kll_sketch_get_quantile_double("_sketch", at))
+    totals = materialize(totals.withColumn("_cuts", F.array_distinct(cuts)).drop("_sketch"))
+    cell = F.coalesce(F.size(F.filter("_cuts", lambda c: c < v)), F.lit(0))
     placed = lookup_join(
         counts.select(*by, v.alias("_v"), w.alias("_n")).withColumnRenamed("_v", value),
         totals,
@@ -282,7 +307,6 @@ def report_header(aggregates: DataFrame, pretty: bool = False) -> DataFrame:
 
 def sample_every(df: DataFrame, duration: str, keys: Sequence[str] = (), ts: str = "ts", tie: Sequence[str] = ()) -> DataFrame:
     """The last row of each time slot (and key): at most one per interval."""
-    slot = (F.window(F.col(ts), duration) if " " in duration else bucket_window(F.col(ts), duration))["start"]
-    rows = df.withColumn("slot", slot)
+    rows = df.withColumn("slot", slot_window(F.col(ts), duration)["start"])
     last = F.max_by(F.struct(*df.columns), F.struct(ts, *tie))
     return rows.groupBy(*keys, "slot").agg(last.alias("_last")).select("slot", "_last.*")

@@ -216,6 +216,17 @@ SQL: dict[str, str] = {
     "hash_listing_roundtrip": f"WITH {_LISTING} SELECT hash, size, doc_id::VARCHAR AS path FROM listing",
     "scan_files": "SELECT lang, octet_length(encode(text)) + 1 AS size, false AS is_dir FROM documents",
     "scan_objects": "SELECT lang, octet_length(encode(text)) + 1 AS size FROM documents",
+    "dup_objects": """SELECT hash, size, doc_id FROM (
+          SELECT *, count(*) OVER (PARTITION BY hash) AS n FROM (
+            SELECT doc_id, sha1(coalesce(text, '')) AS hash, octet_length(encode(coalesce(text, ''))) AS size FROM documents)
+          WHERE size > 0) WHERE n > 1""",
+    "scan_two_roots": """WITH named AS (
+          SELECT ['', '.', '_'][(doc_id % 3 + 1)::INT] || lang AS folder, ['', '.', '_ '][(doc_id % 3 + 1)::INT] || doc_id || '%20.txt' AS file,
+            octet_length(encode(coalesce(text, ''))) AS size FROM documents)
+        SELECT folder || '/' || file AS name, false AS is_dir, size FROM named
+        UNION ALL SELECT DISTINCT folder, true, NULL FROM named""",
+    "unreadable_files": """SELECT doc_id, CASE WHEN doc_id % 3 <> 2 THEN sha1(coalesce(text, '')) END AS hash,
+          octet_length(encode(coalesce(text, ''))) AS size, CASE WHEN doc_id % 3 = 2 THEN 'ENOENT' END AS error FROM documents""",
     "dup_files": """SELECT hash, size, lang FROM (
           SELECT sha1(text || chr(10)) AS hash, octet_length(encode(text)) + 1 AS size, lang,
             count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n > 1""",
@@ -357,6 +368,28 @@ SQL: dict[str, str] = {
         strftime(ts, '[%m-%d-%Y] %H:%M:%S.%g') AS debug, strftime(ts, '%a') AS day, strftime(ts, '%H:%M:%S') AS clock
         FROM events""",
     "stream_bucket_stats": f"WITH {_LATENCY} {_rounded(_bucket('6 hours', _CLOSED))}",
+    "stream_bucket_stats_7d": f"""WITH {_LATENCY} {_rounded(_bucket('7 days',
+        "time_bucket(INTERVAL '7 days', ts) + INTERVAL '7 days' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)"))}""",
+    "stream_sample_weekly": """SELECT slot, event_id, ts, user_id, value FROM (
+          SELECT *, row_number() OVER (PARTITION BY user_id, slot ORDER BY ts DESC, event_id DESC) AS rn FROM (
+            SELECT *, date_trunc('week', ts)::TIMESTAMP AS slot FROM events))
+        WHERE rn = 1 AND slot + INTERVAL '7 days' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)""",
+    "stream_deltas_over": f"""WITH {_COUNTERS}, gone AS (
+          SELECT *, epoch_us(ts) AS t, epoch_us(lag(ts) OVER (PARTITION BY cpu ORDER BY ts, event_id)) AS before,
+            {_DELTAS.format(t='BIGINT')} FROM counters)
+        SELECT cpu, t, total, idle, CASE WHEN t - before <= 86400000000 THEN d_total END AS d_total,
+            CASE WHEN t - before <= 86400000000 THEN d_idle END AS d_idle FROM gone""",
+    "stream_lookback_over": f"""WITH {_SAMPLES}, started AS (
+          SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY cpu ORDER BY ts, event_id) <= 86400000000
+            THEN 0 ELSE 1 END AS start FROM samples),
+        parts AS (SELECT * REPLACE (cpu * 100000 + part AS cpu) FROM (
+          SELECT *, sum(start) OVER (PARTITION BY cpu ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS part FROM started))
+        SELECT (cpu // 100000)::BIGINT AS cpu, t, mean_total, mean_idle FROM (
+          WITH samples AS (SELECT * FROM parts), {_lookback(6 * _HOUR_US, True, "t", "epoch_us(ts)")})""",
+    "stream_measurements_checked": """SELECT event_id AS seq, addr, value AS time,
+          CASE WHEN event_id % 10 = 0 THEN 'expected 10.9.9.9, reply from ' || addr END AS error
+        FROM (SELECT *, '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS addr FROM events)
+        WHERE event_type <> 'signup'""",
     "stream_sample_every": """SELECT slot, event_id, ts, user_id, value FROM (
           SELECT *, row_number() OVER (PARTITION BY user_id, slot ORDER BY ts DESC, event_id DESC) AS rn FROM (
             SELECT *, time_bucket(INTERVAL '1 hour', ts) AS slot FROM events))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetlens.functions import arrays, formatting, keypad_text
@@ -240,6 +242,81 @@ def dup_files(spark: SparkSession, sf: str) -> DataFrame:
     return dupes.select("hash", "size", F.regexp_extract("path", _TEXT_FILE, 1).alias("lang"))
 
 
+#: Of documents with this remainder of their id by three the files go away.
+GONE = 2
+
+
+def _document_store(spark: SparkSession, sf: str) -> DataFrame:
+    """``doc_id, path`` of the documents, each written by a task as a file below ``path``, a URI, in folders by language.
+
+    Two thirds of the names begin with a point or an underscore, as do those of their folders, and all
+    have what looks like a code for a blank.
+    """
+    root = scratch_dir(spark).removeprefix("file:")
+
+    def write(batches):
+        for batch in batches:
+            paths = []
+            for doc_id, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"]):
+                folder, mark = [(lang, ""), (f".{lang}", "."), (f"_{lang}", "_ ")][doc_id % 3]
+                os.makedirs(f"{root}/{folder}", exist_ok=True)
+                path = f"{root}/{folder}/{mark}{doc_id}%20.txt"
+                with open(path, "wb") as f:
+                    f.write((text or "").encode())
+                paths.append(f"file://{path}")
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "path": paths})
+
+    docs = tables.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return materialize(docs.mapInPandas(write, "doc_id bigint, path string"))
+
+
+def _store_root(stored: DataFrame) -> str:
+    return stored.select(F.regexp_extract("path", r"^(.*)/[^/]+/[^/]+$", 1)).first()[0]
+
+
+_DOC_NAME = r"/[._ ]*([0-9]+)%20\.txt$"
+
+
+def _doc_id(path: str = "path") -> Column:
+    return F.regexp_extract(path, _DOC_NAME, 1).cast("bigint").alias("doc_id")
+
+
+@query
+def dup_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal documents in a store, named by URIs."""
+    root = _store_root(_document_store(spark, sf))
+    dupes, _ = files.duplicate_files(files.scan_inventory(spark, [root]))
+    return dupes.select("hash", "size", _doc_id())
+
+
+@query
+def scan_two_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """Folders and files below two roots, of which one lies in the other."""
+    root = _store_root(_document_store(spark, sf))
+    found = files.scan_inventory(spark, [root, f"{root}/.en"])
+    names = found.select(F.substring("path", len(root) + 2, 1000).alias("name"), "is_dir", F.when(~F.col("is_dir"), F.col("size")).alias("size"))
+    return names.filter("name <> ''")
+
+
+@query
+def unreadable_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that went between listing and hashing have an error and no hash; the others are hashed."""
+    stored = _document_store(spark, sf)
+    listed = materialize(files.scan_inventory(spark, [_store_root(stored)]).filter("not is_dir"))
+
+    def unlink(batches):
+        for batch in batches:
+            for path in batch["path"]:
+                if os.path.exists(path.removeprefix("file://")):  # a repeated task
+                    os.unlink(path.removeprefix("file://"))
+            yield batch
+
+    materialize(stored.filter(F.col("doc_id") % 3 == GONE).mapInPandas(unlink, "doc_id bigint, path string"))
+    hashed = files.hash_files(listed)
+    error = F.regexp_extract("error", "^([A-Z]+): ", 1)
+    return hashed.select(_doc_id(), "hash", "size", F.when(F.col("error").isNotNull(), error).alias("error"))
+
+
 # --- latency --------------------------------------------------------------
 
 
@@ -744,9 +821,20 @@ def date_formats(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams --------------------------------------------------------------
 
 
+def _in_steps(rows: DataFrame, parts: int = 4, ts: str = "ts") -> DataFrame:
+    """A table as a stream of as many micro-batches: one file after the other, in the order of ``ts``."""
+    path, spark = scratch_dir(rows.sparkSession), rows.sparkSession
+    rows = materialize(rows)
+    span = rows.select(F.unix_micros(F.min(F.col(ts).cast("timestamp"))), F.unix_micros(F.max(F.col(ts).cast("timestamp")))).first()
+    low, high = (v or 0 for v in span)
+    part = F.floor((F.unix_micros(F.col(ts).cast("timestamp")) - low) * parts / (high - low + 1))
+    for i in range(parts):
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = tables.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return _in_steps(tables.table(spark, sf, "events"))
 
 
 def _drain(stream: DataFrame, path: str, mode: str = "append") -> None:
@@ -774,6 +862,26 @@ def stream_bucket_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _stats(_ntz(spark.read.parquet(f"{path}/data").drop("batch"), "time_bucket"))
 
 
+@query
+def stream_bucket_stats_7d(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole weeks, from Monday on."""
+    path = scratch_dir(spark)
+    run = latency_streams.stream_bucket_stats(
+        _event_stream(spark, sf), "7d", "1 hour", f"{path}/data", f"{path}/checkpoint", value="value"
+    )
+    run.awaitTermination()
+    return _stats(_ntz(spark.read.parquet(f"{path}/data").drop("batch"), "time_bucket"))
+
+
+@query
+def stream_sample_weekly(spark: SparkSession, sf: str) -> DataFrame:
+    """The last row of each closed week, from Monday on, however the week is written."""
+    path = scratch_dir(spark)
+    rows = _event_stream(spark, sf).select("event_id", "ts", "user_id", "value")
+    _drain(latency_streams.stream_sample_every(rows, "7 days", "1 hour", keys=["user_id"], tie=["event_id"]), path)
+    return _ntz(spark.read.parquet(f"{path}/data"), "slot", "ts").select("slot", "event_id", "ts", "user_id", "value")
+
+
 @query
 def stream_sample_every(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark)
@@ -801,17 +909,38 @@ def _counter_stream(spark: SparkSession, sf: str, ms_only: bool) -> DataFrame:
     """Counters or samples per core, written as a table and read as a stream."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     rows = tables.cpu_samples(spark, sf) if ms_only else tables.cpu_counters(spark, sf)
-    stored = materialize(rows.select("cpu", "ts", "total", "idle"))
-    return spark.readStream.schema(stored.schema).parquet(stored.inputFiles()[0].rsplit("/", 1)[0])
+    return _in_steps(rows.select("cpu", "ts", "total", "idle"))
 
 
 @query
 def stream_counter_deltas(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark)
     _drain(metric_streams.stream_counter_deltas(_counter_stream(spark, sf, False)), path)
+    return _doubles(spark.read.parquet(f"{path}/data").drop("batch"))
+
+
+def _doubles(deltas: DataFrame) -> DataFrame:
+    return deltas.withColumns({c: F.col(c).cast("double") for c in ("total", "idle", "d_total", "d_idle")})
+
+
+@query
+def stream_deltas_over(spark: SparkSession, sf: str) -> DataFrame:
+    """Series are over after a day without a sample; then they start anew."""
+    path = scratch_dir(spark)
+    _drain(metric_streams.stream_counter_deltas(_counter_stream(spark, sf, False), forget="1d", unit="us"), path)
     return spark.read.parquet(f"{path}/data").drop("batch")
 
 
+@query
+def stream_lookback_over(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for means over six hours."""
+    path = scratch_dir(spark)
+    samples = _counter_stream(spark, sf, True)
+    _drain(metric_streams.stream_lookback(samples, ms=6 * 3_600_000, forget="1d", unit="us"), path)
+    means = spark.read.parquet(f"{path}/data").drop("batch")
+    return means.select("cpu", "t", _r("mean_total").alias("mean_total"), _r("mean_idle").alias("mean_idle"))
+
+
 @query
 def stream_lookback(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark)
@@ -825,16 +954,16 @@ def stream_lookback(spark: SparkSession, sf: str) -> DataFrame:
 def append_counter_deltas(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark)
     counters = _counter_stream(spark, sf, False)
-    run = metric_streams.append_counter_deltas(counters, path, f"{path}/checkpoint", chunk_seconds=86400)
+    run = metric_streams.append_counter_deltas(counters, path, f"{path}/checkpoint")
     run.awaitTermination()
-    return spark.read.parquet(f"{path}/data").drop("batch")
+    return _doubles(spark.read.parquet(f"{path}/data").drop("batch"))
 
 
 @query
 def append_lookback(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark)
     run = metric_streams.append_lookback(
-        _counter_stream(spark, sf, True), path, f"{path}/checkpoint", ms=6 * 3_600_000, chunk_seconds=86400
+        _counter_stream(spark, sf, True), path, f"{path}/checkpoint", ms=6 * 3_600_000
     )
     run.awaitTermination()
     means = spark.read.parquet(f"{path}/data").drop("batch")
@@ -851,6 +980,24 @@ def stream_sample_gap(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
 
 
+@query
+def stream_measurements_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Both halves: replies of the resolved address, and the others with what is wrong."""
+    path = scratch_dir(spark)
+    rows = tables.reply_lines(spark, sf).withColumn("ts", F.timestamp_seconds("event_id"))
+    lines = _in_steps(rows.select("ts", "value", _resolved().alias("resolved")))
+    run = latency_streams.stream_measurements_checked(lines, path, f"{path}/checkpoint", F.col("resolved"))
+    run.awaitTermination()
+    good = spark.read.parquet(f"{path}/data").withColumn("error", F.lit(None).cast("string"))
+    return good.unionByName(spark.read.parquet(f"{path}/errors")).select("seq", "addr", "time", "error")
+
+
+def _resolved() -> Column:
+    """The address that was asked: the one that replied, but for every tenth line."""
+    addr = F.regexp_extract("value", r"from ([0-9.]+)", 1)
+    return F.when(F.col("event_id") % 10 == 0, "10.9.9.9").otherwise(addr)
+
+
 @query
 def stream_measurements(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +15,7 @@ ROCKSDB_PROVIDER = (
 )
 
 _local_scratch: str | None = None
+_within = threading.local()
 
 
 def local_session(cores: int | str = "*", app: str = "fleetlens", **conf: str) -> SparkSession:
@@ -43,6 +47,8 @@ def scratch_dir(spark: SparkSession) -> str:
     the application has ended.
     """
     global _local_scratch
+    if getattr(_within, "folder", None):
+        return f"{_within.folder}/{uuid.uuid4().hex}"
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -53,6 +59,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/fleetlens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of tables, wherever Spark keeps them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+@contextmanager
+def scratch_removed(spark: SparkSession) -> Iterator[None]:
+    """What this thread materializes inside is deleted at the end: for steps that are repeated for as long as a stream runs."""
+    outer, folder = getattr(_within, "folder", None), scratch_dir(spark)
+    _within.folder = folder
+    try:
+        yield
+    finally:
+        _within.folder = outer
+        remove(spark, folder)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to shared storage and read it back.
 

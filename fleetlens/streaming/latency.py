@@ -7,8 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetlens.operators.latency import bucket_start, bucket_window, parse_ping_lines, stats_from_counts
-from fleetlens.session import materialize
+from fleetlens.operators.latency import (
+    bucket_start,
+    bucket_window,
+    misaddressed,
+    parse_ping_lines,
+    slot_window,
+    stats_from_counts,
+)
+from fleetlens.session import materialize, scratch_removed
 
 # Fixed value: seconds between two logged replies.
 LOG_INTERVAL = "5 seconds"
@@ -49,6 +56,45 @@ def stream_measurements(
     )
 
 
+def stream_measurements_checked(
+    lines: DataFrame,
+    path: str,
+    checkpoint: str,
+    expected: Column | str,
+    src_addr: str | None = None,
+    stamp: Column | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Reply lines to ``path/data/batch=<n>``, those that can't be taken to ``path/errors/batch=<n>`` with their ``error``.
+
+    Replies from another address than ``expected`` (a value or a column of ``lines``) and incomplete ones go to
+    the errors, so that one stray reply does not end the stream. Each line is parsed once a batch, and a
+    repeated batch overwrites the folders of both halves: what was written before a crash is not there twice.
+    """
+    spark = lines.sparkSession
+    rows = lines.withColumn("_expected", expected if isinstance(expected, Column) else F.lit(expected))
+    if "ts" not in lines.columns or stamp is not None:
+        rows = rows.withColumn("ts", stamp if stamp is not None else F.current_timestamp())
+    if src_addr is not None:
+        rows = rows.withColumn("src_addr", F.lit(src_addr))
+    parsed = parse_ping_lines(rows, mode="quarantine")
+    checked = parsed.withColumn("error", F.coalesce("error", misaddressed(F.col("addr"), F.col("_expected")))).drop("_expected")
+
+    def write(batch: DataFrame, number: int) -> None:
+        with scratch_removed(spark):
+            both = materialize(batch)
+            both.filter("error is null").drop("error").write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+            both.filter("error is not null").write.mode("overwrite").parquet(f"{path}/errors/batch={number}")
+
+    return (
+        checked.writeStream.outputMode("append")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def stream_value_counts(
     df: DataFrame,
     duration: str,
@@ -88,8 +134,8 @@ def stream_bucket_stats(
     by = [*keys, "time_bucket"]
 
     def write(batch: DataFrame, number: int) -> None:
-        closed = materialize(batch)
-        stats_from_counts(closed, by).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with scratch_removed(batch.sparkSession):
+            stats_from_counts(materialize(batch), by).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
         counts.writeStream.outputMode("append")
@@ -111,7 +157,7 @@ def stream_sample_every(
     """The last row of each closed time slot: at most one per key and interval."""
     rows = event_time(df, ts).withWatermark(ts, watermark)
     last = F.max_by(F.struct(*rows.columns), F.struct(ts, *tie)).alias("last")
-    slots = rows.groupBy(*keys, F.window(ts, interval).alias("w")).agg(last)
+    slots = rows.groupBy(*keys, slot_window(F.col(ts), interval).alias("w")).agg(last)
     return slots.select(F.col("w.start").alias("slot"), "last.*")
 
 

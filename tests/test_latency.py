@@ -207,3 +207,16 @@ def test_stored_measurements(spark, rows, tmp_path):
     assert rows(back, *df.columns) == [row, row]
     measurements.write_by_network(df, str(tmp_path / "n"))
     assert spark.read.parquet(str(tmp_path / "n" / "network=default")).count() == 1
+
+
+@pytest.mark.parametrize("stray", [80_000.0, float("inf"), float("-inf"), float("nan")])
+def test_a_stray_value_does_not_crowd_the_cells(spark, stray):
+    """One timeout, or no number at all, among many values: the median stays exact and every cell small."""
+    import statistics
+
+    values = [20 + i * 7919 % 10_007 / 1000 for i in range(10_007)]
+    counts = spark.createDataFrame([(0, v, 1 + i % 3) for i, v in enumerate(values)] + [(0, stray, 1)], "b int, value double, n long")
+    got = latency.stats_from_counts(counts, ["b"]).first()
+    last = float("inf") if stray != stray else stray
+    every = sorted([v for i, v in enumerate(values) for _ in range(1 + i % 3)] + [last])
+    assert got["count"] == len(every) and got.median == statistics.median(every)

@@ -1,4 +1,5 @@
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,3 +193,116 @@ def test_measurements(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out").orderBy("seq").collect()
     assert [(r.seq, r.src_addr, r.time) for r in got] == [(i, "me", 29.418) for i in range(3)]
     assert all(r.ts is not None for r in got)
+
+
+def stored(spark, path, name):
+    """What a stateful stream holds under a name."""
+    reader = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", name)
+    return reader.load(f"{path}/ckpt")
+
+
+def test_a_series_that_ends_leaves_no_state(spark, rows, tmp_path):
+    """Series a ends in the first batch, b goes on; two hours after its last sample a is forgotten."""
+    hour = 3_600_000
+    data = [(m * 60_000, "a", m, 1, 0) for m in range(5)]
+    data += [(p * hour + m * 600_000, "b", p * 10 + m, 1, p) for p in range(5) for m in range(5)]
+    data += [(4 * hour + 2_400_001, "a", 100, 7, 4)]
+    df = spark.createDataFrame(data, "ts bigint, cpu string, total bigint, idle bigint, part int")
+    schema = df.drop("part").schema
+    for op, states in (
+        (lambda s: metric_streams.stream_counter_deltas(s, watermark="1 minute", forget="2h"), ["last", "newest"]),
+        (lambda s: metric_streams.stream_lookback(s, ms=1000, watermark="1 minute", forget="2h"), ["newest"]),
+    ):
+        path = tmp_path / states[0]
+        for parts in ((0, 1, 2, 3), (4,)):
+            for p in parts:
+                df.filter(F.col("part") == p).drop("part").coalesce(1).write.mode("append").parquet(str(path / "in"))
+            assert run(op(source(spark, str(path / "in"), schema)), path) >= len(parts)
+            if parts[0] == 0:
+                for state in states:
+                    assert [r.key.cpu for r in stored(spark, path, state).select("key").collect()] == ["b"]
+        got = {(r.cpu, r.t): r for r in spark.read.parquet(str(path / "data")).collect()}
+        assert len(got) == 31
+        again = got["a", 4 * hour + 2_400_001]
+        assert (again.d_total if "d_total" in again else again.mean_total) == (None if "d_total" in again else 100.0)
+
+
+def test_lookback_state_has_few_slots(spark, tmp_path):
+    """Of a long history only the slots of a window stay, and every mean is that of the plain rule."""
+    df = spark.range(1200).selectExpr("id * 37 + id * id % 11 as ts", "'a' as cpu", "id * id % 101 as total", "id % 7 as idle", "cast(id div 200 as int) as part")
+    write_batches(df, str(tmp_path / "in"), 6)
+    stream = source(spark, str(tmp_path / "in"), df.drop("part").schema)
+    run(metric_streams.stream_lookback(stream, ms=3200), tmp_path)
+    data = sorted((r.ts, r.total, r.idle) for r in df.collect())
+    got = {r.t: (r.mean_total, r.mean_idle) for r in spark.read.parquet(str(tmp_path / "data")).collect()}
+    for i, (t, _, _) in enumerate(data):
+        start = max(0, sum(s[0] <= t - 3200 for s in data) - 1)
+        seen = data[start : i + 1]
+        assert got[t] == (sum(s[1] for s in seen) / len(seen), sum(s[2] for s in seen) / len(seen))
+    reader = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "sums")
+    assert reader.load(f"{tmp_path}/ckpt").count() <= metric_streams.SLOTS + 2
+
+
+def test_large_counters_and_ties_at_a_batch_border(spark, rows, tmp_path):
+    big = 2**62
+    data = [(1, "a", big + 1, 1, 0), (2, "a", big + 2, 2, 0), (2, "a", big + 5, 3, 1), (3, "a", big + 9, 3, 1)]
+    df = spark.createDataFrame(data, "ts bigint, cpu string, total bigint, idle bigint, part int")
+    write_batches(df, str(tmp_path / "in"), 2)
+    stream = source(spark, str(tmp_path / "in"), df.drop("part").schema)
+    metric_streams.append_counter_deltas(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    run(metric_streams.stream_counter_deltas(stream), tmp_path)
+    want = [(1, big + 1, None), (2, big + 2, 1), (2, big + 5, 3), (3, big + 9, 4)]
+    for path in (tmp_path / "out" / "data", tmp_path / "data"):
+        got = spark.read.parquet(str(path))
+        assert rows(got, "t", "total", "d_total") == want and dict(got.dtypes)["d_total"] == "bigint"
+
+
+def test_microseconds_are_no_ties(spark, rows, tmp_path):
+    df = spark.range(6).selectExpr("timestamp_micros(1000000 + id) as ts", "'a' as cpu", "id * id as total", "id as idle", "cast(id div 3 as int) as part")
+    write_batches(df, str(tmp_path / "in"), 2)
+    run(metric_streams.stream_counter_deltas(source(spark, str(tmp_path / "in"), df.drop("part").schema), unit="us"), tmp_path)
+    got = rows(spark.read.parquet(str(tmp_path / "data")), "t", "d_total")
+    assert got == [(1000000 + i, None if i == 0 else 2 * i - 1) for i in range(6)]
+
+
+def test_appending_streams_leave_no_scratch(spark, samples, tmp_path):
+    write_batches(samples, str(tmp_path / "in"), 4)
+    stream = source(spark, str(tmp_path / "in"), samples.drop("part").schema)
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = {p for p in shared.rglob("*.parquet") if p.is_file()}
+    metric_streams.append_lookback(stream, str(tmp_path / "out"), str(tmp_path / "c"), ms=2000, chunk_seconds=10).awaitTermination()
+    assert len(list((tmp_path / "out" / "tail").iterdir())) <= 2
+    assert {p for p in shared.rglob("*.parquet") if p.is_file()} == before
+
+
+def test_checked_measurements(spark, rows, tmp_path):
+    (tmp_path / "in").mkdir()
+    line = "64 bytes from {}: icmp_seq={} ttl=117 time=29.418 ms\n"
+    for i in range(4):
+        text = line.format("1.2.3.4", i) + line.format("9.9.9.9", 10 + i) + "PING x\n64 bytes from 1.2.3.4: no more\n"
+        (tmp_path / "in" / f"{i}.txt").write_text(text)
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "in"))
+
+    def start():
+        latency_streams.stream_measurements_checked(lines, f"{tmp_path}/out", f"{tmp_path}/ckpt", "1.2.3.4", "me").awaitTermination()
+
+    start()
+    good, bad = (spark.read.parquet(f"{tmp_path}/out/{half}") for half in ("data", "errors"))
+    assert rows(good, "seq", "addr", "src_addr") == [(i, "1.2.3.4", "me") for i in range(4)]
+    assert sorted({r.error for r in bad.collect()}) == ["64 bytes from 1.2.3.4: no more", "expected 1.2.3.4, reply from 9.9.9.9"]
+    assert bad.count() == 8 and good.select("batch").distinct().count() == 4
+    (last,) = sorted((tmp_path / "ckpt" / "commits").glob("[0-9]*"))[-1:]
+    last.unlink()  # as after a crash between writing and committing
+    (tmp_path / "ckpt" / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
+    start()
+    assert spark.read.parquet(f"{tmp_path}/out/data").count() == 4 and spark.read.parquet(f"{tmp_path}/out/errors").count() == 8
+
+
+def test_weeks_start_on_monday_in_streams(spark, rows, replies, tmp_path):
+    df = replies.selectExpr("ts + make_dt_interval(id div 100) as ts", "time", "part", "id")
+    write_batches(df, str(tmp_path / "in"), 4)
+    stream = source(spark, str(tmp_path / "in"), df.drop("part").schema)
+    run(latency_streams.stream_sample_every(stream, "1 week"), tmp_path)
+    got = rows(spark.read.parquet(f"{tmp_path}/data"), "slot", "id")
+    assert got == rows(latency.sample_every(df, "1w"), "slot", "id")[: len(got)] and len(got) == 2
+    assert rows(latency.sample_every(df, "7 days"), "slot", "id") == rows(latency.sample_every(df, "1w"), "slot", "id")
