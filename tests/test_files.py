@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.operators import inventory
 from fleetlens.sources import files, listings
@@ -118,3 +119,37 @@ def test_word_counts(spark, rows, tmp_path):
     path.write_text("the one\n")
     with pytest.raises(Exception, match="count is not a number"):
         listings.read_word_counts(spark, str(path)).count()
+
+
+def test_uris_are_walked_and_hashed(spark, rows, tmp_path):
+    """Names that Spark's sources hide, blanks and percent signs; links are listed and not followed."""
+    grow(str(tmp_path / "t"), 1, 1, 2)
+    (tmp_path / "t" / ".hidden").mkdir()
+    for name in (".hidden/_x y%20#?.txt", "_a", ".b"):
+        (tmp_path / "t" / name).write_text("same content")
+    os.symlink(tmp_path / "t", tmp_path / "t" / "loop")
+    plain = rows(files.scan_inventory(spark, [str(tmp_path / "t")]).filter("not is_dir and not is_symlink"), "path", "size")
+    found = files.scan_inventory(spark, [f"file://{tmp_path}/t", f"file://{tmp_path}/gone"])
+    assert [(f"file://{p}", s) for p, s in plain] == rows(found.filter("not is_dir and not is_symlink and size is not null"), "path", "size")
+    assert [r.path for r in found.filter("is_symlink").collect()] == [f"file://{tmp_path}/t/loop"]
+    assert [r.path for r in found.filter("size is null").collect()] == [f"file://{tmp_path}/gone"]
+    dupes, bad = files.duplicate_files(found)
+    assert sorted(os.path.basename(r.path) for r in dupes.filter("size = 12").collect()) == [".b", "_a", "_x y%20#?.txt"]
+    assert [r.path for r in bad.collect()] == [f"file://{tmp_path}/gone"]
+
+
+def test_uris_of_one_slash_and_their_errors(spark, tmp_path):
+    (tmp_path / "f").write_text("abc")
+    listing = spark.createDataFrame([(3, f"file:{tmp_path}/f"), (0, f"file://{tmp_path}"), (1, f"file://{tmp_path}/no")], "size long, path string")
+    got = {r.path.rsplit("/", 1)[1]: r for r in files.hash_files(listing).collect()}
+    assert got["f"].hash == "a9993e364706816aba3e25717850c26c9cd0d89d"
+    assert got["no"].error.startswith("ENOENT: ") and got[tmp_path.name].error.startswith("EISDIR: ")
+
+
+def test_files_are_spread_by_size(spark):
+    """Two huge files never share a task, many small ones do."""
+    listing = [(1000, f"/big{i}") for i in range(4)] + [(10, f"/small{i}") for i in range(40)]
+    table = spark.createDataFrame(listing, "size long, path string")
+    tasks = files.hash_files(table, task_bytes=1000).select("path", F.spark_partition_id().alias("p")).collect()
+    big = [r.p for r in tasks if r.path.startswith("/big")]
+    assert len(set(big)) == 4 and len({r.p for r in tasks}) <= 6 and len(tasks) == 44
