@@ -15,8 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 _CODEBOOK = "symbol string, freq bigint, code string, bits int"
-_ENCODED = "data binary, pad int"
-_TABLE_BITS = 16
+_ENCODED = "data binary, pad int, blocks array<int>"
+_TABLE_BITS, _WORD_BITS = 16, 32
+
+#: Symbols of a block, whose bits are stored; of a portion that is encoded at once; blocks that are decoded side by side.
+BLOCK, PORTION, LANES = 256, 65_536, 8_192
 
 
 def symbol_histogram(df: DataFrame, col: str) -> DataFrame:
@@ -75,91 +78,202 @@ def codebook(histogram: DataFrame) -> DataFrame:
     return histogram.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_assign_codes, _CODEBOOK)
 
 
-def encode_corpus(df: DataFrame, book: DataFrame, col: str) -> DataFrame:
-    """Add ``data`` and ``pad``: the text's codes in whole bytes after ``pad`` zero bits."""
-    shared = df.sparkSession.sparkContext.broadcast([(ord(r.symbol), int(r.code, 2), r.bits) for r in book.collect()])
+def _packed(codes: np.ndarray, sizes: np.ndarray, begin: int) -> tuple[np.ndarray, int]:
+    """Codes (of at most 32 bits) one after the other from bit ``begin`` on, in 64-bit words, and where they end."""
+    ends = begin + np.cumsum(sizes)
+    words = np.zeros(int(ends[-1]) // 64 + 1, np.uint64)
+    last = ends - 1
+    word, shift = last >> 6, (63 - (last & 63)).astype(np.uint64)
+    # No two codes share a bit, so sums of a word's codes put them next to each other.
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    words[word[first]] += np.add.reduceat(codes << shift, first)
+    spill = np.flatnonzero((last & 63) + 1 < sizes)  # these begin in the word before, at most one a word
+    words[word[spill] - 1] += codes[spill] >> (64 - shift[spill])
+    return words, int(ends[-1])
+
 
-    def encode_one(text: str, codes: np.ndarray, sizes: np.ndarray) -> tuple[bytes, int]:
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+def _encode_one(text: str, codes: np.ndarray, sizes: np.ndarray, long: dict[int, int]) -> tuple[bytes, int, list[int]]:
+    """A text's codes after ``pad`` zero bits, and the bits of each block; in portions that carry their last bits on."""
+    bits: list[np.ndarray] = []
+    for low in range(0, len(text), PORTION):
+        points = np.frombuffer(text[low : low + PORTION].encode("utf-32-le"), np.uint32)
         known = points < len(sizes)
         if not known.all() or not (size := sizes[points]).all():
             raise ValueError(f"no code for {next(c for c in text if ord(c) >= len(sizes) or not sizes[ord(c)])!r}")
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        pad = -total % 8
-        bits = np.zeros(pad + total, np.uint8)
-        shift = np.repeat(ends, size) - 1 - np.arange(total)
-        bits[pad:] = (np.repeat(codes[points], size) >> shift) & 1
-        return np.packbits(bits).tobytes(), pad
+        bits.append(np.add.reduceat(size, np.arange(0, len(size), BLOCK)))
+    blocks = np.concatenate(bits) if bits else np.zeros(0, np.int64)
+    pad = -int(blocks.sum()) % 8
+    out, carry, at = bytearray(), 0, pad  # `at` bits of the next word are there already
+    for low in range(0, len(text), PORTION):
+        points = np.frombuffer(text[low : low + PORTION].encode("utf-32-le"), np.uint32)
+        if long and (sizes[points] > _WORD_BITS).any():
+            value, at = (carry >> (64 - at) if at else 0), at
+            for point in points.tolist():
+                value, at = value << int(sizes[point]) | long.get(point, int(codes[point])), at + int(sizes[point])
+            whole = at // 64 * 8
+            value <<= -at % 64
+            data = value.to_bytes(-(-at // 64) * 8, "big")
+            out += data[:whole]
+            carry, at = int.from_bytes(data[whole:], "big"), at % 64
+            continue
+        words, end = _packed(codes[points], sizes[points], at)
+        words[0] += np.uint64(carry)
+        whole, at = end // 64, end % 64
+        out += words[:whole].astype(">u8").tobytes()
+        carry = int(words[whole]) if at else 0
+    out += carry.to_bytes(8, "big")[: -(-at // 8)]
+    return bytes(out), pad, blocks.tolist()
+
+
+def encode_corpus(df: DataFrame, book: DataFrame, col: str) -> DataFrame:
+    """Add ``data``, ``pad`` and ``blocks``: the text's codes in whole bytes after ``pad`` zero bits.
+
+    ``blocks`` has the number of bits of every ``BLOCK`` symbols, so that they can be decoded side by side. A task holds
+    a text, its code and about 64 bytes for each of ``PORTION`` symbols.
+    """
+    shared = df.sparkSession.sparkContext.broadcast([(ord(r.symbol), int(r.code, 2), r.bits) for r in book.collect()])
 
     @F.pandas_udf(_ENCODED)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         last = max((point for point, _, _ in shared.value), default=-1)
-        codes, sizes = np.zeros(last + 1, np.int64), np.zeros(last + 1, np.int64)
+        codes, sizes, long = np.zeros(last + 1, np.uint64), np.zeros(last + 1, np.int64), {}
         for point, code, size in shared.value:
-            codes[point], sizes[point] = code, size
+            sizes[point] = size
+            if size <= _WORD_BITS:
+                codes[point] = code
+            else:
+                long[point] = code
         for texts in batches:
-            packed = [(None, None) if t is None else encode_one(t, codes, sizes) for t in texts]
-            yield pd.DataFrame(
-                {"data": [d for d, _ in packed], "pad": pd.array([p for _, p in packed], dtype="Int32")}
-            )
+            packed = [(None, None, None) if t is None else _encode_one(t, codes, sizes, long) for t in texts]
+            data, pads, blocks = zip(*packed) if packed else ((), (), ())
+            yield pd.DataFrame({"data": data, "pad": pd.array(pads, dtype="Int32"), "blocks": blocks})
 
     return df.withColumn("_encoded", encode(F.col(col))).select(*df.columns, "_encoded.*")
 
 
-def decode_corpus(df: DataFrame, book: DataFrame, name: str = "decoded") -> DataFrame:
-    """Add the text that ``data`` and ``pad`` encode.
+class _Decoder:
+    """Decodes blocks side by side: a step looks up one symbol of each.
 
-    A table tells symbol and length of the code that starts with any given
-    ``_TABLE_BITS`` bits; it is looked up for all bit positions at once, and
-    following the lengths from the first position gives the codes. The rare
-    longer codes are read bit by bit.
+    A table tells symbol and length of the code that starts with any given ``_TABLE_BITS`` bits;
+    the rare longer codes are read bit by bit.
     """
-    shared = df.sparkSession.sparkContext.broadcast([(r.code, ord(r.symbol)) for r in book.collect()])
 
-    def tables(codes: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
-        sizes, points, long = np.zeros(1 << _TABLE_BITS, np.uint8), np.zeros(1 << _TABLE_BITS, np.uint32), {}
+    def __init__(self, codes: list[tuple[str, int]]) -> None:
+        self.sizes, self.points = np.zeros(1 << _TABLE_BITS, np.int64), np.zeros(1 << _TABLE_BITS, np.uint32)
+        self.long: dict[str, int] = {}
         for code, point in codes:
             if len(code) > _TABLE_BITS:
-                long[code] = point
+                self.long[code] = point
                 continue
             first = int(code, 2) << (_TABLE_BITS - len(code))
             span = slice(first, first + (1 << (_TABLE_BITS - len(code))))
-            sizes[span], points[span] = len(code), point
-        return sizes, points, long
-
-    def decode_one(data: bytes, pad: int, sizes: np.ndarray, points: np.ndarray, long: dict[str, int]) -> str:
-        bits = np.unpackbits(np.frombuffer(data, np.uint8))[pad:]
-        total = len(bits)
-        window = np.concatenate([bits, np.zeros(_TABLE_BITS, np.uint8)]).astype(np.uint16)
-        for half in (1, 2, 4, 8):
-            window = (window[:-half] << half) | window[half:]
-        size_at = sizes[window[:total]].tobytes()
-        at, starts, rare = 0, [], {}
-        while at < total:
-            starts.append(at)
-            size = size_at[at]
-            if not size:
-                size = _TABLE_BITS + 1
-                while (code := "".join(map(str, bits[at : at + size]))) not in long:
-                    size += 1
-                    if at + size > total:
-                        raise ValueError("the data does not end with a code")
-                rare[len(starts) - 1] = long[code]
-            at += size
-        found = points[window[starts]] if starts else np.zeros(0, np.uint32)
-        for i, point in rare.items():
-            found[i] = point
-        return found.astype("<u4").tobytes().decode("utf-32-le")
+            self.sizes[span], self.points[span] = len(code), point
+
+    def rare(self, data: np.ndarray, at: int, end: int) -> tuple[int, int]:
+        """Symbol and length of a code longer than the table's."""
+        size = _TABLE_BITS
+        while at + size < end:
+            size += 1
+            bits = np.unpackbits(data[at // 8 : (at + size) // 8 + 1])[at % 8 : at % 8 + size]
+            if (code := "".join(map(str, bits))) in self.long:
+                return self.long[code], size
+        raise ValueError("the data does not end with a code")
+
+    def lanes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of each lane of bits, row by row, and how many there are."""
+        found, counts = np.zeros((len(starts), most), np.uint32), np.zeros(len(starts), np.int64)
+        at, live = starts.copy(), np.flatnonzero(starts < ends)
+        for step in range(most):
+            if not len(live):
+                break
+            here = at[live]
+            byte = here >> 3
+            three = data[byte].astype(np.int64) << 16 | data[byte + 1].astype(np.int64) << 8 | data[byte + 2]
+            window = three >> (8 - (here & 7)) & 0xFFFF
+            size, point = self.sizes[window], self.points[window]
+            for i in np.flatnonzero(size == 0):
+                point[i], size[i] = self.rare(data, int(here[i]), int(ends[live[i]]))
+            found[live, step] = point
+            counts[live] += 1
+            at[live] = here = here + size
+            if (here > ends[live]).any():
+                raise ValueError("the data does not end with a code")
+            live = live[here < ends[live]]
+        if len(live):
+            raise ValueError("the data does not end with a code")
+        return found, counts
+
+    def texts(self, rows: list[tuple[bytes, int, list[int]]]) -> Iterator[str]:
+        """Texts of some rows; what is held is bounded by their data and ``LANES`` blocks."""
+        data = np.frombuffer(b"".join(r[0] for r in rows) + bytes(4), np.uint8)
+        offsets = np.cumsum([0, *(8 * len(r[0]) for r in rows)])
+        ends = [o + pad + np.cumsum(np.array(b, np.int64)) for o, (_, pad, b) in zip(offsets, rows)]
+        starts = [np.concatenate([[o + r[1]], e[:-1]]) if len(e) else e for o, r, e in zip(offsets, rows, ends)]
+        owner = np.repeat(np.arange(len(rows)), [len(e) for e in ends])
+        first, last = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
+        made: list[list[str]] = [[] for _ in rows]
+        for low in range(0, len(first), LANES):
+            some = slice(low, low + LANES)
+            found, counts = self.lanes(data, first[some], last[some], BLOCK)
+            flat = found[np.arange(BLOCK) < counts[:, None]]
+            cuts = np.cumsum(np.bincount(owner[some], counts, len(rows)).astype(np.int64))
+            for i in np.unique(owner[some]).tolist():
+                mine = flat[cuts[i - 1] if i else 0 : cuts[i]]
+                made[i].append(mine.astype("<u4").tobytes().decode("utf-32-le"))
+        return ("".join(m) for m in made)
+
+
+def _portions(rows: list[tuple]) -> Iterator[list[tuple]]:
+    """Rows of up to about ``LANES`` blocks together, or a single longer one."""
+    some, size = [], 0
+    for row in rows:
+        if some and size + len(row[2]) > LANES:
+            yield some
+            some, size = [], 0
+        some.append(row)
+        size += len(row[2])
+    if some:
+        yield some
+
+
+def _whole(data: bytes, pad: int, decoder: _Decoder) -> list[int]:
+    """Bits of the blocks of a text that came without them: its codes are followed one by one."""
+    bits, at, start, blocks, n = np.frombuffer(data + bytes(4), np.uint8), pad, pad, [], 0
+    while at < 8 * len(data):
+        byte = at >> 3
+        three = int(bits[byte]) << 16 | int(bits[byte + 1]) << 8 | int(bits[byte + 2])
+        size = int(decoder.sizes[three >> (8 - (at & 7)) & 0xFFFF]) or decoder.rare(bits, at, 8 * len(data))[1]
+        at, n = at + size, n + 1
+        if n % BLOCK == 0:
+            blocks.append(at - start)
+            start = at
+    if at > start:
+        blocks.append(at - start)
+    return blocks
+
+
+def decode_corpus(df: DataFrame, book: DataFrame, name: str = "decoded") -> DataFrame:
+    """Add the text that ``data``, ``pad`` and ``blocks`` encode.
+
+    All blocks of a text, or of several, are decoded side by side. Without ``blocks`` a text's codes are followed first,
+    one by one, to find them.
+    """
+    shared = df.sparkSession.sparkContext.broadcast([(r.code, ord(r.symbol)) for r in book.collect()])
 
     @F.pandas_udf("string")
-    def decode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        ready = tables(shared.value)
-        for data, pad in batches:
-            texts = [None if d is None else decode_one(d, int(p), *ready) for d, p in zip(data, pad)]
-            yield pd.Series(texts, dtype=object)
+    def decode(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        decoder = _Decoder(shared.value)
+        for data, pads, blocks in batches:
+            rows = [
+                (d, int(p), _whole(d, int(p), decoder) if b is None else b)
+                for d, p, b in zip(data, pads, blocks)
+                if d is not None
+            ]
+            texts = (t for some in _portions(rows) for t in decoder.texts(some))
+            yield pd.Series([None if d is None else next(texts) for d in data], dtype=object)
 
-    return df.withColumn(name, decode(F.col("data"), F.col("pad")))
+    blocks = F.col("blocks") if "blocks" in df.columns else F.lit(None).cast("array<int>")
+    return df.withColumn(name, decode(F.col("data"), F.col("pad"), blocks))
 
 
 def size_report(histogram: DataFrame, book: DataFrame) -> DataFrame:

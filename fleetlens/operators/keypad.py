@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from fleetlens.functions.keypad_text import to_digits
 from fleetlens.operators.ordered import numbered
 from fleetlens.operators.skew import MAX_BROADCAST_ROWS, lookup_join
+from fleetlens.session import materialize
 
 # Fixed value: words shown for a prefix.
 TOP_WORDS = 10
 
+#: Words of a prefix that one task ranks, and pieces that a larger prefix is cut into.
+RANK_ROWS, RANK_CELLS = 1_000_000, 64
+
 
 def word_frequencies(
     words: DataFrame, frequencies: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS
@@ -53,7 +57,7 @@ def prefix_lookup(
     Of an index stored by prefix length (``digits``) only the folders of queried
     lengths are read.
     """
-    wanted = queries.select("prefix").distinct()
+    wanted = materialize(queries.select("prefix").distinct())
     keys = ["prefix"]
     if "digits" in index.columns:
         wanted = wanted.withColumn("digits", F.length("prefix"))
@@ -61,19 +65,46 @@ def prefix_lookup(
     return lookup_join(index, wanted, keys, max_broadcast_rows=max_broadcast_rows)
 
 
+def _place(tie: str, text: bool) -> Column:
+    """A whole number that never falls from a word to the next of the ranking: its frequency, then its leading bytes."""
+    n = F.least(F.greatest(F.floor(F.col("n")).cast("bigint"), F.lit(-(2**38))), F.lit(2**38))
+    if not text:
+        return -n
+    lead = F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(tie), "UTF-8"), 1, 3)), 6, "0"), 16, 10).cast("bigint")
+    return -n * 2**24 + F.coalesce(lead, F.lit(0))
+
+
 def rank_words(
-    matches: DataFrame, keys: Sequence[str] = ("prefix",), tie: str = "word", chunk: Column | None = None
+    matches: DataFrame,
+    keys: Sequence[str] = ("prefix",),
+    tie: str = "word",
+    chunk: Column | None = None,
+    chunk_rows: int = RANK_ROWS,
 ) -> DataFrame:
     """Add ``rn``: position by falling frequency, then ``tie``, among a prefix's words.
 
-    Rows are numbered in chunks of one frequency and one leading piece of the
-    tie column, so a short prefix with most of the words is spread out. A
-    numeric tie (an insertion position) needs its own ``chunk``.
+    A prefix of up to ``chunk_rows`` words is ordered in one task. Larger ones are cut at approximate quantiles
+    of their own order (frequency, then leading letters) into at most ``RANK_CELLS`` pieces, so
+    what is known about the pieces does not grow with the vocabulary. For a numeric tie (an insertion
+    position) pieces of one frequency can be cut further by ``chunk``, a column that rises with it.
+    ``matches`` is read up to three times: hand in a table.
     """
-    piece = chunk if chunk is not None else F.substring(tie, 1, 3)
-    ordered = matches.withColumn("_down", -F.col("n"))
-    cell = F.struct(F.col("_down"), piece.alias("piece"))
-    return numbered(ordered, keys, ["_down", tie], cell).drop("_down")
+    keys = list(keys)
+    counts = matches.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk_rows)
+    large = materialize(counts)
+    if large.isEmpty():
+        order = W.partitionBy(*keys).orderBy(F.desc("n"), F.asc(tie))
+        return matches.withColumn("rn", F.row_number().over(order).cast("bigint"))
+    text = dict(matches.dtypes)[tie] == "string"
+    ordered = matches.withColumn("_down", -F.col("n")).withColumn("_place", _place(tie, text))
+    at = F.array(*[F.lit(i / RANK_CELLS) for i in range(1, RANK_CELLS)])
+    cut = lookup_join(ordered.select(*keys, "_place"), large.drop("n"), keys, spread=["_place"], counts=large, null_safe=True)
+    cuts = materialize(cut.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_place", at)).alias("_cuts")))
+    placed = lookup_join(ordered, cuts, keys, "left", spread=["_place"], counts=large, null_safe=True)
+    cell = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_place"))), F.lit(0))
+    placed = placed.withColumn("_cell", cell).drop("_cuts", "_place")
+    cell = F.struct("_cell", "_down", chunk.alias("piece")) if chunk is not None else F.col("_cell")
+    return numbered(placed, keys, ["_down", tie], cell).drop("_down", "_cell")
 
 
 def top_words(

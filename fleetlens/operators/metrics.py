@@ -15,6 +15,9 @@ from fleetlens.session import materialize
 LOOKBACK_MS = 1000
 MAX_SAMPLES = 1000
 
+# Sums of whole numbers up to a chunk's end may go beyond a BIGINT.
+_EXACT = "decimal(28,0)"
+
 
 def cpu_totals(df: DataFrame) -> DataFrame:
     """``total`` and ``idle`` from the counters of each row."""
@@ -78,7 +81,8 @@ def lookback_mean(
 ) -> DataFrame:
     """Add ``mean_<col>`` over the samples of the last ``ms`` and the one just before.
 
-    ``ts`` is a timestamp or epoch milliseconds, as everywhere here. Rows less than ``ms`` before
+    Differences of running sums within a chunk, so a long span costs no more than a short one; exact for
+    whole numbers. ``ts`` is a timestamp or epoch milliseconds, as everywhere here. Rows less than ``ms`` before
     the end of their chunk are also shown to the next chunk, and one row per
     chunk stands for all that is older.
     """
@@ -109,26 +113,36 @@ def lookback_mean(
     body = rows.withColumn("_chunk", F.explode(shown)).withColumn("_real", F.col("_chunk") == F.col("_own"))
     both = body.unionByName(heads.withColumn("_real", F.lit(False)), allowMissingColumns=True)
 
-    by_time = W.partitionBy(*keys, "_chunk").orderBy("_t")
-    recent = by_time.rangeBetween(-(span_us - 1), 0)
-    older = by_time.rangeBetween(W.unboundedPreceding, -span_us)
-    edge = F.max_by(F.struct(*cols), F.struct("_t", *tie) if tie else F.col("_t")).over(older)
-    framed = both.select(
+    # Sums up to every row, then a second order of the same chunks: each row again at the time its span begins
+    # with, where the last row before it tells what was summed up by then.
+    by_time = W.partitionBy(*keys, "_chunk").orderBy("_t").rangeBetween(W.unboundedPreceding, W.currentRow)
+    whole = {c for c, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint")}
+    upto = both.select(
         *df.columns,
+        "_chunk",
+        "_t",
         "_real",
-        F.count(F.lit(1)).over(recent).alias("_n"),
-        *[F.sum(c).over(recent).alias(f"_sum_{c}") for c in cols],
-        edge.alias("_edge"),
-    ).filter("_real")
-    if include_edge:
-        more = F.col("_edge").isNotNull().cast("int")
-        means = [
-            ((F.col(f"_sum_{c}") + F.coalesce(F.col("_edge")[c], F.lit(0))) / (F.col("_n") + more)).alias(f"mean_{c}")
-            for c in cols
-        ]
-    else:
-        means = [(F.col(f"_sum_{c}") / F.col("_n")).alias(f"mean_{c}") for c in cols]
-    return framed.select(*df.columns, *means)
+        F.count(F.lit(1)).over(by_time).alias("_n"),
+        *[F.sum(F.col(c).cast(_EXACT) if c in whole else c).over(by_time).alias(f"_sum_{c}") for c in cols],
+    )
+    ends = F.when(F.col("_real"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    events = upto.withColumn("_end", F.explode(ends))
+    at = F.when(F.col("_end"), F.col("_t") - span_us).otherwise(F.col("_t"))
+    sums = [f"_sum_{c}" for c in cols]
+    held = F.when(~F.col("_end"), F.struct("_n", *sums, *cols))
+    order = W.partitionBy(*keys, "_chunk").orderBy("_at", "_end", *tie).rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = events.withColumn("_at", at).withColumn("_before", F.last(held, ignorenulls=True).over(order)).filter("_end")
+    older = F.col("_before._n").isNotNull()
+    n = F.col("_n") - F.coalesce("_before._n", F.lit(0))
+
+    def mean(c: str) -> Column:
+        total = F.col(f"_sum_{c}") - F.coalesce(F.col("_before")[f"_sum_{c}"], F.lit(0))
+        if not include_edge:
+            return total.cast("double") / n
+        edge = F.col("_before")[c]
+        return (total + F.coalesce(edge.cast(_EXACT) if c in whole else edge, F.lit(0))).cast("double") / (n + older.cast("int"))
+
+    return seen.select(*df.columns, *[mean(c).alias(f"mean_{c}") for c in cols])
 
 
 def utilization(total: Column | str, idle: Column | str) -> Column:

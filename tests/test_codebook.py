@@ -81,3 +81,66 @@ def test_unknown_symbols_are_an_error(spark):
 def test_lengths_are_optimal(freqs):
     lengths = codebook._code_lengths(freqs)
     assert sum(f * n for f, n in zip(freqs, lengths)) == least_bits(freqs)
+
+
+def coder(freqs):
+    """Codes as tasks hold them, and a decoder."""
+    import numpy as np
+    import pandas as pd
+
+    book = codebook._assign_codes(pd.DataFrame({"symbol": list(freqs), "freq": list(freqs.values())}))
+    codes, sizes, long = np.zeros(0x110000, np.uint64), np.zeros(0x110000, np.int64), {}
+    for symbol, code, bits in zip(book["symbol"], book["code"], book["bits"]):
+        sizes[ord(symbol)] = bits
+        if bits <= codebook._WORD_BITS:
+            codes[ord(symbol)] = int(code, 2)
+        else:
+            long[ord(symbol)] = int(code, 2)
+    spelled = dict(zip(book["symbol"], book["code"]))
+    return lambda t: codebook._encode_one(t, codes, sizes, long), codebook._Decoder([(c, ord(s)) for s, c in spelled.items()]), spelled
+
+
+@pytest.mark.parametrize("symbols", [2, 12, 60])
+def test_blocks_and_portions(monkeypatch, symbols):
+    """Fibonacci frequencies give codes of up to ``symbols - 1`` bits, beyond a word and beyond the table."""
+    fib = [1, 1]
+    while len(fib) < symbols:
+        fib.append(fib[-1] + fib[-2])
+    encode, decoder, spelled = coder({chr(97 + i): f for i, f in enumerate(fib)})
+    rng = random.Random(symbols)
+    for portion in (256, 1024, 65_536):
+        monkeypatch.setattr(codebook, "PORTION", portion)
+        for n in (0, 1, 2, 255, 256, 257, 512, 3000):
+            text = "".join(rng.choices(list(spelled), [1 + i % 3 * 20 for i in range(symbols)], k=n))
+            data, pad, blocks = encode(text)
+            bits = "".join(spelled[c] for c in text)
+            assert len(blocks) == -(-n // 256) and sum(blocks) == len(bits) and pad == -len(bits) % 8
+            assert data == int("0" * pad + bits or "0", 2).to_bytes((pad + len(bits)) // 8, "big")
+            for given in (blocks, codebook._whole(data, pad, decoder)):
+                assert list(decoder.texts([(b"", 0, []), (data, pad, given), (data, pad, given)])) == ["", text, text]
+
+
+def test_a_long_text_in_bounded_memory():
+    """Beside the text and its code, coding holds a portion, and decoding its lanes."""
+    import time
+    import tracemalloc
+
+    encode, decoder, _ = coder({c: 2**i for i, c in enumerate("abcdefgh ")})
+    text = "".join(random.Random(1).choices("abcdefgh ", range(1, 10), k=200_000)) * 20
+    start = time.perf_counter()
+    tracemalloc.start()
+    data, pad, blocks = encode(text)
+    assert tracemalloc.get_traced_memory()[1] < 2 * len(data) + 100 * codebook.PORTION + 64 * len(blocks)
+    tracemalloc.reset_peak()
+    (back,) = decoder.texts([(data, pad, blocks)])
+    assert tracemalloc.get_traced_memory()[1] < 3 * len(data) + 3 * len(text) + 12 * codebook.LANES * codebook.BLOCK
+    tracemalloc.stop()
+    assert back == text and time.perf_counter() - start < 30
+
+
+def test_decoding_without_blocks(spark, rows):
+    texts = ["the same text " * 100, "", None, "x"]
+    df = corpus(spark, *texts)
+    book = codebook.codebook(codebook.symbol_histogram(df, "text")).cache()
+    packed = codebook.encode_corpus(df, book, "text")
+    assert rows(codebook.decode_corpus(packed.drop("blocks"), book), "id", "decoded") == list(enumerate(texts))

@@ -66,3 +66,23 @@ def test_rank_and_top(spark):
     by_pos = df.withColumn("pos", F.monotonically_increasing_id())
     ranked = keypad.rank_words(by_pos, tie="pos", chunk=F.floor(F.col("pos") / 50))
     assert ranked.filter("prefix = '4'").agg(F.max("rn")).first()[0] == sum(p == "4" for p, _, _ in data)
+
+
+@pytest.mark.parametrize("kind", ["different", "equal", "few"])
+def test_large_prefixes_are_ranked_in_bounded_pieces(spark, kind):
+    """Frequencies all different, all equal, or few: ranks are exact and pieces bounded and even."""
+    rng = random.Random(9)
+    n = {"different": lambda i: i, "equal": lambda i: 1, "few": lambda i: i % 3}[kind]
+    data = [("4" if i % 10 else "5", "".join(rng.choices("abcdefghéz", k=6)) + str(i), n(i)) for i in range(6000)]
+    df = spark.createDataFrame(data, "prefix string, word string, n bigint")
+    ranked = keypad.rank_words(df, chunk_rows=200)
+    got = {(r.prefix, r.word): r.rn for r in ranked.collect()}
+    for prefix in "45":
+        want = [w for _, w in sorted((-n, w) for p, w, n in data if p == prefix)]
+        assert [got[prefix, w] for w in want] == list(range(1, len(want) + 1))
+    place = keypad._place("word", True)
+    at = F.array(*[F.lit(i / keypad.RANK_CELLS) for i in range(1, keypad.RANK_CELLS)])
+    cuts = df.filter("prefix = '4'").agg(F.array_distinct(F.percentile_approx(place, at)).alias("cuts"))
+    cell = F.size(F.filter("cuts", lambda c: c < place))
+    sizes = [r["count"] for r in df.filter("prefix = '4'").crossJoin(cuts).groupBy(cell.alias("cell")).count().collect()]
+    assert len(sizes) <= keypad.RANK_CELLS and max(sizes) < 5400 / 8

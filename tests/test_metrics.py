@@ -79,3 +79,23 @@ def test_keep_newest_half(spark, limit):
     per_cpu = metrics.keep_newest_half(df, ["cpu"], max_samples=50, max_broadcast_rows=limit)
     assert per_cpu.filter("cpu = 'small'").count() == 6
     assert min(r.ts for r in per_cpu.collect()) == 470
+
+
+def test_long_lookbacks_over_whole_numbers_are_exact(spark):
+    """Sums go beyond a BIGINT, and a span of a thousand samples gives the mean of just these."""
+    df = spark.range(3000).selectExpr("id * 10 as ts", "'a' as cpu", f"{2**62} + id * id as total", "id as idle")
+    got = {r.ts: r for r in metrics.lookback_mean(df, ms=10_000, chunk_seconds=12).collect()}
+    for i in range(3000):
+        seen = range(max(0, i - 1000), i + 1)
+        assert got[i * 10].mean_idle == sum(seen) / len(seen)
+        assert got[i * 10].mean_total == float(sum(2**62 + j * j for j in seen)) / len(seen)
+
+
+def test_lookback_needs_one_shuffle_of_the_rows(spark, tmp_path):
+    """Both orders of a chunk's rows use one partitioning; no frame slides over a window."""
+    spark.range(100).selectExpr("id as ts", "'a' as cpu", "id as total", "id as idle").write.parquet(str(tmp_path / "t"))
+    df = metrics.lookback_mean(spark.read.parquet(str(tmp_path / "t")), chunk_seconds=3600)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, -" not in plan and plan.count("Window") >= 2
+    physical = df._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning") <= 3  # the rows' own, and the chunks' ends'
