@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 _CODEBOOK = "symbol string, freq bigint, code string, bits int"
 _ENCODED = "data binary, pad int, blocks array<int>"
 _TABLE_BITS, _WORD_BITS = 16, 32
+_POINT_BITS, _POINT = 21, (1 << 21) - 1
 
 #: Symbols of a block, whose bits are stored; of a portion that is encoded at once; blocks that are decoded side by side.
 BLOCK, PORTION, LANES = 256, 65_536, 8_192
@@ -80,43 +81,52 @@ def codebook(histogram: DataFrame) -> DataFrame:
 
 def _packed(codes: np.ndarray, sizes: np.ndarray, begin: int) -> tuple[np.ndarray, int]:
     """Codes (of at most 32 bits) one after the other from bit ``begin`` on, in 64-bit words, and where they end."""
-    ends = begin + np.cumsum(sizes)
-    words = np.zeros(int(ends[-1]) // 64 + 1, np.uint64)
-    last = ends - 1
-    word, shift = last >> 6, (63 - (last & 63)).astype(np.uint64)
+    last = np.cumsum(sizes, dtype=np.int64)
+    last += begin - 1
+    end = int(last[-1]) + 1
+    words = np.zeros(end // 64 + 1, np.uint64)
+    word, inside = last >> 6, (last & 63).astype(np.uint8)
     # No two codes share a bit, so sums of a word's codes put them next to each other.
-    first = np.flatnonzero(np.diff(word, prepend=-1))
-    words[word[first]] += np.add.reduceat(codes << shift, first)
-    spill = np.flatnonzero((last & 63) + 1 < sizes)  # these begin in the word before, at most one a word
-    words[word[spill] - 1] += codes[spill] >> (64 - shift[spill])
-    return words, int(ends[-1])
+    first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+    words[word[first]] += np.add.reduceat(codes << (63 - inside), first)
+    spill = first[inside[first] + 1 < sizes[first]]  # a word's first code may begin in the word before
+    words[word[spill] - 1] += codes[spill] >> (inside[spill] + np.uint8(1))
+    return words, end
+
+
+def _measured(text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a portion and the lengths of their codes."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    size = sizes.take(points, mode="clip")
+    if not size.all() or int(points.max()) >= len(sizes):
+        raise ValueError(f"no code for {next(c for c in text if ord(c) >= len(sizes) or not sizes[ord(c)])!r}")
+    return points, size
 
 
 def _encode_one(text: str, codes: np.ndarray, sizes: np.ndarray, long: dict[int, int]) -> tuple[bytes, int, list[int]]:
     """A text's codes after ``pad`` zero bits, and the bits of each block; in portions that carry their last bits on."""
     bits: list[np.ndarray] = []
+    points = size = None
     for low in range(0, len(text), PORTION):
-        points = np.frombuffer(text[low : low + PORTION].encode("utf-32-le"), np.uint32)
-        known = points < len(sizes)
-        if not known.all() or not (size := sizes[points]).all():
-            raise ValueError(f"no code for {next(c for c in text if ord(c) >= len(sizes) or not sizes[ord(c)])!r}")
-        bits.append(np.add.reduceat(size, np.arange(0, len(size), BLOCK)))
+        points, size = _measured(text[low : low + PORTION], sizes)
+        bits.append(np.add.reduceat(size, np.arange(0, len(size), BLOCK), dtype=np.int64))
     blocks = np.concatenate(bits) if bits else np.zeros(0, np.int64)
     pad = -int(blocks.sum()) % 8
     out, carry, at = bytearray(), 0, pad  # `at` bits of the next word are there already
     for low in range(0, len(text), PORTION):
-        points = np.frombuffer(text[low : low + PORTION].encode("utf-32-le"), np.uint32)
-        if long and (sizes[points] > _WORD_BITS).any():
-            value, at = (carry >> (64 - at) if at else 0), at
-            for point in points.tolist():
-                value, at = value << int(sizes[point]) | long.get(point, int(codes[point])), at + int(sizes[point])
+        if len(text) > PORTION:
+            points, size = _measured(text[low : low + PORTION], sizes)
+        if long and (size > _WORD_BITS).any():
+            value = carry >> (64 - at) if at else 0
+            for point, n in zip(points.tolist(), size.tolist()):
+                value, at = value << n | (long[point] if n > _WORD_BITS else int(codes[point])), at + n
             whole = at // 64 * 8
             value <<= -at % 64
             data = value.to_bytes(-(-at // 64) * 8, "big")
             out += data[:whole]
             carry, at = int.from_bytes(data[whole:], "big"), at % 64
             continue
-        words, end = _packed(codes[points], sizes[points], at)
+        words, end = _packed(codes.take(points), size, at)
         words[0] += np.uint64(carry)
         whole, at = end // 64, end % 64
         out += words[:whole].astype(">u8").tobytes()
@@ -136,7 +146,7 @@ def encode_corpus(df: DataFrame, book: DataFrame, col: str) -> DataFrame:
     @F.pandas_udf(_ENCODED)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         last = max((point for point, _, _ in shared.value), default=-1)
-        codes, sizes, long = np.zeros(last + 1, np.uint64), np.zeros(last + 1, np.int64), {}
+        codes, sizes, long = np.zeros(last + 1, np.uint64), np.zeros(last + 1, np.uint8), {}
         for point, code, size in shared.value:
             sizes[point] = size
             if size <= _WORD_BITS:
@@ -151,6 +161,12 @@ def encode_corpus(df: DataFrame, book: DataFrame, col: str) -> DataFrame:
     return df.withColumn("_encoded", encode(F.col(col))).select(*df.columns, "_encoded.*")
 
 
+def _threes(data: bytes) -> np.ndarray:
+    """Every byte with the two after it, so that one look-up shows all bits of a table's entry."""
+    one = np.frombuffer(data + bytes(4), np.uint8).astype(np.uint32)
+    return one[:-2] << 16 | one[1:-1] << 8 | one[2:]
+
+
 class _Decoder:
     """Decodes blocks side by side: a step looks up one symbol of each.
 
@@ -159,7 +175,7 @@ class _Decoder:
     """
 
     def __init__(self, codes: list[tuple[str, int]]) -> None:
-        self.sizes, self.points = np.zeros(1 << _TABLE_BITS, np.int64), np.zeros(1 << _TABLE_BITS, np.uint32)
+        self.table = np.zeros(1 << _TABLE_BITS, np.uint32)  # length, then code point
         self.long: dict[str, int] = {}
         for code, point in codes:
             if len(code) > _TABLE_BITS:
@@ -167,45 +183,48 @@ class _Decoder:
                 continue
             first = int(code, 2) << (_TABLE_BITS - len(code))
             span = slice(first, first + (1 << (_TABLE_BITS - len(code))))
-            self.sizes[span], self.points[span] = len(code), point
+            self.table[span] = len(code) << _POINT_BITS | point
 
     def rare(self, data: np.ndarray, at: int, end: int) -> tuple[int, int]:
         """Symbol and length of a code longer than the table's."""
         size = _TABLE_BITS
         while at + size < end:
             size += 1
-            bits = np.unpackbits(data[at // 8 : (at + size) // 8 + 1])[at % 8 : at % 8 + size]
+            some = (data[at // 8 : (at + size) // 8 + 1] >> 16).astype(np.uint8)
+            bits = np.unpackbits(some)[at % 8 : at % 8 + size]
             if (code := "".join(map(str, bits))) in self.long:
                 return self.long[code], size
         raise ValueError("the data does not end with a code")
 
     def lanes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of each lane of bits, row by row, and how many there are."""
-        found, counts = np.zeros((len(starts), most), np.uint32), np.zeros(len(starts), np.int64)
-        at, live = starts.copy(), np.flatnonzero(starts < ends)
+        """Symbols of each lane of bits, a column each, and how many there are; ``data`` as from ``_threes``."""
+        found, counts = np.zeros((most, len(starts)), np.uint32), np.zeros(len(starts), np.int64)
+        live = np.flatnonzero(starts < ends)
+        at, end = starts[live], ends[live]
         for step in range(most):
             if not len(live):
                 break
-            here = at[live]
-            byte = here >> 3
-            three = data[byte].astype(np.int64) << 16 | data[byte + 1].astype(np.int64) << 8 | data[byte + 2]
-            window = three >> (8 - (here & 7)) & 0xFFFF
-            size, point = self.sizes[window], self.points[window]
-            for i in np.flatnonzero(size == 0):
-                point[i], size[i] = self.rare(data, int(here[i]), int(ends[live[i]]))
-            found[live, step] = point
-            counts[live] += 1
-            at[live] = here = here + size
-            if (here > ends[live]).any():
-                raise ValueError("the data does not end with a code")
-            live = live[here < ends[live]]
+            at_byte = data.take(at >> 3)
+            entry = self.table.take((at_byte >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF)
+            size = (entry >> _POINT_BITS).astype(np.int64)
+            if not size.all():
+                for i in np.flatnonzero(size == 0):
+                    entry[i], size[i] = self.rare(data, int(at[i]), int(end[i]))
+            found[step, live] = entry & _POINT
+            at = at + size
+            going = at < end
+            if not going.all():
+                if (at > end).any():
+                    raise ValueError("the data does not end with a code")
+                counts[live[~going]] = step + 1
+                live, at, end = live[going], at[going], end[going]
         if len(live):
             raise ValueError("the data does not end with a code")
         return found, counts
 
     def texts(self, rows: list[tuple[bytes, int, list[int]]]) -> Iterator[str]:
         """Texts of some rows; what is held is bounded by their data and ``LANES`` blocks."""
-        data = np.frombuffer(b"".join(r[0] for r in rows) + bytes(4), np.uint8)
+        data = _threes(b"".join(r[0] for r in rows))
         offsets = np.cumsum([0, *(8 * len(r[0]) for r in rows)])
         ends = [o + pad + np.cumsum(np.array(b, np.int64)) for o, (_, pad, b) in zip(offsets, rows)]
         starts = [np.concatenate([[o + r[1]], e[:-1]]) if len(e) else e for o, r, e in zip(offsets, rows, ends)]
@@ -215,7 +234,7 @@ class _Decoder:
         for low in range(0, len(first), LANES):
             some = slice(low, low + LANES)
             found, counts = self.lanes(data, first[some], last[some], BLOCK)
-            flat = found[np.arange(BLOCK) < counts[:, None]]
+            flat = found.T[np.arange(BLOCK) < counts[:, None]]
             cuts = np.cumsum(np.bincount(owner[some], counts, len(rows)).astype(np.int64))
             for i in np.unique(owner[some]).tolist():
                 mine = flat[cuts[i - 1] if i else 0 : cuts[i]]
@@ -238,11 +257,10 @@ def _portions(rows: list[tuple]) -> Iterator[list[tuple]]:
 
 def _whole(data: bytes, pad: int, decoder: _Decoder) -> list[int]:
     """Bits of the blocks of a text that came without them: its codes are followed one by one."""
-    bits, at, start, blocks, n = np.frombuffer(data + bytes(4), np.uint8), pad, pad, [], 0
+    bits, at, start, blocks, n = _threes(data), pad, pad, [], 0
     while at < 8 * len(data):
-        byte = at >> 3
-        three = int(bits[byte]) << 16 | int(bits[byte + 1]) << 8 | int(bits[byte + 2])
-        size = int(decoder.sizes[three >> (8 - (at & 7)) & 0xFFFF]) or decoder.rare(bits, at, 8 * len(data))[1]
+        entry = int(decoder.table[int(bits[at >> 3]) >> (8 - (at & 7)) & 0xFFFF])
+        size = entry >> _POINT_BITS or decoder.rare(bits, at, 8 * len(data))[1]
         at, n = at + size, n + 1
         if n % BLOCK == 0:
             blocks.append(at - start)
