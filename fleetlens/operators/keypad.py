@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -14,6 +16,9 @@ from fleetlens.session import materialize
 # Fixed value: words shown for a prefix.
 TOP_WORDS = 10
 
+#: Queried prefixes that a stored index is filtered by while it is read.
+PUSHED_PREFIXES = 500
+
 #: Words of a prefix that one task ranks, and pieces that a larger prefix is cut into.
 RANK_ROWS, RANK_CELLS = 1_000_000, 64
 
@@ -55,13 +60,18 @@ def prefix_lookup(
     """Index rows of each queried ``prefix``; one-digit prefixes are hot and get salted.
 
     Of an index stored by prefix length (``digits``) only the folders of queried
-    lengths are read.
+    lengths are read, and of these, for up to ``PUSHED_PREFIXES`` prefixes, the row groups that can hold one.
     """
     wanted = materialize(queries.select("prefix").distinct())
     keys = ["prefix"]
     if "digits" in index.columns:
         wanted = wanted.withColumn("digits", F.length("prefix"))
         keys = ["digits", "prefix"]
+        some = [r["prefix"] for r in wanted.orderBy("prefix").limit(PUSHED_PREFIXES + 1).collect()]
+        if some and len(some) <= PUSHED_PREFIXES:
+            # Lists longer than ten reach Parquet as the range that they span.
+            tens = [F.col("prefix").isin(some[i : i + 10]) for i in range(0, len(some), 10)]
+            index = index.filter(reduce(or_, tens) & F.col("digits").isin(sorted({len(p) for p in some})))
     return lookup_join(index, wanted, keys, max_broadcast_rows=max_broadcast_rows)
 
 

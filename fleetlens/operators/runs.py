@@ -17,6 +17,10 @@ PASS, FAIL = "pass", "fail"
 SKIP_MODES = ("skip", "todo")
 NAME_SEPARATOR = " > "
 
+# Phases of a suite that are timed, and those that its thread takes.
+PHASES = ("collect", "setup", "tests", "environment", "prepare")
+THREAD = ("collect", "setup", "tests")
+
 
 def status_rollup(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Counts per outcome, and the longest and summed duration of the suites."""
@@ -34,21 +38,55 @@ def status_rollup(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def error_groups(runs: DataFrame, task: str = "run_id") -> DataFrame:
-    """Tasks by identical error: ``stack, project, n, task``, a row per task.
+def suite_durations(runs: DataFrame, keys: Sequence[str] = (), file: str = "file_path", phases: Sequence[str] = PHASES) -> DataFrame:
+    """The longest and summed time of every phase (a column of ``runs`` each) over the suites that have a file, and of their threads.
 
-    Errors merge when the stack and, for suites, the project agree; an error
-    without a stack stays alone.
+    A thread's time is that of its phases in ``THREAD``. Without suites all are zero.
     """
+    own = (F.col("type") == "suite") & F.col(file).isNotNull()
+    whole = [p for p in phases if p in THREAD]
+    times = {p: F.when(own, F.coalesce(F.col(p), F.lit(0.0))) for p in phases}
+    rolled = runs.groupBy(*keys).agg(
+        F.count_if(own).alias("files"),
+        *[F.coalesce(f(t), F.lit(0.0)).alias(f"{how}_{p}") for p, t in times.items() for how, f in (("max", F.max), ("sum", F.sum))],
+    )
+    for how in ("max", "sum"):
+        rolled = rolled.withColumn(f"{how}_thread", sum((F.col(f"{how}_{p}") for p in whole), F.lit(0.0)))
+    return rolled
+
+
+def _keyed_errors(runs: DataFrame, task: str) -> DataFrame:
+    """``stack, project, own, task, pos, message``: an error's group is its stack and project, without a stack its own."""
     errors = runs.select(F.posexplode("errors").alias("_pos", "_error"), *runs.columns)
     stack = F.nullif(F.col("_error.stack"), F.lit(""))
     own = F.when(stack.isNull(), F.concat_ws("#", F.col(task).cast("string"), F.col("_pos").cast("string")))
-    keyed = errors.select(
+    return errors.select(
         F.coalesce(stack, F.lit("")).alias("stack"),
         F.coalesce(F.when(F.col("type") == "suite", F.col("project")), F.lit("")).alias("project"),
         F.coalesce(own, F.lit("")).alias("own"),
         F.col(task).alias("task"),
+        F.col("_pos").alias("pos"),
+        F.col("_error.message").alias("message"),
     )
+
+
+def error_messages(runs: DataFrame, task: str = "run_id") -> DataFrame:
+    """A row per group of identical errors: ``stack, project, message, n, task``, message and task those of its first error.
+
+    Merged as in ``error_groups``; the first error is that of the smallest task.
+    """
+    first = F.min(F.struct("task", "pos", "message")).alias("first")
+    groups = _keyed_errors(runs, task).groupBy("stack", "project", "own").agg(F.count(F.lit(1)).alias("n"), first)
+    return groups.select("stack", "project", F.col("first.message").alias("message"), "n", F.col("first.task").alias("task"))
+
+
+def error_groups(runs: DataFrame, task: str = "run_id") -> DataFrame:
+    """Tasks by identical error: ``stack, project, n, task``, a row per task.
+
+    Errors merge when the stack and, for suites, the project agree; an error
+    without a stack stays alone.
+    """
+    keyed = _keyed_errors(runs, task).drop("pos", "message")
     return group_members(keyed, ["stack", "project", "own"], "task").drop("own")
 
 

@@ -348,6 +348,14 @@ SQL: dict[str, str] = {
     "error_groups": f"""WITH {_RUNS} SELECT stack, project, run_id, count(*) OVER (PARTITION BY stack, project, own) AS n
         FROM (SELECT stack, CASE WHEN type = 'suite' THEN project ELSE '' END AS project, run_id,
             CASE WHEN stack = '' THEN run_id END AS own FROM runs WHERE state = 'fail')""",
+    "suite_durations": f"""WITH {_RUNS} SELECT project, count(*) FILTER (WHERE own) AS files, {', '.join(
+        f"round(coalesce({how}({w} * duration) FILTER (WHERE own), 0), 2) AS {how}_{p}"
+        for p, w in (("collect", 0.25), ("setup", 0.125), ("tests", 0.5), ("environment", 0.0625), ("prepare", 0.0625), ("thread", 0.875))
+        for how in ("max", "sum"))}
+        FROM (SELECT *, type = 'suite' AND suite <> '' AS own FROM runs) GROUP BY project""",
+    "error_messages": f"""WITH {_RUNS} SELECT stack, project, first(message ORDER BY run_id) AS message, count(*) AS n, min(run_id) AS run_id
+        FROM (SELECT stack, CASE WHEN type = 'suite' THEN project ELSE '' END AS project, project AS message, run_id,
+            CASE WHEN stack = '' THEN run_id END AS own FROM runs WHERE state = 'fail') GROUP BY stack, project, own""",
     "failure_summary": f"""WITH {_RUNS} SELECT count(*) FILTER (WHERE type = 'suite') AS failed_suites,
         count(*) FILTER (WHERE type = 'test') AS failed_tests, count(*) FILTER (WHERE type = 'suite') AS suite_errors,
         count(*) FILTER (WHERE type = 'test') AS test_errors FROM runs WHERE state = 'fail'""",
@@ -410,6 +418,19 @@ SQL: dict[str, str] = {
           SELECT seen.user_id, min(seen.t) AS t FROM kept JOIN seen
           ON seen.user_id = kept.user_id AND seen.t > kept.t + 21600000 GROUP BY seen.user_id
         ) SELECT user_id, t FROM kept""",
+    "sample_gap": """WITH RECURSIVE seen AS (SELECT user_id, epoch_us(ts) // 1000 AS t FROM events),
+        kept AS (
+          SELECT user_id, min(t) AS t FROM seen GROUP BY user_id
+          UNION ALL
+          SELECT seen.user_id, min(seen.t) AS t FROM kept JOIN seen
+          ON seen.user_id = kept.user_id AND seen.t > kept.t + 21600000 GROUP BY seen.user_id
+        ) SELECT user_id, t FROM kept""",
+    "sample_gap_all": """WITH RECURSIVE seen AS (SELECT event_id, epoch_us(ts) AS us FROM events),
+        kept AS (
+          SELECT min(us) AS us FROM seen
+          UNION ALL
+          SELECT (SELECT min(seen.us) FROM seen WHERE seen.us > kept.us + 1800000000) AS us FROM kept WHERE us IS NOT NULL
+        ) SELECT min(event_id) AS event_id, kept.us // 1000 AS t FROM kept JOIN seen ON seen.us = kept.us GROUP BY kept.us""",
     "stream_measurements": """SELECT '10.1.0.1' AS src_addr, (user_id % 64 + 56)::INT AS bytes,
         '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS addr, event_id AS seq,
         (event_id % 200 + 30)::INT AS ttl, value AS time, 'ms' AS time_unit

@@ -14,6 +14,7 @@ from fleetlens.operators import (
     accounts,
     codebook,
     dedup,
+    gaps,
     inventory,
     keypad,
     latency,
@@ -494,14 +495,14 @@ def cpu_totals(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def cpu_deltas(spark: SparkSession, sf: str) -> DataFrame:
     counters = materialize(tables.cpu_counters(spark, sf))
-    deltas = metrics.counter_deltas(counters, tie=["event_id"], chunk_seconds=86400)
+    deltas = metrics.counter_deltas(counters, tie=["event_id"])
     return deltas.select("event_id", "cpu", "total", "idle", "d_total", "d_idle")
 
 
 @query
 def lookback_mean(spark: SparkSession, sf: str) -> DataFrame:
     means = metrics.lookback_mean(
-        tables.cpu_samples(spark, sf), ms=6 * 3_600_000, tie=["event_id"], chunk_seconds=86400
+        tables.cpu_samples(spark, sf), ms=6 * 3_600_000, tie=["event_id"]
     )
     return means.select("event_id", "cpu", _r("mean_total").alias("mean_total"), _r("mean_idle").alias("mean_idle"))
 
@@ -509,7 +510,7 @@ def lookback_mean(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def lookback_mean_no_edge(spark: SparkSession, sf: str) -> DataFrame:
     means = metrics.lookback_mean(
-        tables.cpu_samples(spark, sf), ms=6 * 3_600_000, tie=["event_id"], chunk_seconds=86400, include_edge=False
+        tables.cpu_samples(spark, sf), ms=6 * 3_600_000, tie=["event_id"], include_edge=False
     )
     return means.select("event_id", "cpu", _r("mean_total").alias("mean_total"), _r("mean_idle").alias("mean_idle"))
 
@@ -529,7 +530,7 @@ def utilization(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def cpu_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = reports.cpu_report(
-        tables.cpu_samples(spark, sf), ms=12 * 3_600_000, tie=["event_id"], chunk_seconds=86400
+        tables.cpu_samples(spark, sf), ms=12 * 3_600_000, tie=["event_id"]
     )
     return rows.select("event_id", "utilization")
 
@@ -779,6 +780,22 @@ def error_groups(spark: SparkSession, sf: str) -> DataFrame:
     return groups.withColumnRenamed("task", "run_id")
 
 
+@query
+def suite_durations(spark: SparkSession, sf: str) -> DataFrame:
+    """Phases of suites, as shares of their time; every third suite has no file."""
+    shares = dict(zip(runs.PHASES, (0.25, 0.125, 0.5, 0.0625, 0.0625)))
+    timed = tables.task_runs(spark, sf).select(
+        "project", "type", F.nullif("suite", F.lit("")).alias("file_path"), *[(F.col("duration") * w).alias(p) for p, w in shares.items()]
+    )
+    rolled = runs.suite_durations(timed, ["project"])
+    return rolled.select("project", "files", *[_r(c, 2).alias(c) for c in rolled.columns if c not in ("project", "files")])
+
+
+@query
+def error_messages(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.error_messages(tables.task_runs(spark, sf)).withColumnRenamed("task", "run_id")
+
+
 @query
 def failure_summary(spark: SparkSession, sf: str) -> DataFrame:
     return runs.failure_summary(tables.task_runs(spark, sf))
@@ -980,6 +997,22 @@ def stream_sample_gap(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
 
 
+@query
+def sample_gap(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows from a table."""
+    rows = tables.table(spark, sf, "events").select("user_id", "ts", "event_id")
+    kept = gaps.sample_gap(rows, ["user_id"], 6 * 3_600_000, tie=["event_id"])
+    return kept.select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+
+
+@query
+def sample_gap_all(spark: SparkSession, sf: str) -> DataFrame:
+    """One series of all events."""
+    rows = tables.table(spark, sf, "events").withColumn("all", F.lit(0))
+    kept = gaps.sample_gap(rows, ["all"], 1_800_000, tie=["event_id"], chunk_seconds=86_400)
+    return kept.select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+
+
 @query
 def stream_measurements_checked(spark: SparkSession, sf: str) -> DataFrame:
     """Both halves: replies of the resolved address, and the others with what is wrong."""

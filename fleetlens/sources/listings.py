@@ -10,6 +10,10 @@ HASH_LINE = r"(?s)^([A-Fa-f0-9]+) ([0-9]+) (.*?)\r?$"
 LATIN_LETTER = "[a-zA-Z]"
 
 
+#: Row groups of a stored prefix index.
+PREFIX_GROUP_BYTES = 4 * 1024**2
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines as the file has them: only LF ends a line, a CR is kept."""
     return spark.read.option("lineSep", "\n").text(path)
@@ -90,9 +94,16 @@ def read_word_counts(spark: SparkSession, path: str) -> DataFrame:
     return numbers.groupBy("word").agg(F.max_by("n", "pos").alias("n"))
 
 
-def write_prefix_index(index: DataFrame, path: str) -> None:
-    """Store a prefix index in one folder per prefix length, for lookups to prune."""
-    index.withColumn("digits", F.length("prefix")).write.mode("overwrite").partitionBy("digits").parquet(path)
+def write_prefix_index(index: DataFrame, path: str, group_bytes: int = PREFIX_GROUP_BYTES) -> None:
+    """Store a prefix index for lookups that read little of it.
+
+    One folder per prefix length. The files of a folder hold ranges of prefixes, in order and in small row groups, so that
+    the statistics of the row groups show which of them a queried prefix can be in.
+    """
+    sized = index.withColumn("digits", F.length("prefix"))
+    order = ["digits", "prefix", *[c for c in index.columns if c == "word"]]  # a hot prefix is split by its words
+    dealt = sized.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.write.mode("overwrite").option("parquet.block.size", group_bytes).partitionBy("digits").parquet(path)
 
 
 def read_prefix_index(spark: SparkSession, path: str) -> DataFrame:

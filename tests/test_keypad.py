@@ -86,3 +86,38 @@ def test_large_prefixes_are_ranked_in_bounded_pieces(spark, kind):
     cell = F.size(F.filter("cuts", lambda c: c < place))
     sizes = [r["count"] for r in df.filter("prefix = '4'").crossJoin(cuts).groupBy(cell.alias("cell")).count().collect()]
     assert len(sizes) <= keypad.RANK_CELLS and max(sizes) < 5400 / 8
+
+
+def scanned_rows(df):
+    """Rows that the scans of an executed plan gave."""
+    df.collect()
+    todo, seen = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.finalPhysicalPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif name == "FileSourceScanExec" and "prefix" in node.schema().fieldNames() and "word" in node.schema().fieldNames():
+            seen += node.metrics().apply("numOutputRows").value()
+        else:
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+    return seen
+
+
+def test_a_stored_index_is_read_where_the_prefix_can_be(spark, tmp_path):
+    from fleetlens.sources import listings
+
+    rng = random.Random(6)
+    words = spark.createDataFrame([("".join(rng.choices("adgjmptw", k=6)),) for _ in range(20_000)], "word string")
+    index = keypad.prefix_index(words)
+    listings.write_prefix_index(index, str(tmp_path / "i"), group_bytes=16 * 1024)
+    stored = listings.read_prefix_index(spark, str(tmp_path / "i"))
+    for wanted in (["2345"], ["23", "9999", "234567"], [f"{a}{b}2" for a in range(2, 10) for b in (2, 5)]):
+        queries = spark.createDataFrame([(p,) for p in wanted], "prefix string")
+        found = keypad.prefix_lookup(queries, stored)
+        want = keypad.prefix_lookup(queries, index)
+        assert sorted(map(tuple, found.select("prefix", "word").collect())) == sorted(map(tuple, want.select("prefix", "word").collect()))
+        assert scanned_rows(found) <= want.count() + 1500 * len(wanted) < index.count() / 3
