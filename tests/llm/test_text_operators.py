@@ -328,3 +328,54 @@ def test_redaction_keeps_rows_and_columns(odd, rows):
 def test_pieces_need_a_fitting_length(spark):
     with pytest.raises(Exception, match="length"):
         packing.pack(spark.createDataFrame([(1, 3000)], "doc_id long, length long"), 2048).collect()
+
+
+PROSE = [
+    "At MIT the student kept her driving license under the desk.",
+    "The BSD machine ran under a desk while the license plate fell",
+    "The museum under the hill needs a creative license; commons are public.",
+    "Das Haus steht mit einer license under water",
+    "Under the terms of the contract the general gave a public license to the Apache tribe, version 2.",
+]
+LICENSED = [
+    ("This software uses the MIT License", "mit"), ("Licensed under the MIT Licence", "mit"), ("License: GPLv3", "gpl"),
+    ("SPDX-License-Identifier: Apache-2.0", "apache"), ("under the (new) BSD Licence", "bsd"), ("see the Apache licence, version 2.0", "apache"),
+]
+
+
+def test_license_labels_on_prose(docs):
+    some = docs(list(enumerate([*PROSE, *(t for t, _ in LICENSED)])))
+    got = {r.doc_id: r for r in licenses.license_report(licenses.find_licenses(some)).collect()}
+    for i, label in enumerate([*[""] * len(PROSE), *(label for _, label in LICENSED)]):
+        assert (got[i].labels, got[i].score) == (label, 1.0 if label else 0.0), got[i]
+
+
+def test_wordings_against_brute_force():
+    rng = random.Random(8)
+    wordings = [("a", b"p q r".split()), ("b", b"q p q s t".split()), ("c", b"s".split())]
+    for _ in range(500):
+        words = rng.choices([b"p", b"q", b"r", b"s", b"t", b"z"], k=rng.randrange(25))
+        finder = licenses.Finder([], [], {w: rng.randrange(9) for w in b"p q r s t".split()}, 0.9, 64, wordings)
+        found = {label for label, _, _ in finder.find(b" ".join(words).decode())[3]}
+        want = set()
+        for label, wording in wordings:
+            most = len(wording) + len(wording) // 4
+            for start in range(len(words)):
+                rest = iter(words[start : start + most])
+                if all(w in rest for w in wording):
+                    want.add(label)
+        assert found == want
+
+
+def test_the_positional_filter_prunes():
+    """Blocks with a template's rare words, but too few of the later ones, aren't looked into; none that hold it is missed."""
+    rng = random.Random(4)
+    template = [f"t{i}".encode() for i in range(20)]
+    finder = licenses.Finder([("t", template)], [], {w: i for i, w in enumerate(template)}, 0.8, 64)
+    held = 0
+    for _ in range(300):
+        some = rng.sample(template, rng.randrange(4, 21))
+        text = b" ".join(rng.sample([*some, *(b"x%d" % i for i in range(40 - len(some)))], 40)).decode()
+        held += bool(finder.find(text)[2])
+        assert bool(finder.find(text)[2]) == (len(some) >= 16)
+    assert held and finder.verified < 0.8 * finder.tried
