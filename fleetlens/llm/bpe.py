@@ -134,6 +134,7 @@ class Memo:
 
     def __init__(self, entries: int):
         self.entries, self.young, self.old = entries, {}, {}
+        self.long: list[str] = []
 
     def get(self, key: str) -> bytes | None:
         got = self.young.get(key)
@@ -141,7 +142,16 @@ class Memo:
             self.young[key] = got
         return got
 
+    def put(self, key: str, value: bytes) -> None:
+        """Long keys are remembered until the next ``age`` only, so that the entries bound the size."""
+        self.young[key] = value
+        if len(key) > common.MEMO_CHARS:
+            self.long.append(key)
+
     def age(self) -> None:
+        for key in self.long:
+            self.young.pop(key, None)
+        self.long.clear()
         if len(self.young) > self.entries:
             self.young, self.old = {}, self.young
 
@@ -181,11 +191,11 @@ class Encoder:
         for piece in self.find(" " + " ".join(new)) if new else ():
             if piece[0] == " ":  # no word holds a space
                 if ids:
-                    self.words.young[new[at]] = b"".join(ids)
+                    self.words.put(new[at], b"".join(ids))
                 at, ids = at + 1, []
             ids.append(self.piece(piece))
         if ids:
-            self.words.young[new[at]] = b"".join(ids)
+            self.words.put(new[at], b"".join(ids))
 
     def whole(self, text: str) -> bytes:
         return b"".join(map(self.piece, self.find(text)))
@@ -194,7 +204,8 @@ class Encoder:
         got = self.pieces.get(piece)
         if got is None:
             ids = self.merge(piece.encode())
-            got = self.pieces.young[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            got = struct.pack(f"<{len(ids)}I", *ids)
+            self.pieces.put(piece, got)
         return got
 
 

@@ -11,6 +11,8 @@ from fleetlens.session import materialize
 
 #: Memoised results of a Python worker are dropped beyond so many entries.
 MEMO_ENTRIES = 200_000
+#: Longer keys are not memoised: entries times this many characters bound a memo's size.
+MEMO_CHARS = 64
 #: Texts of a batch are worked on in portions of about so many characters.
 PORTION_CHARS = 2_000_000
 

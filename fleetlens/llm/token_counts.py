@@ -11,6 +11,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetlens.llm import common
 
+#: Longer pre-tokens (a text without spaces is one) are merged on their own.
+LONG_BYTES = 1024
+
 _NO_PAIR = np.iinfo(np.int64).max
 #: Characters at which Python splits a text although they aren't white space to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -63,8 +67,76 @@ class Merges:
         self.pattern = split["pattern"]["Regex"]
         self.added = [a["content"] for a in file["added_tokens"]]
 
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols."""
+        pair = left << 32 | right
+        at = np.searchsorted(self.keys, pair)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == pair, self.ranks[at], _NO_PAIR)
+
+    def long_count(self, piece: bytes) -> int:
+        """Number of tokens of a long pre-token: rank by rank, each at all its places at once.
+
+        Places are kept by rank, symbols are linked, and after a rank only the pairs beside changed places are
+        looked up. So the work follows the merges, not the length times the number of ranks.
+        """
+        n = len(piece)
+        symbols = self.inner[np.frombuffer(piece, dtype=np.uint8)]
+        symbols[-1] = self.last[piece[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # n and -1: none
+        alive = np.ones(n, dtype=bool)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def put(at: np.ndarray) -> None:
+            """Note the ranks of the pairs that begin at some places."""
+            at = at[after[at] < n]
+            found = self.pair_ranks(symbols[at], symbols[after[at]])
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else []
+            for a, b in zip(starts, [*starts[1:], len(found)]):
+                rank = int(found[a])
+                if rank != _NO_PAIR:
+                    if rank not in places:
+                        heappush(ranks, rank)
+                    places.setdefault(rank, []).append(at[a:b])
+
+        put(np.arange(n))
+        while ranks:
+            rank = heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(rank)))
+            at = at[alive[at]]
+            at = at[after[at] < n]
+            hits = at[self.pair_ranks(symbols[at], symbols[after[at]]) == rank]
+            if len(hits) == 0:
+                continue
+            # Of hits that overlap ("aaa"), every second one from the left.
+            first = np.r_[True, after[hits[:-1]] != hits[1:]]
+            run = np.cumsum(first) - 1
+            hits = hits[(np.arange(len(hits)) - np.flatnonzero(first)[run]) % 2 == 0]
+            gone = after[hits]
+            symbols[hits], alive[gone] = self.made[rank], False
+            after[hits] = after[gone]
+            inner = hits[after[hits] < n]
+            before[after[inner]] = inner
+            left = before[hits]
+            put(np.union1d(hits, left[left >= 0]))
+        return int(alive.sum())
+
     def counts(self, pieces: list[bytes]) -> np.ndarray:
         """Number of tokens of each non-empty pre-token."""
+        long = [i for i, p in enumerate(pieces) if len(p) > LONG_BYTES]
+        if not long:
+            return self.short_counts(pieces)
+        out = np.zeros(len(pieces), dtype=np.int64)
+        short = [i for i, p in enumerate(pieces) if len(p) <= LONG_BYTES]
+        out[short] = self.short_counts([pieces[i] for i in short])
+        out[long] = [self.long_count(pieces[i]) for i in long]
+        return out
+
+    def short_counts(self, pieces: list[bytes]) -> np.ndarray:
+        """The same for pre-tokens side by side, in rounds over all of their symbols."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         out = np.zeros(len(pieces), dtype=np.int64)
         symbols = self.inner[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
@@ -75,11 +147,8 @@ class Merges:
         while len(lengths):
             starts, where = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(lengths)), lengths)
             rank = np.full(len(symbols), _NO_PAIR)
-            pair = symbols[:-1] << 32 | symbols[1:]
-            at = np.searchsorted(self.keys, pair)
-            at[at == len(self.keys)] = 0
-            known = (self.keys[at] == pair) & (where[:-1] == where[1:])
-            rank[:-1][known] = self.ranks[at[known]]
+            inside = where[:-1] == where[1:]
+            rank[:-1][inside] = self.pair_ranks(symbols[:-1][inside], symbols[1:][inside])
             least = np.minimum.reduceat(rank, starts)
             out[owner] = lengths
             hits = np.flatnonzero((rank == least[where]) & (rank != _NO_PAIR))
@@ -132,7 +201,11 @@ class Counter:
         distinct = list({p for pieces in made for p in pieces})
         count = dict(zip(distinct, self.merges.counts(distinct).tolist()))
         known.update((w, sum(map(count.__getitem__, pieces))) for w, pieces in zip(new, made))
-        return [n + sum(map(known.__getitem__, ws)) for n, ws in zip(added, words)]
+        counts = [n + sum(map(known.__getitem__, ws)) for n, ws in zip(added, words)]
+        for w in new:
+            if len(w) > common.MEMO_CHARS:
+                del known[w]
+        return counts
 
 
 _counters: dict[str, Counter] = {}

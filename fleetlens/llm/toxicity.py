@@ -162,7 +162,9 @@ class Scorer:
         for i, c in enumerate(chunks):
             got = known.get(c)
             if got is None:
-                got = known[c] = self.chunk(c)
+                got = self.chunk(c)
+                if len(c) <= common.MEMO_CHARS:
+                    known[c] = got
             if got:
                 hits.append((i, got))
         used = mentioned = most = 0.0
