@@ -14,6 +14,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,6 +50,8 @@ HEAD_CHARS, KEY_BYTES = 32, 30
 ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 OPENSSH = b"openssh-key-v1\0"
 
+_JSON, _BLANK = json.JSONDecoder(), re.compile(r"[ \t\r\n]*")
+
 #: In the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "derhex")
 
@@ -62,33 +65,57 @@ def decoded(text: str) -> bytes | None:
         return None
 
 
+def element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """Tag, start and end of the content of the DER element at ``at``; None if it doesn't fit."""
+    if at + 2 > end:
+        return None
+    tag, length, at = data[at], data[at + 1], at + 2
+    if length & 0x80:
+        n = length & 0x7F
+        if not 1 <= n <= 4 or at + n > end or data[at] == 0:
+            return None
+        length, at = int.from_bytes(data[at : at + n], "big"), at + n
+        if length < 0x80:
+            return None  # the short form was due
+    return (tag, at, at + length) if at + length <= end else None
+
+
 def elements(data: bytes) -> list[tuple[int, bytes]] | None:
     """Tags and contents of DER elements that fill ``data`` exactly; None if they don't."""
     out, at = [], 0
     while at < len(data):
-        if at + 2 > len(data):
-            return None
-        tag, length, at = data[at], data[at + 1], at + 2
-        if length & 0x80:
-            n = length & 0x7F
-            if not 1 <= n <= 4 or at + n > len(data) or data[at] == 0:
-                return None
-            length, at = int.from_bytes(data[at : at + n], "big"), at + n
-            if length < 0x80:
-                return None  # the short form was due
-        if at + length > len(data):
+        found = element(data, at, len(data))
+        if found is None:
             return None
-        out.append((tag, data[at : at + length]))
-        at += length
+        out.append((found[0], data[found[1] : found[2]]))
+        at = found[2]
     return out
 
 
-def nested(data: bytes, depth: int = 0) -> bool:
-    """Whether every constructed element's length is filled by its own elements."""
-    parts = elements(data)
-    if not parts or depth > 16:
-        return False
-    return all(not tag & 0x20 or not content or nested(content, depth + 1) for tag, content in parts)
+def broken(data: bytes) -> list[int] | None:
+    """None if every constructed element is filled by its own elements, however deep they lie.
+
+    Else where the constructed elements begin that hold what doesn't fit: none of them is sound on its own.
+    """
+    at, open_ends, starts = 0, [len(data)], []
+    if not data:
+        return [0]
+    while True:
+        while len(open_ends) > 1 and at == open_ends[-1]:
+            open_ends.pop()
+            starts.pop()
+        if at == len(data):
+            return None
+        found = element(data, at, open_ends[-1])
+        if found is None:
+            return starts or [0]
+        tag, content, end = found
+        if tag & 0x20 and content < end:
+            open_ends.append(end)
+            starts.append(at)
+            at = content
+        else:
+            at = end
 
 
 def private_key(data: bytes | None) -> bool:
@@ -98,7 +125,7 @@ def private_key(data: bytes | None) -> bool:
     if data.startswith(OPENSSH):
         return True
     top = elements(data)
-    if not top or len(top) != 1 or top[0][0] != 0x30 or not nested(data):
+    if not top or len(top) != 1 or top[0][0] != 0x30 or broken(data) is not None:
         return False
     inner = elements(top[0][1]) or []
     if len(inner) == 2 and inner[0][0] == 0x30 and inner[1][0] == 0x04:
@@ -108,12 +135,19 @@ def private_key(data: bytes | None) -> bool:
 
 
 def der_size(head: bytes) -> int:
-    """Bytes of the key that may begin so, zero if none does: a sequence that starts with a version or a sequence."""
+    """Bytes of the key that may begin so, zero if none does: a sequence that starts with a version, or an algorithm's sequence.
+
+    The headers alone tell: lengths must fit into each other.
+    """
     if len(head) < 8 or head[0] != 0x30:
         return 0
     n = head[1] & 0x7F if head[1] & 0x80 else 0
     length, body = (int.from_bytes(head[2 : 2 + n], "big") if n else head[1]), head[2 + n :]
-    begins = body[:3] in (b"\x02\x01\0", b"\x02\x01\1") or body[:1] == b"\x30"
+    begins = body[:3] in (b"\x02\x01\0", b"\x02\x01\1")
+    if body[:1] == b"\x30":
+        inner = element(body + bytes(8), 0, length)
+        # The algorithm is named first.
+        begins = inner is not None and (body[inner[1] : inner[1] + 1] in (b"\x06", b"") or inner[1] >= len(body))
     return 2 + n + length if n <= 4 and begins and 2 + n + length >= KEY_BYTES else 0
 
 
@@ -151,13 +185,44 @@ def unhex(text: str) -> bytes:
     return bytes.fromhex(text[: len(text) // 2 * 2])
 
 
-def key_end(text: str, at: int, chars: re.Pattern, decode, per_byte: tuple[int, int]) -> int:
-    """Where the private key ends whose encoding begins at ``at``, or -1."""
+class Runs:
+    """Runs of an encoding over line ends, each looked at once however many places in it are asked about."""
+
+    def __init__(self, text: str, chars: re.Pattern):
+        self.text, self.chars = text, chars
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.before: list[int] = []
+
+    def left(self, at: int) -> int:
+        """Characters of the encoding from ``at`` to the end of its run."""
+        if not self.ends or not self.starts[0] <= at < self.ends[-1]:
+            self.starts, self.ends, self.before, total, place = [], [], [], 0, at
+            while m := self.chars.match(self.text, place):
+                self.starts.append(place)
+                self.ends.append(m.end())
+                self.before.append(total)
+                total += m.end() - place
+                gap = GAP.match(self.text, m.end())
+                if not gap:
+                    break
+                place = gap.end()
+        i = bisect_right(self.starts, at) - 1
+        return self.before[-1] + self.ends[-1] - self.starts[-1] - self.before[i] - (at - self.starts[i])
+
+
+def key_end(text: str, at: int, chars: re.Pattern, decode, per_byte: tuple[int, int], runs: Runs, doomed: set[int]) -> int:
+    """Where the private key ends whose encoding begins at ``at``, or -1.
+
+    ``doomed``: places where an element begins that has been found unsound as a part of another.
+    """
 
     def read(size: int) -> tuple[bytes, int]:
         some, end = joined(text, at, chars, -(-size * per_byte[0] // per_byte[1]))
         return (decode(some) or b"")[:size], end
 
+    if at in doomed:
+        return -1
     head = decode(joined(text, at, chars, HEAD_CHARS)[0]) or b""
     if head.startswith(OPENSSH):
         size, data, end = 256, b"", at
@@ -171,17 +236,26 @@ def key_end(text: str, at: int, chars: re.Pattern, decode, per_byte: tuple[int,
                 return chars.match(text, at).end()  # cut off: the rest of its line
             size = max(need, 2 * size)
     size = der_size(head)
-    if not size:
+    if not size or -(-size * per_byte[0] // per_byte[1]) > runs.left(at):
         return -1
     data, end = read(size)
-    return end if len(data) == size and private_key(data) else -1
+    if len(data) != size:
+        return -1
+    if private_key(data):
+        return end
+    # In one line, bytes that begin with a character lie at known places.
+    if end - at == -(-size * per_byte[0] // per_byte[1]):
+        for start in broken(data) or ():
+            if start * per_byte[0] % per_byte[1] == 0:
+                doomed.add(at + start * per_byte[0] // per_byte[1])
+    return -1
 
 
 def keys_in(text: str, start: re.Pattern, chars: re.Pattern, decode, per_byte: tuple[int, int]) -> Iterator[tuple[int, int]]:
     """Places of encoded private keys, wherever in a run of ``chars`` they begin."""
-    at = 0
+    at, runs, doomed = 0, Runs(text, chars), set()
     while m := start.search(text, at):
-        end = key_end(text, m.start(), chars, decode, per_byte)
+        end = key_end(text, m.start(), chars, decode, per_byte, runs, doomed)
         if end > 0:
             yield m.start(), end
         at = max(m.start() + 1, end)
@@ -207,18 +281,46 @@ def tokens_in(text: str) -> Iterator[tuple[int, int]]:
     for m in DOTTED.finditer(text):
         parts, at = m[0].split("."), m.start()
         for i in range(len(parts) - 2):
-            for h in HEADER.finditer(parts[i]):
-                if not OBJECT.match(decoded(parts[i][h.start() :][:HEAD_CHARS]) or b"x"):
-                    continue
-                if json_object(parts[i + 1]) is None:
-                    break  # whatever the header is
-                head = json_object(parts[i][h.start() :])
-                if head and isinstance(head.get("alg"), str):
-                    yield at + h.start(), at + sum(map(len, parts[i : i + 3])) + 2
-                    break
+            start = header_in(parts[i], parts[i + 1])
+            if start >= 0:
+                yield at + start, at + sum(map(len, parts[i : i + 3])) + 2
             at += len(parts[i]) + 1
 
 
+def header_in(part: str, payload: str) -> int:
+    """Where in a part a token's header begins that reaches to its end, or -1.
+
+    Places of one remainder by four are suffixes of the same bytes, which are decoded once; an object that
+    ends early, or breaks off, is given up where it does.
+    """
+    bodies: dict[int, tuple[int, str | None]] = {}
+    checked = False
+    for h in HEADER.finditer(part):
+        at = h.start()
+        if not OBJECT.match(decoded(part[at : at + HEAD_CHARS]) or b"x"):
+            continue
+        if not checked:
+            if json_object(payload) is None:
+                return -1  # whatever the header is
+            checked = True
+        if at % 4 not in bodies:
+            data = decoded(part[at:])
+            bodies[at % 4] = (at, data and data.decode("latin-1"))
+        first, body = bodies[at % 4]
+        if not body:
+            continue
+        offset = (at - first) // 4 * 3
+        try:
+            _, end = _JSON.raw_decode(body, _BLANK.match(body, offset).end())
+        except (ValueError, RecursionError):
+            continue
+        if _BLANK.match(body, end).end() == len(body):
+            head = json_object(part[at:])
+            if head and isinstance(head.get("alg"), str):
+                return at
+    return -1
+
+
 def json_object(part: str) -> dict | None:
     """What a part of a token encodes, if it is a JSON object."""
     try:
