@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.llm import common
 from fleetlens.llm.token_counts import byte_letters
+from fleetlens.session import materialize
 
 #: Pieces are packed in blocks of so many, each apart, so no task holds more at once.
 BLOCK_PIECES = 1024
@@ -32,6 +33,8 @@ BLOCK_PIECES = 1024
 HALF = 0.5
 #: Sequence numbers of a task start at its partition's number times this.
 SEQUENCES_PER_TASK = 2**40
+#: Numbers of sequences of gathered pieces begin here; blocks of them that a task packs.
+GATHERED, BLOCKS_GATHERED = 2**62, 8
 
 #: tiktoken keeps an entry per character of a white-space run and fails beyond about a million; longer runs than this don't go there.
 SPACE_RUN = 100_000
@@ -192,30 +195,40 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def placed(
-    batches: Iterator[pa.RecordBatch], at: int, capacity: int, block: int = BLOCK_PIECES
+    batches: Iterator[pa.RecordBatch], at: int, capacity: int, block: int = BLOCK_PIECES, gathered: bool = False
 ) -> Iterator[pa.RecordBatch]:
-    """A task's pieces, their length in column ``at``, with ``sequence_id`` and ``offset``, block by block."""
+    """A task's pieces, their length in column ``at``, with ``sequence_id`` and ``offset``, block by block.
 
-    def packed(rows: pa.Table, number: Iterator[int]) -> Iterator[pa.RecordBatch]:
+    What does not fill a block, but for pieces that fill a sequence, is left without a place; of ``gathered`` pieces
+    all get one.
+    """
+
+    def packed(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
         sizes = rows.column(at).to_pylist()
         if any(not 0 < s <= capacity for s in sizes):
             raise ValueError(f"a piece's length must be from 1 to {capacity}")
         order, sequence, offset = [], [], []
         whole = [[i] for i, s in enumerate(sizes) if s == capacity]
         rest = [i for i, s in enumerate(sizes) if s < capacity]
-        for members in whole + [[rest[j] for j in w] for w in windows([sizes[i] for i in rest], capacity)]:
+        full = gathered or not last
+        for members in whole + [[rest[j] for j in w] for w in (windows([sizes[i] for i in rest], capacity) if full else ())]:
             place, own = 0, next(number)
             for i in members:
                 order.append(i)
                 sequence.append(own)
                 offset.append(place)
                 place += sizes[i]
+        if not full:
+            order += rest
+            sequence += [None] * len(rest)
+            offset += [None] * len(rest)
         out = rows.take(pa.array(order, pa.int64())).combine_chunks()
         for extra in (sequence, offset):
             out = out.append_column(f"_{out.num_columns}", pa.array(extra, pa.int64()))
         yield from out.rename_columns([*rows.column_names, "sequence_id", "offset"]).to_batches()
 
-    number = itertools.count(TaskContext.get().partitionId() * SEQUENCES_PER_TASK)
+    base = GATHERED if gathered else 0
+    number = itertools.count(base + TaskContext.get().partitionId() * SEQUENCES_PER_TASK)
     held, n = [], 0
     for batch in batches:
         while batch.num_rows:
@@ -224,10 +237,23 @@ def placed(
             held.append(part)
             n += part.num_rows
             if n >= block:
-                yield from packed(pa.Table.from_batches(held), number)
+                yield from packed(pa.Table.from_batches(held), False)
                 held, n = [], 0
     if held:
-        yield from packed(pa.Table.from_batches(held), number)
+        yield from packed(pa.Table.from_batches(held), True)
+
+
+def gather(first: DataFrame, capacity: int, block: int) -> DataFrame:
+    """Placed pieces, those that their tasks left over included.
+
+    The left ones, less than a block of each task, are dealt to tasks of some blocks each and packed there.
+    """
+    first = materialize(first)
+    left = first.filter("sequence_id is null").drop("sequence_id", "offset")
+    tasks = max(1, left.count() // (BLOCKS_GATHERED * block))
+    at = left.columns.index("length")
+    more = left.repartition(tasks).mapInArrow(lambda batches: placed(batches, at, capacity, block, True), first.schema)
+    return first.filter("sequence_id is not null").unionByName(more)
 
 
 def fields(table: DataFrame) -> str:
@@ -239,15 +265,16 @@ def pack(pieces: DataFrame, capacity: int, block: int = BLOCK_PIECES) -> DataFra
 
     Needs a ``length`` from 1 to ``capacity`` in each row; all columns are kept,
     and ``sequence_id`` and ``offset`` replace columns of these names. Every task
-    packs its own rows, block by block, so nothing is shuffled and no group can
-    be hot. An empty table gives an empty one.
+    packs its own rows, block by block; only what does not fill a block is shuffled,
+    and no group can be hot. An empty table gives an empty one.
     """
     pieces = pieces.drop("sequence_id", "offset")
     at = pieces.columns.index("length")
     assert len(pieces.columns) == len(set(pieces.columns))
-    return pieces.mapInArrow(
+    first = pieces.mapInArrow(
         lambda batches: placed(batches, at, capacity, block), f"{fields(pieces)}, sequence_id long, offset long"
     )
+    return gather(first, capacity, block)
 
 
 def pack_documents(
@@ -260,7 +287,7 @@ def pack_documents(
     text is an empty one (``end_id`` alone). Long texts are cut at every
     ``capacity`` ids. Columns other than ``doc_id`` and ``text`` are left out,
     whatever their names. A task tokenises, cuts and packs a block at a time, so
-    ids leave Python once and no batch holds more than a block's.
+    no batch holds more than a block's ids; see ``pack`` for what does not fill a block.
     """
     shared, end = tokenizer_file(docs, path), end_bytes(end_id)
 
@@ -269,11 +296,12 @@ def pack_documents(
         yield from placed(pieces, PIECE.index("length"), capacity)
 
     texts = common.id_and_text(docs)
-    return texts.mapInArrow(
+    first = texts.mapInArrow(
         run,
         f"{fields(texts.select('doc_id'))}, start long, length long, ids binary, doc_tokens long, "
         "sequence_id long, offset long",
     )
+    return gather(first, capacity, BLOCK_PIECES)
 
 
 def ids_crc32() -> Column:

@@ -144,6 +144,30 @@ def test_packing(spark, tables, odd, empty):
     assert packing.pack_documents(empty, path).isEmpty()
 
 
+@pytest.mark.parametrize("partitions", [1, 64, 256])
+def test_packing_fills_sequences_however_the_table_is_cut(spark, tables, partitions):
+    """Blocks that many small tasks leave unfilled are gathered; every id is in one piece, and no sequence in two steps."""
+    pairs = tables("select doc_id, text from documents", "sf0.01")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(partitions)
+    got = packing.piece_digests(packing.pack_documents(docs, P.path("byte_bpe_50k.json"))).collect()
+    assert check_packed(got, pairs) > 0.97
+    assert all(r.sequence_id is not None and r.offset is not None for r in got)
+
+
+def test_gathered_pieces_go_to_several_tasks(spark):
+    """What is left over is packed by as many tasks as it has blocks for, repeated rows and all."""
+    pieces = spark.range(30_000).selectExpr("cast(null as bigint) as doc_id", "cast(7 + id % 3 * 500 as bigint) as length", "1 as x")
+    got = packing.pack(pieces.repartition(200), 2048, block=256).collect()
+    held = defaultdict(list)
+    for r in got:
+        held[r.sequence_id].append((r.offset, r.length))
+    for parts in held.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
+    assert len(got) == 30_000 and sum(n for p in held.values() for _, n in p) / (2048 * len(held)) > 0.95
+    assert len({i // packing.SEQUENCES_PER_TASK for i in held}) > 5
+
+
 def test_packed_ids_are_pieces(spark, docs):
     path = P.path("byte_bpe_50k.json")
     row = packing.pack_documents(docs([(1, "some words")]), path).first()
