@@ -349,7 +349,7 @@ SQL: dict[str, str] = {
         FROM (SELECT stack, CASE WHEN type = 'suite' THEN project ELSE '' END AS project, run_id,
             CASE WHEN stack = '' THEN run_id END AS own FROM runs WHERE state = 'fail')""",
     "suite_durations": f"""WITH {_RUNS} SELECT project, count(*) FILTER (WHERE own) AS files, {', '.join(
-        f"round(coalesce({how}({w} * duration) FILTER (WHERE own), 0), 2) AS {how}_{p}"
+        f"round(coalesce({how}({w} * duration) FILTER (WHERE own), 0), 6) AS {how}_{p}"
         for p, w in (("collect", 0.25), ("setup", 0.125), ("tests", 0.5), ("environment", 0.0625), ("prepare", 0.0625), ("thread", 0.875))
         for how in ("max", "sum"))}
         FROM (SELECT *, type = 'suite' AND suite <> '' AS own FROM runs) GROUP BY project""",

@@ -788,7 +788,7 @@ def suite_durations(spark: SparkSession, sf: str) -> DataFrame:
         "project", "type", F.nullif("suite", F.lit("")).alias("file_path"), *[(F.col("duration") * w).alias(p) for p, w in shares.items()]
     )
     rolled = runs.suite_durations(timed, ["project"])
-    return rolled.select("project", "files", *[_r(c, 2).alias(c) for c in rolled.columns if c not in ("project", "files")])
+    return rolled.select("project", "files", *[_r(c).alias(c) for c in rolled.columns if c not in ("project", "files")])
 
 
 @query
