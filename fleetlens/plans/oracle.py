@@ -325,6 +325,14 @@ SQL: dict[str, str] = {
     "word_count_roundtrip": f"WITH {_WORDS} SELECT word, n::DOUBLE AS n FROM words WHERE regexp_matches(word, '[a-zA-Z]')",
     "word_lines": r"""SELECT line, count(*) AS n FROM (SELECT regexp_replace(unnest(string_split(text, chr(10))),
         '^\s+|\s+$', '', 'g') AS line FROM documents) WHERE length(line) > 0 GROUP BY line""",
+    # Joining the two smallest weights until one is left costs their sum each time: the least number of bits.
+    "size_report": f"""WITH RECURSIVE {_SYMBOLS}, joined AS (
+          SELECT list_sort(list(freq::BIGINT)) AS weights, 0::BIGINT AS bits FROM symbols
+          UNION ALL
+          SELECT list_sort(list_append(weights[3:], weights[1] + weights[2])), bits + weights[1] + weights[2]
+          FROM joined WHERE len(weights) > 1)
+        SELECT (SELECT count(*) FROM symbols) AS symbols, (SELECT sum(freq)::BIGINT FROM symbols) AS raw_length,
+          max(bits) AS encoded_bits, ceil(max(bits) / 8)::BIGINT AS encoded_length FROM joined""",
     "symbol_histogram": f"WITH {_SYMBOLS} SELECT symbol, freq FROM symbols",
     "codebook_kraft": f"WITH {_SYMBOLS} SELECT count(*) AS symbols, 1.0::DOUBLE AS kraft FROM symbols",
     "encode_roundtrip": "SELECT doc_id, text FROM documents",
@@ -349,8 +357,8 @@ SQL: dict[str, str] = {
         FROM (SELECT stack, CASE WHEN type = 'suite' THEN project ELSE '' END AS project, run_id,
             CASE WHEN stack = '' THEN run_id END AS own FROM runs WHERE state = 'fail')""",
     "suite_durations": f"""WITH {_RUNS} SELECT project, count(*) FILTER (WHERE own) AS files, {', '.join(
-        f"round(coalesce({how}({w} * duration) FILTER (WHERE own), 0), 6) AS {how}_{p}"
-        for p, w in (("collect", 0.25), ("setup", 0.125), ("tests", 0.5), ("environment", 0.0625), ("prepare", 0.0625), ("thread", 0.875))
+        f"round(coalesce({how}({w} * duration) FILTER (WHERE own), 0), 2) AS {how}_{p}"
+        for p, w in (("collect", 3), ("setup", 2), ("tests", 5), ("environment", 1), ("prepare", 4), ("thread", 10))
         for how in ("max", "sum"))}
         FROM (SELECT *, type = 'suite' AND suite <> '' AS own FROM runs) GROUP BY project""",
     "error_messages": f"""WITH {_RUNS} SELECT stack, project, first(message ORDER BY run_id) AS message, count(*) AS n, min(run_id) AS run_id

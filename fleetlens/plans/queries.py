@@ -782,13 +782,13 @@ def error_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def suite_durations(spark: SparkSession, sf: str) -> DataFrame:
-    """Phases of suites, as shares of their time; every third suite has no file."""
-    shares = dict(zip(runs.PHASES, (0.25, 0.125, 0.5, 0.0625, 0.0625)))
+    """Phases of suites, as multiples of their time; every third suite has no file."""
+    shares = dict(zip(runs.PHASES, (3, 2, 5, 1, 4)))
     timed = tables.task_runs(spark, sf).select(
         "project", "type", F.nullif("suite", F.lit("")).alias("file_path"), *[(F.col("duration") * w).alias(p) for p, w in shares.items()]
     )
     rolled = runs.suite_durations(timed, ["project"])
-    return rolled.select("project", "files", *[_r(c).alias(c) for c in rolled.columns if c not in ("project", "files")])
+    return rolled.select("project", "files", *[_r(c, 2).alias(c) for c in rolled.columns if c not in ("project", "files")])
 
 
 @query
