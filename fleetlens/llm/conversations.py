@@ -31,7 +31,7 @@ from fleetlens.session import materialize
 SPACE, ENDS = " \t\n\x0b\x0c\r", ".!?"
 DELETE_COST, REROLE_COST, INSERT_COST, CUT_COST = 3, 2, 2, 1
 
-#: Turns whose numbers differ by less lie in at most two chunks; a task holds a byte for each turn of one.
+#: Numbers of turns that a chunk spans; a task holds the symbols and initials of one chunk's turns, no texts.
 CHUNK_TURNS = 1024
 #: Bounds of the grammar. What they leave uncompressed is evaluated symbol by symbol.
 ROUNDS, PAIRS_A_ROUND, MAX_RULES = 8, 24, 128
