@@ -7,7 +7,7 @@ from collections import Counter
 import corpus_pipeline
 import public_tokenizers as P
 from fleetlens.llm import packing, secret_scan, toxicity
-from tests.llm.test_near_copies import shingles
+from .test_near_copies import shingles
 
 SF = "/root/testdata/sf0.01"
 
