@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import inventory
+from fleetlens.plans import queries
 from fleetlens.sources import files, listings
 
 
@@ -153,3 +154,16 @@ def test_files_are_spread_by_size(spark):
     tasks = files.hash_files(table, task_bytes=1000).select("path", F.spark_partition_id().alias("p")).collect()
     big = [r.p for r in tasks if r.path.startswith("/big")]
     assert len(set(big)) == 4 and len({r.p for r in tasks}) <= 6 and len(tasks) == 44
+
+
+def test_documents_as_files(spark, tmp_path, monkeypatch):
+    """Tasks write folders of bounded size themselves: no checksum file of a writer of Spark's stands next to a document."""
+    monkeypatch.setattr(queries, "FOLDER_FILES", 3)
+    texts = [(f"text {i}", "en") for i in range(7)] + [(None, "de"), ("x", None), ("", "e:n"), ("y", "")]
+    spark.createDataFrame(texts, "text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    root = queries._document_files(spark, str(tmp_path))
+    held = {d: names for d, _, names in os.walk(root) if names}
+    assert max(map(len, held.values())) <= 3 and sum(map(len, held.values())) == len(texts)
+    assert {os.path.basename(d) for d in held} == {"lang=en", "lang=de", "lang=e%3An", "lang=__HIVE_DEFAULT_PARTITION__"}
+    want = sorted((t or "") + "\n" for t, _ in texts)
+    assert sorted(open(os.path.join(d, n)).read() for d, names in held.items() for n in names) == want
