@@ -84,6 +84,9 @@ def children(folder: str) -> Iterator[Entry]:
     """Rows of what a folder holds; of one that cannot be listed nothing."""
     if is_uri(folder):
         store, inner = located(folder)
+        if isinstance(store, fs.LocalFileSystem):
+            yield from _local_children(folder.rstrip("/"), inner)
+            return
         try:
             found = store.get_file_info(fs.FileSelector(inner, recursive=False))
         except OSError as e:
@@ -104,6 +107,29 @@ def children(folder: str) -> Iterator[Entry]:
             yield entry(os.path.join(folder, child.name))
 
 
+def _local_children(folder: str, inner: str) -> Iterator[Entry]:
+    """The same of a local folder, name by name: its list is never held whole."""
+    try:
+        names = os.scandir(inner)
+    except OSError as e:
+        if e.errno not in SCAN_TOLERATES:
+            raise
+        return
+    with names:
+        for child in names:
+            path, link = f"{folder}/{child.name}", child.is_symlink()
+            try:
+                info = child.stat()
+            except OSError as e:
+                if e.errno not in (*SCAN_TOLERATES, errno.ELOOP):
+                    raise
+                if e.errno == errno.EACCES:
+                    yield path, False, link, 0 if link else None
+                continue  # gone, or a link to nowhere
+            folders = stat.S_ISDIR(info.st_mode) and not link
+            yield path, folders, link, 0 if folders or link else info.st_size if stat.S_ISREG(info.st_mode) else None
+
+
 def opened(path: str) -> BinaryIO | fs.NativeFile:
     """A file to be read from its start, in blocks."""
     if is_uri(path):

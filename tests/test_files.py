@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import inventory
 from fleetlens.plans import queries
-from fleetlens.sources import files, listings
+from fleetlens.sources import files, listings, stores
 
 
 def grow(root, depth, dirs, per_dir):
@@ -167,3 +167,15 @@ def test_documents_as_files(spark, tmp_path, monkeypatch):
     assert {os.path.basename(d) for d in held} == {"lang=en", "lang=de", "lang=e%3An", "lang=__HIVE_DEFAULT_PARTITION__"}
     want = sorted((t or "") + "\n" for t, _ in texts)
     assert sorted(open(os.path.join(d, n)).read() for d, names in held.items() for n in names) == want
+
+
+def test_local_folders_are_listed_name_by_name(tmp_path, monkeypatch):
+    """By URI too: no whole list is asked for. Links to nowhere are left out, other links have no size."""
+    grow(str(tmp_path / "t"), 1, 1, 2)
+    for name, to in (("link", "file0.txt"), ("lost", "gone"), ("loop", "loop"), ("up", "..")):
+        os.symlink(to, tmp_path / "t" / name)
+    monkeypatch.setattr(stores.fs, "FileSelector", None)
+    got = sorted((p.removeprefix(f"file://{tmp_path}/t/"), *r) for p, *r in stores.children(f"file://{tmp_path}/t/"))
+    files_, links = [("file0.txt", False, False, 8), ("file1.txt", False, False, 8)], [("link", False, True, 0), ("up", False, True, 0)]
+    assert got == sorted([("dir0", True, False, 0), *files_, *links])
+    assert list(stores.children(f"file://{tmp_path}/gone")) == []
