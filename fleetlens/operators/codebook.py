@@ -7,6 +7,7 @@ Unicode code point (1,114,112), which bounds what is collected or broadcast.
 from __future__ import annotations
 
 import heapq
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,22 +22,41 @@ _POINT_BITS, _POINT = 21, (1 << 21) - 1
 
 #: Symbols of a block, whose bits are stored; of a portion that is encoded at once; blocks that are decoded side by side.
 BLOCK, PORTION, LANES = 256, 65_536, 8_192
+#: Rows that an encoder or a decoder hands on at a time.
+ROWS = 256
+
+
+def _symbols(texts: pa.Array) -> Iterator[str]:
+    """All that the texts hold, in portions of about ``PORTION`` symbols."""
+    some, size = [], 0
+    for value in texts:
+        text = value.as_py() or ""
+        for low in range(0, len(text), PORTION):
+            some.append(text[low : low + PORTION])
+            size += len(some[-1])
+            if size >= PORTION:
+                yield "".join(some)
+                some, size = [], 0
+    if some:
+        yield "".join(some)
 
 
 def symbol_histogram(df: DataFrame, col: str) -> DataFrame:
     """``symbol, freq`` over all texts, per code point.
 
-    Each Arrow batch is counted with one ``bincount``, so what leaves a task is
-    one row per batch and symbol, not one per character.
+    A task counts portions of ``PORTION`` symbols, each with one ``bincount``, into one array over all code points: what
+    leaves it is a row per symbol, and what it holds besides an Arrow batch does not grow with the texts.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freq = np.zeros(sys.maxunicode + 1, np.int64)
         for batch in batches:
-            text = "".join(t for t in batch.column(0).to_pylist() if t)
-            freq = np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32))
-            seen = np.flatnonzero(freq)
-            symbols = pa.array([chr(c) for c in seen], pa.string())
-            yield pa.RecordBatch.from_arrays([symbols, pa.array(freq[seen], pa.int64())], ["symbol", "freq"])
+            for text in _symbols(batch.column(0)):
+                some = np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32))
+                freq[: len(some)] += some
+        seen = np.flatnonzero(freq)
+        symbols = pa.array([chr(c) for c in seen], pa.string())
+        yield pa.RecordBatch.from_arrays([symbols, pa.array(freq[seen], pa.int64())], ["symbol", "freq"])
 
     counts = df.select(col).mapInArrow(count, "symbol string, freq bigint")
     return counts.groupBy("symbol").agg(F.sum("freq").alias("freq"))
@@ -135,16 +155,21 @@ def _encode_one(text: str, codes: np.ndarray, sizes: np.ndarray, long: dict[int,
     return bytes(out), pad, blocks.tolist()
 
 
+def _encoded(made: list[tuple]) -> pa.StructArray:
+    kinds = {"data": pa.binary(), "pad": pa.int32(), "blocks": pa.list_(pa.int32())}
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds.values())], list(kinds))
+
+
 def encode_corpus(df: DataFrame, book: DataFrame, col: str) -> DataFrame:
     """Add ``data``, ``pad`` and ``blocks``: the text's codes in whole bytes after ``pad`` zero bits.
 
     ``blocks`` has the number of bits of every ``BLOCK`` symbols, so that they can be decoded side by side. A task holds
-    a text, its code and about 64 bytes for each of ``PORTION`` symbols.
+    a text, its code and about 64 bytes for each of ``PORTION`` symbols, besides an Arrow batch.
     """
     shared = df.sparkSession.sparkContext.broadcast([(ord(r.symbol), int(r.code, 2), r.bits) for r in book.collect()])
 
-    @F.pandas_udf(_ENCODED)
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(_ENCODED)
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         last = max((point for point, _, _ in shared.value), default=-1)
         codes, sizes, long = np.zeros(last + 1, np.uint64), np.zeros(last + 1, np.uint8), {}
         for point, code, size in shared.value:
@@ -154,9 +179,16 @@ def encode_corpus(df: DataFrame, book: DataFrame, col: str) -> DataFrame:
             else:
                 long[point] = code
         for texts in batches:
-            packed = [(None, None, None) if t is None else _encode_one(t, codes, sizes, long) for t in texts]
-            data, pads, blocks = zip(*packed) if packed else ((), (), ())
-            yield pd.DataFrame({"data": data, "pad": pd.array(pads, dtype="Int32"), "blocks": blocks})
+            made, held = [], 0
+            for value in texts:
+                text = value.as_py()
+                made.append((None, None, None) if text is None else _encode_one(text, codes, sizes, long))
+                held += len(text or "")
+                if held >= PORTION or len(made) == ROWS:
+                    yield _encoded(made)
+                    made, held = [], 0
+            if made:
+                yield _encoded(made)
 
     return df.withColumn("_encoded", encode(F.col(col))).select(*df.columns, "_encoded.*")
 
@@ -278,17 +310,15 @@ def decode_corpus(df: DataFrame, book: DataFrame, name: str = "decoded") -> Data
     """
     shared = df.sparkSession.sparkContext.broadcast([(r.code, ord(r.symbol)) for r in book.collect()])
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         decoder = _Decoder(shared.value)
-        for data, pads, blocks in batches:
-            rows = [
-                (d, int(p), _whole(d, int(p), decoder) if b is None else b)
-                for d, p, b in zip(data, pads, blocks)
-                if d is not None
-            ]
-            texts = (t for some in _portions(rows) for t in decoder.texts(some))
-            yield pd.Series([None if d is None else next(texts) for d in data], dtype=object)
+        for batch in batches:
+            for low in range(0, len(batch[0]), ROWS):
+                some = [*zip(*(column.slice(low, ROWS).to_pylist() for column in batch))]
+                rows = [(d, p, _whole(d, p, decoder) if b is None else b) for d, p, b in some if d is not None]
+                texts = (t for part in _portions(rows) for t in decoder.texts(part))
+                yield pa.array([None if d is None else next(texts) for d, _, _ in some], pa.string())
 
     blocks = F.col("blocks") if "blocks" in df.columns else F.lit(None).cast("array<int>")
     return df.withColumn(name, decode(F.col("data"), F.col("pad"), blocks))

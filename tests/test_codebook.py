@@ -2,6 +2,7 @@ import heapq
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -144,3 +145,22 @@ def test_decoding_without_blocks(spark, rows):
     book = codebook.codebook(codebook.symbol_histogram(df, "text")).cache()
     packed = codebook.encode_corpus(df, book, "text")
     assert rows(codebook.decode_corpus(packed.drop("blocks"), book), "id", "decoded") == list(enumerate(texts))
+
+
+def test_texts_are_counted_in_portions(spark):
+    """Neither a batch nor a long text is counted at once; a task gives a row per symbol, however many batches it has."""
+    texts = ["a" * (2 * codebook.PORTION + 7), None, "", "bc" * 40_000, "é\U0001f600"] * 2
+    portions = [*codebook._symbols(pa.array(texts))]
+    assert max(map(len, portions)) < 2 * codebook.PORTION and "".join(portions) == "".join(t or "" for t in texts)
+    many = spark.createDataFrame([("ab",)] * 25_000, "text string").coalesce(1)  # three batches
+    counted = codebook.symbol_histogram(many, "text")
+    assert sorted(tuple(r) for r in counted.collect()) == [("a", 25_000), ("b", 25_000)]
+
+
+def test_rows_are_handed_on_in_portions(spark):
+    """Rows of a batch leave an encoder and a decoder some at a time, each next to its own."""
+    texts = [None if i % 7 == 0 else "" if i % 5 == 0 else f"{i} " * (i % 11) for i in range(2 * codebook.ROWS + 9)]
+    docs = corpus(spark, *texts, "x" * 200_000, "y").coalesce(1)
+    book = codebook.codebook(codebook.symbol_histogram(docs, "text"))
+    got = codebook.decode_corpus(codebook.encode_corpus(docs, book, "text"), book, "decoded").collect()
+    assert len(got) == len(texts) + 2 and all(r.text == r.decoded for r in got)
