@@ -10,8 +10,9 @@ in few bits, then if all 256 bits do, and are verified by the exact Jaccard
 similarity of their shingles.
 
 The chance that a pair meets depends on its similarity alone: 0.93 at 0.8, 0.95 at
-0.82, 0.99 at 0.9 (measured in the tests). Beyond ``WIDE_ROWS`` names entries are
-by three bytes, as lists of two grow with the table: 0.79, 0.85, 0.98.
+0.82, 0.99 at 0.9 (measured in the tests), and not on the table's size. Lists of two
+bytes grow with the table; a caller may choose lists of three (``list_bytes``), with
+chances of 0.79, 0.85, 0.98.
 
 No list emits all its pairs. At first each member is compared with leaders only (in
 a long list the first is the one nearest to the majority of bits), so that a list
@@ -22,7 +23,8 @@ once more, and pairs of different components, all of them, are looked at.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,7 @@ MIXERS = (
 )
 #: A list's positions lie this far from its first one.
 STEPS = {2: [(1,), (2,), (5,)], 3: [(1, 3), (1, 5), (2, 6), (2, 9), (3, 8), (3, 10), (4, 11), (1, 8), (5, 11)]}
+#: Of more names the lists of one step are compared after those of another, the same pairs in smaller shuffles.
 WIDE_ROWS = 1 << 26
 #: A pair at the similarity differs in 10 bits of its names and 39 of all 256 on average; in more than
 #: these once in 200 pairs. Names by chance differ in so few once in 7000.
@@ -94,9 +97,10 @@ def fingerprints(rows: DataFrame, words_per_shingle: int = WORDS) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "row long, name long, bytes binary")
 
 
-def entries(prints: DataFrame, size: int) -> DataFrame:
-    """``list, name``: the index entries of ``prints(name, bytes)``, by ``size`` positional bytes each."""
-    places = np.array([[i, *((i + s) % BYTES for s in steps)] for steps in STEPS[size] for i in range(BYTES)])
+def entries(prints: DataFrame, steps: Sequence[tuple[int, ...]]) -> DataFrame:
+    """``list, name``: the index entries of ``prints(name, bytes)`` in the lists of some of ``STEPS`` of one size."""
+    size = 1 + len(steps[0])
+    places = np.array([[i, *((i + s) % BYTES for s in some)] for some in steps for i in range(BYTES)])
     number = np.arange(len(places), dtype=np.int64) << 8 * size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +217,7 @@ def compared(listed: DataFrame, pairs: Callable) -> DataFrame:
         for held in whole_lists(batches):
             yield from pairs_of(pairs(held))
 
-    return listed.repartition("list").sortWithinPartitions("list").mapInArrow(run, "a long, b long").distinct()
+    return listed.repartition("list").sortWithinPartitions("list", "name").mapInArrow(run, "a long, b long").distinct()
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -274,19 +278,32 @@ def alike_bits(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     return materialize(pairs.select("a", "b", "bytes_a", "bytes_b").mapInArrow(run, "a long, b long"))
 
 
-def linked_names(prints: DataFrame, rows: DataFrame, words_per_shingle: int, similarity: float, wide_rows: int) -> DataFrame:
+def united(parts: list[DataFrame]) -> DataFrame:
+    """The distinct rows of tables that have each row once."""
+    return parts[0] if len(parts) == 1 else materialize(reduce(DataFrame.unionByName, parts).distinct())
+
+
+def linked_names(
+    prints: DataFrame, rows: DataFrame, words_per_shingle: int, similarity: float, wide_rows: int, list_bytes: int = 2
+) -> DataFrame:
     """``node, component`` of the names that verified links join; ``prints(name, row, bytes)`` has a row per name."""
-    size = 2 if prints.count() <= wide_rows else 3
+    steps = STEPS[list_bytes]
+    turns = [steps] if prints.count() <= wide_rows else [[s] for s in steps]
     firsts = prints.select("name", "row")
-    pairs = alike_bits(materialize(compared(entries(prints, size), first_pairs)), prints)
+    pairs = alike_bits(united([materialize(compared(entries(prints, s), first_pairs)) for s in turns]), prints)
     links = materialize(verified(pairs, candidate_texts(pairs, firsts, rows), words_per_shingle, similarity))
     joined = materialize(common.components(links).withColumnRenamed("node", "name"))
     # Names with a partner once more: what different components of a list have in common.
     paired = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
-    listed = entries(prints.join(paired, "name", "left_semi"), size)
-    grouped = lookup_join(listed, joined, "name", "left", spread=["list"], counts=joined.select("name", F.lit(1).alias("n")))
-    grouped = grouped.select("list", "name", F.coalesce("component", "name").alias("component"))
-    more = materialize(compared(grouped, other_pairs).join(pairs, ["a", "b"], "left_anti"))
+
+    def others(some: Sequence[tuple[int, ...]]) -> DataFrame:
+        listed = entries(prints.join(paired, "name", "left_semi"), some)
+        counts = joined.select("name", F.lit(1).alias("n"))
+        grouped = lookup_join(listed, joined, "name", "left", spread=["list"], counts=counts)
+        grouped = grouped.select("list", "name", F.coalesce("component", "name").alias("component"))
+        return materialize(compared(grouped, other_pairs).join(pairs, ["a", "b"], "left_anti"))
+
+    more = united([others(s) for s in turns])
     if more.isEmpty():
         return joined.withColumnRenamed("name", "node")
     more = alike_bits(more, prints)
@@ -295,7 +312,11 @@ def linked_names(prints: DataFrame, rows: DataFrame, words_per_shingle: int, sim
 
 
 def group_rows(
-    rows: DataFrame, words_per_shingle: int = WORDS, similarity: float = SIMILARITY, wide_rows: int = WIDE_ROWS
+    rows: DataFrame,
+    words_per_shingle: int = WORDS,
+    similarity: float = SIMILARITY,
+    wide_rows: int = WIDE_ROWS,
+    list_bytes: int = 2,
 ) -> DataFrame:
     """``row, root`` of ``rows(row, text)``, stored, ``row`` unique and ``text`` not null: rows of a group share the root."""
     prints = materialize(fingerprints(rows, words_per_shingle))
@@ -314,7 +335,7 @@ def group_rows(
     same = materialize(verified(again, texts, words_per_shingle, similarity))
 
     firsts = names.select("name", F.col("first").alias("row"), "bytes")
-    joined = linked_names(firsts, rows, words_per_shingle, similarity, wide_rows)
+    joined = linked_names(firsts, rows, words_per_shingle, similarity, wide_rows, list_bytes)
     roots = materialize(
         names.join(joined.withColumnRenamed("node", "name"), "name", "left").select(
             F.col("first").alias("row"), F.coalesce("component", "name").alias("component")
@@ -328,7 +349,11 @@ def group_rows(
 
 
 def drop_near_copies(
-    docs: DataFrame, words_per_shingle: int = WORDS, similarity: float = SIMILARITY, wide_rows: int = WIDE_ROWS
+    docs: DataFrame,
+    words_per_shingle: int = WORDS,
+    similarity: float = SIMILARITY,
+    wide_rows: int = WIDE_ROWS,
+    list_bytes: int = 2,
 ) -> DataFrame:
     """``docs`` with one row of each group of near copies, of its smallest ``doc_id``, and the same columns.
 
@@ -337,14 +362,15 @@ def drop_near_copies(
     text of fewer words than a shingle is one shingle; texts without words, and
     null ones, are copies of each other. Of rows of one ``doc_id`` any stays;
     a null id comes last. An empty table stays empty. Columns other than
-    ``doc_id`` and ``text`` are handed on.
+    ``doc_id`` and ``text`` are handed on. The result does not depend on
+    ``wide_rows``.
     """
     mark = "_kept_row"
     while mark in docs.columns:
         mark += "_"
     numbered = materialize(docs.withColumn(mark, F.monotonically_increasing_id()))
     rows = numbered.select(F.col(mark).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    roots = group_rows(rows, words_per_shingle, similarity, wide_rows)
+    roots = group_rows(rows, words_per_shingle, similarity, wide_rows, list_bytes)
     # Few rows share their root with another: only these need their ids compared, only losers are looked up.
     shared = materialize(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = materialize(lookup_join(roots, shared, "root", spread=["row"], counts=shared).select("row", "root"))

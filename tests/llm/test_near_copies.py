@@ -140,3 +140,16 @@ def test_a_long_text(docs):
     words = [rng.choice(WORDS) for _ in range(200_000)]
     got = kept_ids(docs([(3, " ".join(words)), (2, changed(rng, words, 500)), (1, " ".join(words[100_000:]))]))
     assert got == [1, 2]
+
+
+def test_pairs_do_not_depend_on_the_size(spark):
+    """Beyond ``wide_rows`` the same names are linked: their lists are by as many bytes as before, only compared in turns."""
+    rng, texts = random.Random(11), []
+    for _ in range(60):
+        words = [rng.choice(WORDS) for _ in range(270)]
+        texts += [" ".join(words), changed(rng, words, 5)]  # a similarity of about 0.83
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    one, other = ({tuple(r) for r in near_copies.group_rows(rows, wide_rows=w).collect()} for w in (near_copies.WIDE_ROWS, 0))
+    assert one == other and len({root for _, root in one}) < 70
+    narrow = near_copies.group_rows(rows, list_bytes=3).collect()
+    assert {r.row for r in narrow} == {row for row, _ in one}
