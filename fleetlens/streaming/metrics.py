@@ -65,7 +65,11 @@ def latest(updates: DataFrame, keys: Sequence[str], batch: str = "batch") -> Dat
 
 
 def _in_time_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(frames), ignore_index=True).sort_values("us", kind="stable", ignore_index=True)
+    given = list(frames)
+    batch = given[0] if len(given) == 1 else pd.concat(given, ignore_index=True)
+    if (np.diff(batch["us"].to_numpy()) >= 0).all():
+        return batch.reset_index(drop=True)
+    return batch.sort_values("us", kind="stable", ignore_index=True)
 
 
 def _nullable(values: np.ndarray, absent: np.ndarray) -> pd.Series:
@@ -92,14 +96,15 @@ class _Expiring(StatefulProcessor):
     def _due(self, us: int) -> int:
         return -(-(us + _ERA_US + self.forget_us) // 1000) + 1
 
-    def seen(self, us: int) -> None:
-        """The series' newest row is from this time."""
-        if not self.newest.exists():
+    def seen(self, us: int, known: bool) -> None:
+        """The series' newest row is from this time; a series not ``known`` gets a timer."""
+        if not known:
             self.handle.registerTimer(self._due(us))
         self.newest.update((us,))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        due = self._due(self.newest.get()[0]) if self.newest.exists() else None
+        newest = self.newest.get()
+        due = None if newest is None else self._due(newest[0])
         if due is not None and due > timerValues.getCurrentWatermarkInMs():
             self.handle.registerTimer(due)
         else:
@@ -130,7 +135,7 @@ class _Deltas(_Expiring):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = _in_time_order(rows)
-        before = self.last.get() if self.last.exists() else None
+        before = self.last.get()
         if before is not None:
             batch = batch[batch["us"] >= before[0]]
         if batch.empty:
@@ -144,7 +149,7 @@ class _Deltas(_Expiring):
             start = values[0] if before is None else before[i]
             out[f"d_{name}"] = _nullable(np.diff(values, prepend=np.array([start], values.dtype)), first)
         self.last.update((int(us[-1]), batch["total"].iloc[-1].item(), batch["idle"].iloc[-1].item()))
-        self.seen(int(us[-1]))
+        self.seen(int(us[-1]), before is not None)
         yield out
 
 
@@ -176,20 +181,20 @@ class _Lookback(_Expiring):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = _in_time_order(rows)
-        if self.newest.exists():
-            batch = batch[batch["us"] >= self.newest.get()[0]]
+        newest = self.newest.get()
+        if newest is not None:
+            batch = batch[batch["us"] >= newest[0]]
         if batch.empty:
             return
         us = batch["us"].to_numpy()
-        series = [*self._parts(us, batch)]
+        series = [*self._parts(us, batch, us[0] if newest is None else newest[0])]
         out = batch[self.names].reset_index(drop=True)
         out["mean_total"], out["mean_idle"] = (np.concatenate(p) for p in zip(*series))
-        self.seen(int(us[-1]))
+        self.seen(int(us[-1]), newest is not None)
         yield out
 
-    def _parts(self, us: np.ndarray, batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The batch cut where the series starts anew."""
-        last = self.newest.get()[0] if self.newest.exists() else us[0]
+    def _parts(self, us: np.ndarray, batch: pd.DataFrame, last: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The batch cut where the series, last seen at ``last``, starts anew."""
         cuts = np.flatnonzero(np.diff(us, prepend=last) > self.forget_us).tolist()
         for a, b in zip([0, *cuts], [*cuts, len(us)]):
             if a in cuts:
@@ -201,7 +206,8 @@ class _Lookback(_Expiring):
         ends = us - self.span_us  # samples up to there are outside, but for the last of them
         known = {k[0]: v for k, v in self.sums.iterator()}
         split = sorted(k for k in known if k <= ends[-1] // self.width)
-        old = [tuple(self.edge.get())] if self.edge.exists() else []
+        edge = self.edge.get()
+        old = [] if edge is None else [tuple(edge)]
         for slot in split:
             old += zip(*self.samples.getValue((slot,)))
         inner = [v for k, v in known.items() if k > ends[-1] // self.width]
@@ -265,12 +271,13 @@ class _Gaps(_Expiring):
         batch = _in_time_order(rows)
         times = batch["us"].tolist()
         at, picked = 0, []
-        last = self.newest.get()[0] if self.newest.exists() else None
+        newest = self.newest.get()
+        last = None if newest is None else newest[0]
         while (at := 0 if last is None else bisect_right(times, last + self.gap_us)) < len(times):
             picked.append(at)
             last = times[at]
         if picked:
-            self.seen(last)
+            self.seen(last, newest is not None)
             yield batch.loc[picked, self.names]
 
 
