@@ -16,8 +16,12 @@ chances of 0.79, 0.85, 0.98.
 
 No list emits all its pairs. At first each member is compared with leaders only (in
 a long list the first is the one nearest to the majority of bits), so that a list
-gives fewer pairs than it has members. Names that were in a pair are then listed
-once more, and pairs of different components, all of them, are looked at.
+gives fewer pairs than it has members. What these pairs join is a family; names
+that were in a pair are listed once more, and families that have a near pair in a
+list become one. Any two names that meet and are near are then of one family, and
+all such pairs of a family are looked at where its texts lie, in blocks of bounded
+size: a family's rows, not its pairs, are joined and shuffled. Only links that join
+two components leave a task.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from fleetlens.llm import common
@@ -56,6 +60,8 @@ NAME_BITS, ALL_BITS = 17, 54
 LONG_LIST = 64
 #: Cells of names that a task compares at a time.
 CELLS = 1 << 20
+#: A family of more members, or of more characters, is cut into blocks; a task compares two of them.
+BLOCK_ROWS, BLOCK_CHARS = 2048, 1 << 23
 
 
 def shingle_hashes(text: str, words_per_shingle: int = WORDS) -> np.ndarray:
@@ -121,6 +127,20 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= NAME_BITS
 
 
+def all_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of whole fingerprints, four numbers each, differ in few bits."""
+    return np.bitwise_count(a ^ b).sum(axis=-1) <= ALL_BITS
+
+
+def meet(a: np.ndarray, b: np.ndarray, steps: Sequence[tuple[int, ...]]) -> np.ndarray:
+    """Which rows of whole fingerprints share a list of some of ``STEPS``."""
+    same = a.view(np.uint8)[:, :BYTES] == b.view(np.uint8)[:, :BYTES]
+    met = np.zeros(len(same), bool)
+    for some in steps:
+        met |= reduce(np.logical_and, (np.roll(same, -s, axis=1) for s in some), same).any(axis=1)
+    return met
+
+
 def middle(names: np.ndarray) -> int:
     """Which of a list's members is nearest to the majority of their bits."""
     ones = np.zeros(64, dtype=np.int64)
@@ -169,7 +189,7 @@ def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
     """Columns of a task sorted by ``list``, the first one, in portions that end with a list."""
     held: list[np.ndarray] = []
     for batch in batches:
-        new = [c.to_numpy() for c in batch.columns]
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         held = [np.concatenate(h) for h in zip(held, new)] if held else new
         last = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
         if last:
@@ -202,12 +222,34 @@ def first_pairs(held: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
     yield from with_leaders(names[paired], lists[paired])
 
 
-def other_pairs(held: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a list that no component joins yet."""
-    lists, names, groups = held[0], held[1].view(np.uint64), held[2]
+def unite(root: list[int], a: int, b: int) -> bool:
+    """Whether two nodes were apart; they are together now."""
+    ends = []
+    for x in (a, b):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        ends.append(x)
+    root[max(ends)] = min(ends)
+    return ends[0] != ends[1]
+
+
+def bridges(held: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that join the families of each list's members, by whole fingerprints: fewer than the list has families."""
+    lists, names, families, whole = held
     for start, size in zip(*bounds(lists)):
-        if size > 1:
-            yield from across(names[start : start + size], groups[start : start + size])
+        part = slice(start, start + size)
+        if size == 1 or (families[part] == families[start]).all():
+            continue
+        own, (_, group) = names[part].view(np.uint64), np.unique(families[part], return_inverse=True)
+        prints = np.frombuffer(b"".join(whole[part]), np.uint64).reshape(-1, 4)
+        order, root = np.argsort(own), list(range(group.max() + 1))
+        for a, b in across(own, group):
+            i, j = (order[np.searchsorted(own, x, sorter=order)] for x in (a, b))
+            close = np.flatnonzero(all_near(prints[i], prints[j]))
+            x, y = group[i[close]], group[j[close]]
+            _, once = np.unique(np.minimum(x, y) * len(root) + np.maximum(x, y), return_index=True)
+            joins = close[[k for k in once if unite(root, int(x[k]), int(y[k]))]]
+            yield a[joins], b[joins]
 
 
 def compared(listed: DataFrame, pairs: Callable) -> DataFrame:
@@ -255,6 +297,11 @@ def of_rows(rows: DataFrame, wanted: DataFrame, how: str = "inner", row: str = "
     return lookup_join(rows, wanted, row, how, spread=[row], counts=wanted.select(row, F.lit(1).alias("n")))
 
 
+def of_names(rows: DataFrame, wanted: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows``, few of a name, joined to ``wanted``, stored, which has a row per name at most."""
+    return lookup_join(rows, wanted, "name", how, counts=wanted.select("name", F.lit(1).alias("n")))
+
+
 def candidate_texts(pairs: DataFrame, firsts: DataFrame, rows: DataFrame) -> DataFrame:
     """``key, text`` of the names in ``pairs``: few of all, hence read from ``rows`` once by a semi-join."""
     names = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
@@ -269,8 +316,7 @@ def alike_bits(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, 4) for i in (2, 3))
-            kept = np.bitwise_count(a ^ b).sum(axis=1) <= ALL_BITS
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(kept))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(all_near(a, b)))
 
     for side in ("a", "b"):
         whole = prints.select(F.col("name").alias(side), F.col("bytes").alias(f"bytes_{side}"))
@@ -283,31 +329,154 @@ def united(parts: list[DataFrame]) -> DataFrame:
     return parts[0] if len(parts) == 1 else materialize(reduce(DataFrame.unionByName, parts).distinct())
 
 
+def one_each(pairs: DataFrame) -> DataFrame:
+    """``a, b``: of the pairs of each name the one with the name that is in most pairs."""
+    both = pairs.select(F.col("a").alias("name"), F.col("b").alias("other")).unionByName(
+        pairs.select(F.col("b").alias("name"), F.col("a").alias("other"))
+    )
+    counts = materialize(both.groupBy("other").agg(F.count(F.lit(1)).alias("n")))
+    best = (
+        lookup_join(both, counts, "other", spread=["name"], counts=counts)
+        .groupBy("name")
+        .agg(F.max_by("other", F.struct("n", "other")).alias("other"))
+    )
+    return materialize(best.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct())
+
+
+def block_pairs(members: DataFrame, block_rows: int, block_chars: int) -> DataFrame:
+    """``members(name, component, family, chars)``, stored, with ``block``, once for each ``low, high`` of two blocks to compare.
+
+    Families of one component are left out. A large family is cut by a hash of
+    the names, its largest component apart: blocks of that one are not compared
+    with each other.
+    """
+
+    def room(n: Column, chars: Column) -> Column:
+        return F.greatest(F.ceil(n / block_rows), F.ceil(chars / block_chars), F.lit(1)).cast("int")
+
+    parts = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    families = parts.groupBy("family").agg(
+        F.count(F.lit(1)).alias("parts"),
+        F.sum("n").alias("n"),
+        F.sum("chars").alias("chars"),
+        F.max(F.struct("n", "component", "chars")).alias("most"),
+    )
+    n, chars, cut = F.col("n"), F.col("chars"), room(F.col("n"), F.col("chars")) > 1
+    cuts = families.filter("parts > 1").select(
+        "family",
+        F.when(cut, F.col("most.component")).alias("most"),
+        F.when(cut, room(F.col("most.n"), F.col("most.chars"))).otherwise(0).alias("mosts"),
+        F.when(cut, room(n - F.col("most.n"), chars - F.col("most.chars"))).otherwise(1).alias("rests"),
+    )
+    placed = lookup_join(members, materialize(cuts), "family", spread=["name"])
+    in_most = F.coalesce(F.col("component") == F.col("most"), F.lit(False))
+    mixed = F.xxhash64("name")
+    block = F.when(in_most, F.pmod(mixed, F.greatest("mosts", F.lit(1)))).otherwise(F.col("mosts") + F.pmod(mixed, "rests"))
+    others = F.sequence(F.when(in_most, F.col("mosts")).otherwise(0), F.col("mosts") + F.col("rests") - 1)
+    placed = placed.withColumn("block", block.cast("int")).withColumn("other", F.explode(others))
+    return placed.select(
+        "name", "component", "family", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    )
+
+
+def new_links(
+    prints: np.ndarray, components: np.ndarray, blocks: np.ndarray, texts: Sequence[str],
+    words_per_shingle: int, similarity: float, steps: Sequence[tuple[int, ...]],
+) -> Iterator[tuple[int, int]]:
+    """Links that join components, of members ``i, j`` that meet, are near and have texts alike.
+
+    Members of one block are compared with each other, those of two with those of the other block.
+    """
+    sets = [np.unique(shingle_hashes(t, words_per_shingle)) for t in texts]
+    sizes = np.array([len(s) for s in sets])
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    sets = np.split(number, np.cumsum(sizes)[:-1])
+    held, names = np.zeros(number.max(initial=0) + 1, bool), prints[:, 3]
+    _, group = np.unique(components, return_inverse=True)
+    if blocks.min() == blocks.max():
+        left = right = np.arange(len(texts))
+    else:
+        left, right = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
+    high = 0
+    while high < len(left):
+        low, high = high, min(len(left), high + max(1, CELLS // len(right)))
+        close = near(names[left[low:high], None], names[None, right])
+        close &= group[left[low:high], None] != group[None, right]
+        i, j = np.nonzero(close)
+        i, j = left[low + i], right[j]
+        if left is right:
+            i, j = i[i < j], j[i < j]
+        kept = all_near(prints[i], prints[j])
+        i, j = i[kept], j[kept]
+        kept = meet(prints[i], prints[j], steps)
+        i, j = i[kept], j[kept]
+        starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
+        for a, others in zip(i[starts], np.split(j, starts[1:])) if len(i) else ():
+            others = others[group[others] != group[a]]
+            if not len(others):
+                continue
+            held[sets[a]] = True
+            ends = np.cumsum(sizes[others])
+            found = np.r_[0, np.cumsum(held[np.concatenate([sets[b] for b in others])])]
+            both = found[ends] - found[ends - sizes[others]]
+            held[sets[a]] = False
+            for b in others[both >= similarity * (sizes[a] + sizes[others] - both)]:
+                if group[b] != group[a]:
+                    yield int(a), int(b)
+                    group[group == group[b]] = group[a]
+
+
+def links_within(
+    rows: DataFrame, words_per_shingle: int, similarity: float, steps: Sequence[tuple[int, ...]]
+) -> DataFrame:
+    """``a, b`` of ``rows``, those of ``block_pairs`` with ``bytes, text``: links between a family's components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        prints = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint64).reshape(-1, 4)
+        names, components, blocks = (table[c].to_numpy() for c in ("name", "component", "block"))
+        texts = table["text"].to_pylist()
+        found = list(new_links(prints, components, blocks, texts, words_per_shingle, similarity, steps))
+        a, b = (names[[f[side] for f in found]] if found else names[:0] for side in (0, 1))
+        common.give_back()
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return rows.groupBy("family", "low", "high").applyInArrow(run, "a long, b long")
+
+
 def linked_names(
-    prints: DataFrame, rows: DataFrame, words_per_shingle: int, similarity: float, wide_rows: int, list_bytes: int = 2
+    prints: DataFrame, rows: DataFrame, words_per_shingle: int, similarity: float, wide_rows: int, list_bytes: int = 2,
+    block_rows: int = BLOCK_ROWS, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """``node, component`` of the names that verified links join; ``prints(name, row, bytes)`` has a row per name."""
     steps = STEPS[list_bytes]
     turns = [steps] if prints.count() <= wide_rows else [[s] for s in steps]
     firsts = prints.select("name", "row")
     pairs = alike_bits(united([materialize(compared(entries(prints, s), first_pairs)) for s in turns]), prints)
-    links = materialize(verified(pairs, candidate_texts(pairs, firsts, rows), words_per_shingle, similarity))
+    families = materialize(common.components(pairs).withColumnsRenamed({"node": "name", "component": "family"}))
+    texts = candidate_texts(pairs, firsts, rows)
+    # A link or none for each name; the rest is for the families of several components.
+    links = materialize(verified(one_each(pairs), texts, words_per_shingle, similarity))
     joined = materialize(common.components(links).withColumnRenamed("node", "name"))
-    # Names with a partner once more: what different components of a list have in common.
-    paired = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
-
-    def others(some: Sequence[tuple[int, ...]]) -> DataFrame:
-        listed = entries(prints.join(paired, "name", "left_semi"), some)
-        counts = joined.select("name", F.lit(1).alias("n"))
-        grouped = lookup_join(listed, joined, "name", "left", spread=["list"], counts=counts)
-        grouped = grouped.select("list", "name", F.coalesce("component", "name").alias("component"))
-        return materialize(compared(grouped, other_pairs).join(pairs, ["a", "b"], "left_anti"))
-
-    more = united([others(s) for s in turns])
-    if more.isEmpty():
+    whole = materialize(of_names(families, prints.select("name", "bytes")))
+
+    def joins(some: Sequence[tuple[int, ...]]) -> DataFrame:
+        counts = families.select("name", F.lit(1).alias("n"))
+        listed = lookup_join(entries(whole, some), whole, "name", spread=["list"], counts=counts)
+        return materialize(compared(listed.select("list", "name", "family", "bytes"), bridges))
+
+    more = united([joins(s) for s in turns])
+    if not more.isEmpty():
+        known = families.filter("name <> family").select(F.col("name").alias("a"), F.col("family").alias("b"))
+        wider = common.components(known.unionByName(more)).withColumnsRenamed({"node": "name", "component": "family"})
+        families = materialize(wider)
+    named = texts.withColumnRenamed("key", "name")
+    members = of_names(families, named.select("name", F.length("text").alias("chars")))
+    members = of_names(members, joined, "left").withColumn("component", F.coalesce("component", "name"))
+    cells = materialize(block_pairs(materialize(members), block_rows, block_chars))
+    cells = of_names(cells, materialize(of_names(whole.select("name", "bytes"), named)))
+    found = materialize(links_within(cells, words_per_shingle, similarity, steps))
+    if found.isEmpty():
         return joined.withColumnRenamed("name", "node")
-    more = alike_bits(more, prints)
-    found = verified(more, candidate_texts(more, firsts, rows), words_per_shingle, similarity)
     return common.components(links.unionByName(found))
 
 

@@ -153,3 +153,65 @@ def test_pairs_do_not_depend_on_the_size(spark):
     assert one == other and len({root for _, root in one}) < 70
     narrow = near_copies.group_rows(rows, list_bytes=3).collect()
     assert {r.row for r in narrow} == {row for row, _ in one}
+
+
+def variants(spark, n, seed=13):
+    """Copies of one text, most of them near each other by their bits but not alike."""
+    rng = random.Random(seed)
+    words = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(200)]
+    texts = [changed(rng, words, rng.choice([2, 3, 3, 4])) for _ in range(n)]
+    return spark.createDataFrame(list(enumerate(texts)), "row long, text string"), texts
+
+
+def test_joined_rows_grow_with_a_group_not_its_square(spark, monkeypatch):
+    """What is joined to texts and fingerprints: pairs, and rows of the blocks that tasks compare."""
+    joined = []
+    lookup_join = near_copies.lookup_join
+
+    def counted(rows, lookup, keys, *args, **named):
+        if keys in ("a", "b", "other", "name"):
+            joined.append(rows.count() if "list" not in rows.columns else 0)
+        return lookup_join(rows, lookup, keys, *args, **named)
+
+    monkeypatch.setattr(near_copies, "lookup_join", counted)
+    made = []
+    for n in (250, 1000):
+        joined.clear()
+        near_copies.group_rows(variants(spark, n)[0]).collect()
+        made.append(sum(joined))
+    assert made[1] < 6 * made[0], made
+
+
+def test_blocks_lose_no_link(spark, monkeypatch):
+    rows, texts = variants(spark, 200)
+    whole = {tuple(r) for r in near_copies.group_rows(rows).collect()}
+    block_pairs, cut = near_copies.block_pairs, []
+
+    def small(members, block_rows, block_chars):
+        cut.append(block_pairs(members, 30, block_chars))
+        return cut[-1]
+
+    monkeypatch.setattr(near_copies, "block_pairs", small)
+    assert {tuple(r) for r in near_copies.group_rows(rows).collect()} == whole
+    assert cut[0].select("high").distinct().count() > 3
+    groups = brute_groups(dict(enumerate(texts)))
+    roots = dict(whole)
+    assert all(groups[row] == groups[root] for row, root in roots.items())  # only alike texts are linked
+    assert len(set(roots.values())) < len(texts)
+
+
+def test_bridges_join_families_once():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, (3, 32), dtype=np.uint8)
+    prints = base[rng.integers(0, 3, 90)] ^ (np.uint8(1) << rng.integers(0, 8, (90, 32)).astype(np.uint8)) * (rng.random((90, 32)) < 0.2)
+    names = np.ascontiguousarray(prints[:, 24:]).view(np.int64).ravel()
+    families = rng.integers(0, 20, 90)
+    held = [np.zeros(90, np.int64), names, families, np.array([p.tobytes() for p in prints], object)]
+    found = [(int(x), int(y)) for a, b in near_copies.bridges(held) for x, y in zip(a.view(np.int64), b.view(np.int64))]
+    family, root = dict(zip(names.tolist(), families.tolist())), list(range(20))
+    assert all(near_copies.unite(root, family[x], family[y]) for x, y in found)
+    wide = prints.view(np.uint64)
+    for i in range(90):
+        for j in range(i):
+            if near_copies.near(wide[i, 3], wide[j, 3]) and near_copies.all_near(wide[i], wide[j]):
+                assert not near_copies.unite(root, int(families[i]), int(families[j]))
