@@ -163,23 +163,21 @@ def variants(spark, n, seed=13):
     return spark.createDataFrame(list(enumerate(texts)), "row long, text string"), texts
 
 
-def test_joined_rows_grow_with_a_group_not_its_square(spark, monkeypatch):
-    """What is joined to texts and fingerprints: pairs, and rows of the blocks that tasks compare."""
-    joined = []
-    lookup_join = near_copies.lookup_join
-
-    def counted(rows, lookup, keys, *args, **named):
-        if keys in ("a", "b", "other", "name"):
-            joined.append(rows.count() if "list" not in rows.columns else 0)
-        return lookup_join(rows, lookup, keys, *args, **named)
-
-    monkeypatch.setattr(near_copies, "lookup_join", counted)
-    made = []
-    for n in (250, 1000):
-        joined.clear()
-        near_copies.group_rows(variants(spark, n)[0]).collect()
-        made.append(sum(joined))
-    assert made[1] < 6 * made[0], made
+def test_no_more_pairs_than_names_are_joined_to_texts(spark, monkeypatch):
+    """A group whose near pairs are many more than its names: what meets its texts are rows of names."""
+    counts = {"verified": [], "links_within": []}
+    for name, made in counts.items():
+        step = getattr(near_copies, name)
+        monkeypatch.setattr(near_copies, name, lambda rows, *a, step=step, made=made: (made.append(rows.count()), step(rows, *a))[1])
+    rows, texts = variants(spark, 200)
+    whole = [near_copies.fingerprint(near_copies.shingle_hashes(t)) for t in texts]
+    wide = np.stack(whole).view(np.uint64)
+    i, j = np.triu_indices(len(texts), 1)
+    close = near_copies.near(wide[i, 3], wide[j, 3]) & near_copies.all_near(wide[i], wide[j])
+    close &= near_copies.meet(wide[i], wide[j], near_copies.STEPS[2])
+    assert close.sum() > 5 * len(texts)
+    near_copies.group_rows(rows).collect()
+    assert sum(counts["verified"]) <= len(texts) and sum(counts["links_within"]) <= len(texts), counts
 
 
 def test_blocks_lose_no_link(spark, monkeypatch):
