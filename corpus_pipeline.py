@@ -16,12 +16,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text the one with the largest id stays."""
-    return exact_dedup.drop_exact_duplicates(docs)
+    return exact_dedup.drop_exact_duplicates(docs, stored=True)
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of a group of near copies (five words, a similarity of 0.8) the document with the smallest id stays."""
-    return near_copies.drop_near_copies(docs)
+    return near_copies.drop_near_copies(docs, stored=True)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

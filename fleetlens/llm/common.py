@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fleetlens.operators.skew import lookup_join
 from fleetlens.session import materialize
 
 #: Memoised results of a Python worker are dropped beyond so many entries.
@@ -16,6 +18,9 @@ MEMO_CHARS = 64
 #: Texts of a batch are worked on in portions of about so many characters.
 PORTION_CHARS = 2_000_000
 
+#: A row's number is its file's number times this, plus its place in the file.
+ROWS_PER_FILE = 2**40
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,6 +38,28 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def numbered(docs: DataFrame, mark: str, stored: bool = False) -> DataFrame:
+    """``docs`` with a column ``mark`` that numbers its rows, the same at each reading.
+
+    ``stored`` says that ``docs`` are rows of Parquet files, each at most once: the
+    file and the place in it number a row, and no row is copied. Any other table
+    is written once with its numbers.
+    """
+    file = f"{mark}file"
+    try:
+        if stored:
+            own = docs.metadataColumn("_metadata")
+            docs = docs.withColumns({file: own["file_path"], mark: own["row_index"]})
+    except AnalysisException:  # not of Parquet files
+        stored = False
+    if not stored:
+        return materialize(docs.withColumn(mark, F.monotonically_increasing_id()))
+    number = F.row_number().over(Window.orderBy(file)).cast("long") - 1
+    files = materialize(docs.select(file).distinct().select(file, number.alias(f"{file}s")))
+    docs = lookup_join(docs, files, file, spread=[mark])
+    return docs.withColumn(mark, F.col(f"{file}s") * ROWS_PER_FILE + F.col(mark)).drop(file, f"{file}s")
+
+
 def slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """Where a slice of bounded length starts, and its texts; null as empty. A longer text ends its slice."""
     start, some, chars = 0, [], 0

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fleetlens.llm.common import lower_ascii
-from fleetlens.session import materialize
+from fleetlens.llm.common import lower_ascii, numbered
+from fleetlens.session import materialize, scratch_removed
 
 #: Frequent digests that are broadcast at most, and counters that the sketch keeps.
 #: A digest of more than 1/1000 of the rows is always among them.
@@ -96,18 +96,22 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each text, the one that ``exact_duplicates`` keeps, and the same columns."""
+def drop_exact_duplicates(docs: DataFrame, stored: bool = False) -> DataFrame:
+    """``docs`` with one row of each text, the one that ``exact_duplicates`` keeps, and the same columns.
+
+    ``stored`` as in ``common.numbered``: the documents are then read again, not copied.
+    """
     mark = "_kept_row"
     while mark in docs.columns:
         mark += "_"
-    numbered = materialize(docs.withColumn(mark, F.monotonically_increasing_id()))
-    rows = materialize(
-        numbered.select(
-            F.col(mark).alias("row"),
-            "doc_id",
-            F.unhex(F.sha2(lower_ascii(F.coalesce("text", F.lit(""))).cast("binary"), 256)).alias("digest"),
+    marked = numbered(docs, mark, stored)
+    with scratch_removed(docs.sparkSession) as keep:
+        rows = materialize(
+            marked.select(
+                F.col(mark).alias("row"),
+                "doc_id",
+                F.unhex(F.sha2(lower_ascii(F.coalesce("text", F.lit(""))).cast("binary"), 256)).alias("digest"),
+            )
         )
-    )
-    gone = materialize(decide(rows).filter("not kept").select(F.col("row").alias(mark)))
-    return numbered.join(gone, mark, "left_anti").drop(mark)
+        gone = keep(decide(rows).filter("not kept").select(F.col("row").alias(mark)))
+    return marked.join(gone, mark, "left_anti").drop(mark)

@@ -38,7 +38,7 @@ from xxhash import xxh64_intdigest
 from fleetlens.llm import common
 from fleetlens.llm.simhash import SEED, SHINGLES
 from fleetlens.operators.skew import lookup_join
-from fleetlens.session import materialize
+from fleetlens.session import materialize, scratch_removed
 
 WORDS, SIMILARITY = 5, 0.8
 #: Positional bytes of a fingerprint, and those after them that name it.
@@ -271,10 +271,13 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
-    """``a, b`` of ``pairs(a, b)`` whose texts, of ``texts(key, text)``, are alike."""
+    """``a, b`` of ``pairs(a, b)`` whose texts, of ``texts(key, text)``, are alike. Both are stored; a ``b`` is in one pair.
+
+    The pairs are looked up where the texts of ``b`` lie, and only these go to those of ``a``, few and each in many pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, shingles = None, np.zeros(0, "<u8")  # pairs of one left text follow each other where a join sorted them
+        key, shingles = None, np.zeros(0, "<u8")  # pairs of one text of ``a`` follow each other where a join sorted them
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
@@ -285,10 +288,10 @@ def verified(pairs: DataFrame, texts: DataFrame, words_per_shingle: int, similar
                 keep.append(alike(shingles, other, similarity))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    for side in ("a", "b"):
-        pairs = lookup_join(
-            pairs, texts.withColumnsRenamed({"key": side, "text": f"text_{side}"}), side, spread=["a", "b"]
-        )
+    counts = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    of_a = of_rows(texts.withColumnsRenamed({"key": "a", "text": "text_a"}), counts.select("a"), row="a")
+    pairs = of_rows(texts.withColumnsRenamed({"key": "b", "text": "text_b"}), pairs, row="b")
+    pairs = lookup_join(pairs, of_a, "a", spread=["b"], counts=counts)
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
@@ -330,7 +333,7 @@ def united(parts: list[DataFrame]) -> DataFrame:
 
 
 def one_each(pairs: DataFrame) -> DataFrame:
-    """``a, b``: of the pairs of each name the one with the name that is in most pairs."""
+    """``a, b``: of the pairs of each name ``b`` the one with the name that is in most pairs, ``a``."""
     both = pairs.select(F.col("a").alias("name"), F.col("b").alias("other")).unionByName(
         pairs.select(F.col("b").alias("name"), F.col("a").alias("other"))
     )
@@ -340,7 +343,11 @@ def one_each(pairs: DataFrame) -> DataFrame:
         .groupBy("name")
         .agg(F.max_by("other", F.struct("n", "other")).alias("other"))
     )
-    return materialize(best.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct())
+    # Two names may have each other: then the smaller is ``a``.
+    once = best.groupBy(F.least("name", "other").alias("low"), F.greatest("name", "other").alias("high")).agg(
+        F.min("other").alias("a")
+    )
+    return materialize(once.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b")))
 
 
 def block_pairs(members: DataFrame, block_rows: int, block_chars: int) -> DataFrame:
@@ -379,6 +386,17 @@ def block_pairs(members: DataFrame, block_rows: int, block_chars: int) -> DataFr
     )
 
 
+def with_texts(cells: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """``cells``, stored, with ``bytes`` of ``prints(name, bytes)`` and ``text`` of ``texts(name, text)``.
+
+    Only texts of names that are in ``cells`` leave their place.
+    """
+    names = materialize(cells.select("name").distinct())
+    wanted = materialize(of_names(prints, names))
+    own = of_names(texts, wanted)
+    return lookup_join(own, cells, "name", spread=["name"], counts=wanted.select("name", F.lit(1).alias("n")))
+
+
 def new_links(
     prints: np.ndarray, components: np.ndarray, blocks: np.ndarray, texts: Sequence[str],
     words_per_shingle: int, similarity: float, steps: Sequence[tuple[int, ...]],
@@ -473,7 +491,7 @@ def linked_names(
     members = of_names(families, named.select("name", F.length("text").alias("chars")))
     members = of_names(members, joined, "left").withColumn("component", F.coalesce("component", "name"))
     cells = materialize(block_pairs(materialize(members), block_rows, block_chars))
-    cells = of_names(cells, materialize(of_names(whole.select("name", "bytes"), named)))
+    cells = with_texts(cells, whole.select("name", "bytes"), named)
     found = materialize(links_within(cells, words_per_shingle, similarity, steps))
     if found.isEmpty():
         return joined.withColumnRenamed("name", "node")
@@ -523,6 +541,7 @@ def drop_near_copies(
     similarity: float = SIMILARITY,
     wide_rows: int = WIDE_ROWS,
     list_bytes: int = 2,
+    stored: bool = False,
 ) -> DataFrame:
     """``docs`` with one row of each group of near copies, of its smallest ``doc_id``, and the same columns.
 
@@ -532,20 +551,23 @@ def drop_near_copies(
     null ones, are copies of each other. Of rows of one ``doc_id`` any stays;
     a null id comes last. An empty table stays empty. Columns other than
     ``doc_id`` and ``text`` are handed on. The result does not depend on
-    ``wide_rows``.
+    ``wide_rows``. ``stored`` as in ``common.numbered``: the documents are then
+    read again, not copied.
     """
     mark = "_kept_row"
     while mark in docs.columns:
         mark += "_"
-    numbered = materialize(docs.withColumn(mark, F.monotonically_increasing_id()))
+    numbered = common.numbered(docs, mark, stored)
     rows = numbered.select(F.col(mark).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    roots = group_rows(rows, words_per_shingle, similarity, wide_rows, list_bytes)
-    # Few rows share their root with another: only these need their ids compared, only losers are looked up.
-    shared = materialize(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    members = materialize(lookup_join(roots, shared, "root", spread=["row"], counts=shared).select("row", "root"))
-    ids = of_rows(numbered.select(F.col(mark).alias("row"), "doc_id"), members)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    kept = materialize(ids.groupBy("root").agg(F.min_by("row", order).alias("row")))
-    lost = materialize(members.join(kept, ["root", "row"], "left_anti").select(F.col("row").alias(mark), F.lit(True).alias(f"{mark}lost")))
+    with scratch_removed(docs.sparkSession) as keep:
+        roots = group_rows(rows, words_per_shingle, similarity, wide_rows, list_bytes)
+        # Few rows share their root with another: only these need their ids compared, only losers are looked up.
+        shared = materialize(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        members = materialize(lookup_join(roots, shared, "root", spread=["row"], counts=shared).select("row", "root"))
+        ids = of_rows(numbered.select(F.col(mark).alias("row"), "doc_id"), members)
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+        kept = materialize(ids.groupBy("root").agg(F.min_by("row", order).alias("row")))
+        others = members.join(kept, ["root", "row"], "left_anti")
+        lost = keep(others.select(F.col("row").alias(mark), F.lit(True).alias(f"{mark}lost")))
     marked = of_rows(numbered, lost, "left", mark)
     return marked.filter(F.col(f"{mark}lost").isNull()).select(*docs.columns)

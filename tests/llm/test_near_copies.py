@@ -180,6 +180,25 @@ def test_no_more_pairs_than_names_are_joined_to_texts(spark, monkeypatch):
     assert sum(counts["verified"]) <= len(texts) and sum(counts["links_within"]) <= len(texts), counts
 
 
+def test_a_pair_has_its_own_b(spark):
+    """Of each name one pair at most has it as ``b``, so that its text is moved once; the other name may be in many."""
+    pairs = spark.createDataFrame([(1, 5), (2, 5), (3, 5), (4, 5), (6, 7), (5, 8)], "a long, b long")
+    got = {(r.a, r.b) for r in near_copies.one_each(pairs).collect()}
+    assert got == {(5, 1), (5, 2), (5, 3), (5, 4), (6, 7), (5, 8)}
+
+
+def test_texts_outside_of_blocks_stay(spark, monkeypatch):
+    """Only texts of names that are in blocks are joined to fingerprints, however many others there are."""
+    seen, of_names = [], near_copies.of_names
+    cells = spark.createDataFrame([(n, 0, 0, 0, 0, high) for n in (1, 2) for high in (0, 1)], "name long, component long, family long, block int, low int, high int")
+    prints = spark.createDataFrame([(n, bytes(32)) for n in range(50)], "name long, bytes binary")
+    texts = spark.createDataFrame([(n, f"t{n}") for n in range(50)], "name long, text string")
+    monkeypatch.setattr(near_copies, "of_names", lambda *a: (seen.append(of_names(*a)), seen[-1])[1])
+    got = sorted((r.name, r.high, r.text) for r in near_copies.with_texts(cells, prints, texts).collect())
+    assert got == [(1, 0, "t1"), (1, 1, "t1"), (2, 0, "t2"), (2, 1, "t2")]
+    assert [s.count() for s in seen] == [2, 2]
+
+
 def test_blocks_lose_no_link(spark, monkeypatch):
     rows, texts = variants(spark, 200)
     whole = {tuple(r) for r in near_copies.group_rows(rows).collect()}

@@ -1,12 +1,15 @@
 """The stages, each against what it says of its own input."""
 
+import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import public_tokenizers as P
-from fleetlens.llm import packing, secret_scan, toxicity
+from fleetlens.llm import common, exact_dedup, near_copies, packing, secret_scan, toxicity
+from fleetlens.session import scratch_dir
 from .test_near_copies import shingles
 
 SF = "/root/testdata/sf0.01"
@@ -91,3 +94,49 @@ def test_sequences_hold_the_tokens(spark):
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").select(columns).collect()
     assert sorted(tuple(r[c] for c in columns) for r in rows) == sorted(map(tuple, got))
+
+
+def stored_documents(spark, path, n=240):
+    """Rows in several files: some texts of many letters, copies and near copies among them, repeated and null ids."""
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(400)) for _ in range(n // 3)]
+    texts += [t.upper() for t in texts[::2]] + [f"{t} more" for t in texts[::3]]
+    rows = [(i // 2 if i % 7 else None, t, f"s{i}") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5, "source").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_stages_do_not_copy_the_documents(spark, tmp_path):
+    """Documents outlive a stage in its output alone: disk must not hold a copy of them for each stage."""
+    docs = stored_documents(spark, str(tmp_path / "docs"))
+    size = lambda path: sum(f.stat().st_size for f in path.rglob("*.parquet"))
+    whole, scratch = size(tmp_path / "docs"), Path(scratch_dir(spark).removeprefix("file:")).parent
+    for stage in (corpus_pipeline.one_of_equal, corpus_pipeline.one_of_near):
+        before = size(scratch)
+        assert not stage(spark, docs, SF).isEmpty()
+        assert size(scratch) - before < whole / 4, stage.__name__
+
+
+def test_numbers_stay_and_are_unique(spark, tmp_path):
+    docs = stored_documents(spark, str(tmp_path / "docs"))
+    for table, stored in ((docs, True), (docs.filter("doc_id > 3"), True), (docs, False), (docs.limit(9), True)):
+        marked = common.numbered(table, "mark", stored)
+        assert marked.columns == [*docs.columns, "mark"]
+        once, again = ({(r.mark, r.doc_id, r.source) for r in marked.collect()} for _ in range(2))
+        assert once == again and len({m for m, _, _ in once}) == len(once) == table.count()
+    made = spark.createDataFrame([(1, "a", "s"), (1, "a", "s")], docs.schema)  # not of files
+    assert len({r.mark for r in common.numbered(made, "mark", True).collect()}) == 2
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        split = {(r.mark, r.source) for r in common.numbered(docs, "mark", True).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert split == {(r.mark, r.source) for r in common.numbered(docs, "mark", True).collect()}
+
+
+def test_stored_documents_give_the_same_rows(spark, tmp_path):
+    docs = stored_documents(spark, str(tmp_path / "docs"))
+    ids = lambda rows: sorted((r.doc_id is None, r.doc_id or 0) for r in rows.collect())
+    for step in (exact_dedup.drop_exact_duplicates, near_copies.drop_near_copies):
+        got, want = step(docs, stored=True), step(docs)
+        assert ids(got) == ids(want) and got.columns == want.columns and 0 < got.count() < docs.count()
