@@ -83,6 +83,43 @@ def test_scan_objects(spark, trees):
     assert "ReadSchema: struct<path:string,length:bigint>" in plan
 
 
+@pytest.mark.parametrize("subtrees, loose, names", [(64, 20, 250_000), (8, 3, 5), (1, 3, 5)])
+def test_objects_are_indexed_some_folders_at_a_time(spark, tmp_path, monkeypatch, subtrees, loose, names):
+    """The rows are those of Spark's reader over the whole tree; patterns in names, links, hidden names, overlapping roots."""
+    for name in ("a/x=[1]*/{b}?/f %20.txt", "a/x=[1]*/\\g", "a/_h/f", "a/.h", "_k=v/f", "b/n,o/f\ng", "b/_metadata/f"):
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_text(name)
+    grow(str(tmp_path / "t/many"), 2, 2, 5)
+    (tmp_path / "t/empty").mkdir()
+    os.symlink("../a", tmp_path / "t/b/link")
+    os.symlink("gone", tmp_path / "t/b/lost")
+    for setting, value in (("SUBTREES", subtrees), ("LOOSE_FILES", loose), ("INDEX_NAMES", names)):
+        monkeypatch.setattr(files, setting, value)
+    root = str(tmp_path / "t")
+    for roots in ([root], [root, f"file://{root}/a"], [f"{root}/{{b,b/*,a/_h}}"], [f"{root}/a/_h/f"], [f"{root}/empty"]):
+        whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
+        want = sorted((r.path, r.length) for r in whole.select("path", "length").collect())
+        assert sorted((r.path, r.size) for r in files.scan_objects(spark, roots).collect()) == want
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.scan_objects(spark, [root, f"{root}/gone"])
+
+
+def test_objects_are_looked_at_many_to_a_task(spark, tmp_path):
+    """A task gets files by their number, not 32 of them; the session's own settings stay."""
+    grow(str(tmp_path / "t"), 1, 3, 300)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.sparkContext.setJobGroup("scan", "scan_objects")
+    try:
+        found = files.scan_objects(spark, [str(tmp_path / "t")])
+        assert found.count() == 1200
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("scan") for s in tracker.getJobInfo(j).stageIds}
+    assert max(i.numTasks for i in map(tracker.getStageInfo, stages) if i) <= spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
 def test_size_listing(spark, rows, tmp_path):
     (tmp_path / "s.txt").write_bytes(b"5 /a/x y.txt\n5 /a/Icon\r\n0 /a/last")
     path = str(tmp_path / "s.txt")
